@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pageloom.schemas import METADATA_FIELDS
 from pageloom.session import checkpointed
-from pageloom.sources.tables import has_rows, table_exists
+from pageloom.sources.tables import has_folders, has_rows, table_exists
 
 # Fixed value: the distance of every collection.
 DISTANCE = "Cosine"
@@ -101,16 +101,19 @@ class Collection:
         row = self.spark.read.parquet(self._catalog).first()
         return row["dim"], row["buckets"]
 
+    def _has_points(self) -> bool:
+        return has_folders(self.spark, self._points, "bucket=*")
+
     def points(self) -> DataFrame:
         """All points: (id, vector, payload)."""
         return self.spark.read.parquet(self._points).drop("bucket")
 
     def is_populated(self) -> bool:
         """The collection exists and holds a point."""
-        return self.exists() and table_exists(self.spark, self._points) and has_rows(self.points())
+        return self.exists() and self._has_points() and has_rows(self.points())
 
     def count(self) -> int:
-        return self.points().count() if table_exists(self.spark, self._points) else 0
+        return self.points().count() if self._has_points() else 0
 
     def upsert(self, points: DataFrame, latest_by: str | None = None) -> None:
         """Insert the points; one with a known id replaces the old one, and other old ids stay.
@@ -120,7 +123,7 @@ class Collection:
         """
         dim, buckets = self.settings()
         batch = checkpointed(self._prepared(points, dim, buckets, latest_by))
-        if table_exists(self.spark, self._points):
+        if self._has_points():
             touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most `buckets` rows
             old = self.spark.read.parquet(self._points).filter(F.col("bucket").isin(touched))
             batch = old.join(batch.select("id"), "id", "left_anti").unionByName(batch)

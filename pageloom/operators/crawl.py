@@ -19,10 +19,10 @@ _MERGE_EVERY = 8
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(src_url, pos, dst_url) for every anchor of every stored page; ``pages`` has page_url and html."""
-    found = unnest(pages, [F.col("page_url").alias("src_url")], hx.anchor_hrefs(F.col("html")), "pos", "href")
-    return found.select(
-        "src_url", "pos", urls.canonical_url(urls.resolve_url(F.col("src_url"), F.col("href"))).alias("dst_url")
-    )
+    # resolved inside the array, so that filters on the links stay above the regular expressions
+    src = F.col("page_url")
+    absolute = F.transform(hx.anchor_hrefs(F.col("html")), lambda href: urls.resolve_url(src, href))
+    return unnest(pages, [src.alias("src_url")], F.transform(absolute, urls.canonical_url), "pos", "dst_url")
 
 
 def followed_links(links: DataFrame, keywords: list[str] | None = None) -> DataFrame:
@@ -34,7 +34,7 @@ def followed_links(links: DataFrame, keywords: list[str] | None = None) -> DataF
     kept = links.filter(
         urls.has_keyword(dst, keywords) & urls.same_host(src, dst) & urls.below_path(src, dst)
     )
-    return kept.groupBy("src_url", urls.canonical_url(dst).alias("dst_url")).agg(F.min("pos").alias("pos"))
+    return kept.groupBy("src_url", urls.page_key(dst).alias("dst_url")).agg(F.min("pos").alias("pos"))
 
 
 def reachable_pages(seeds: DataFrame, links: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -101,7 +101,9 @@ def site_pages(sentences: DataFrame) -> DataFrame:
 
 def site_text(sentences: DataFrame, max_text: int = st.MAX_TEXT) -> DataFrame:
     """Cleaned text of each site: (seed, segment, text), one row per seed of ordinary size."""
-    joined = st.join_ordered_pages(site_pages(sentences), ["seed"], "route", max_text=max_text)
+    # read twice: for the sizes and for the text
+    pages = checkpointed(site_pages(sentences))
+    joined = st.join_ordered_pages(pages, ["seed"], "route", max_text=max_text)
     return joined.withColumn("text", tx.clean_text(F.col("text")))
 
 

@@ -117,7 +117,7 @@ def link_predicates(spark, sf):
 def project_csv(spark, sf):
     """Write the projects as CSV, scan them back, keep one year."""
     path = scratch_path(spark, "projects-csv")
-    data.projects(spark, sf).drop("doc_id").write.csv(path, header=True, escape='"')
+    tables.write_projects(data.projects(spark, sf).drop("doc_id"), path)
     return tables.of_year(tables.read_projects(spark, path), 2019)
 
 
@@ -429,7 +429,7 @@ def hit_blocks(spark, sf):
 
 @query
 def answer_prompts(spark, sf):
-    """The whole chain from documents to prompts; a question of one word has its hits withheld."""
+    """The whole chain from documents to prompts."""
     asked = data.questions(spark, sf)
     return answer.with_prompts(asked, _retrieved(spark, sf)).select(
         "qid", F.size("messages").alias("n_messages"), F.element_at("messages", 1)["content"].alias("first"),

@@ -27,6 +27,13 @@ def read_projects(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     return raw.select(*columns)
 
 
+def write_projects(projects: DataFrame, path: str) -> None:
+    """Project CSV sink; values keep their outer blanks."""
+    projects.write.csv(
+        path, mode="overwrite", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+
+
 def of_year(projects: DataFrame, year: int = 2019) -> DataFrame:
     """Projects of one year; the filter reaches the scan."""
     return projects.filter(F.col("Year") == year)
@@ -51,6 +58,12 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
 
 
+def has_folders(spark: SparkSession, path: str, pattern: str) -> bool:
+    """``path`` holds a folder matching ``pattern``; partition overwrites leave no success marker."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{pattern}")
+    return bool(location.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(location))
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table at ``path``, or no rows of ``schema`` when there is none yet."""
     if not table_exists(spark, path):
