@@ -44,33 +44,29 @@ def check_chunk_size(chunk_size: int) -> None:
 
 def pack(counts: np.ndarray, chunk_size: int, held: int = 0, chunk: int = 0) -> tuple[np.ndarray, int, int]:
     """Chunk number of each sentence, given an open chunk of ``held`` tokens; also the final state."""
-    numbers = np.empty(len(counts), dtype=np.int64)
-    totals = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-    room = chunk_size - MARKS
-    at = 0
-    while at < len(counts):
-        # last sentence for which the open chunk still has room
-        end = int(np.searchsorted(totals, totals[at] + room - held, side="right")) - 1
-        if end > at:
-            numbers[at:end] = chunk
-            held += int(totals[end] - totals[at])
-            at = end
-        if at < len(counts):
+    numbers, room = [], chunk_size - MARKS
+    for count in counts.tolist():
+        if held + count > room:
             chunk += held > 0
-            numbers[at] = chunk
-            held = int(counts[at])
-            at += 1
-    return numbers, held, chunk
+            held = 0
+        held += count
+        numbers.append(chunk)
+    return np.array(numbers, dtype=np.int64), held, chunk
 
 
-def _chunk_bounds(counts: np.ndarray, chunk_size: int) -> np.ndarray:
-    """Start, sentences and tokens of each chunk, as three rows; a chunk without tokens is none."""
-    numbers, _, _ = pack(counts, chunk_size)
-    first = np.flatnonzero(np.diff(numbers, prepend=-1))
-    sentences = np.diff(np.append(first, len(counts)))
-    totals = np.concatenate(([0], np.cumsum(counts)))
-    tokens = totals[first + sentences] - totals[first]
-    return np.stack((first, sentences, tokens))[:, tokens > 0]
+def _chunk_bounds(counts: list[int], chunk_size: int) -> list[tuple[int, int, int]]:
+    """(start, sentences, tokens) of each chunk; a chunk without tokens is none."""
+    bounds, room, start, held = [], chunk_size - MARKS, 0, 0
+    for at, count in enumerate(counts):
+        if held + count > room:
+            if held:
+                bounds.append((start, at - start, held))
+                start = at
+            held = 0
+        held += count
+    if held:
+        bounds.append((start, len(counts) - start, held))
+    return bounds
 
 
 def chunk_ranges(counts: Column, chunk_size: int) -> Column:
@@ -79,15 +75,16 @@ def chunk_ranges(counts: Column, chunk_size: int) -> Column:
 
     @F.arrow_udf(_RANGES)
     def ranges(batch: pa.Array) -> pa.Array:
-        sizes = np.asarray(batch.value_lengths().fill_null(0), dtype=np.int64)
-        values = np.asarray(batch.flatten(), dtype=np.int64)
-        ends = np.cumsum(sizes)
-        found = [_chunk_bounds(values[end - size:end], chunk_size) for size, end in zip(sizes, ends)]
-        flat = np.concatenate(found, axis=1) if found else np.empty((3, 0), dtype=np.int64)
+        values = batch.flatten().to_pylist()
+        rows, offsets, at = [], [0], 0
+        for size in batch.value_lengths().fill_null(0).to_pylist():
+            rows += _chunk_bounds(values[at:at + size], chunk_size)
+            offsets.append(len(rows))
+            at += size
+        columns = zip(*rows) if rows else ([], [], [])
         structs = pa.StructArray.from_arrays(
-            [pa.array(column, type=pa.int32()) for column in flat], names=["start", "n_sentences", "n_tokens"]
+            [pa.array(column, type=pa.int32()) for column in columns], names=["start", "n_sentences", "n_tokens"]
         )
-        offsets = np.concatenate(([0], np.cumsum([f.shape[1] for f in found])))
         return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), structs)
 
     return ranges(counts)

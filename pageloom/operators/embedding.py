@@ -27,32 +27,40 @@ def pooled_vectors(tokens: DataFrame, keys: list[str], vec: str, mask: str, dim:
     return pooled.select(*keys, F.array(*[F.col(f"s{i}") / size for i in range(dim)]).alias("vector"))
 
 
-def signed_buckets(terms: Column, dim: int) -> Column:
-    """Each term as ±(bucket + 1), bucket and sign taken from the term's MD5."""
+# digits of a term's MD5 that place it: eight for the bucket, one for the sign
+_DIGITS = 9
+_HEX = np.zeros(256, dtype=np.int64)
+_HEX[np.frombuffer(b"0123456789abcdef", dtype=np.uint8)] = np.arange(16)
 
-    def place(term: Column) -> Column:
-        digest = F.md5(term.cast("binary"))
-        bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim + 1
-        sign = F.when(F.substring(digest, 9, 1) < "8", 1).otherwise(-1)
-        return (bucket * sign).cast("int")
 
-    return F.transform(terms, place)
+def term_digests(terms: Column) -> Column:
+    """The leading hexadecimal digits of every term's MD5, in one string."""
+    digits = F.transform(terms, lambda term: F.substring(F.md5(term.cast("binary")), 1, _DIGITS))
+    return F.coalesce(F.array_join(digits, ""), F.lit(""))
 
 
-def pool_buckets(buckets: Column, dim: int) -> Column:
-    """Mean of the signed unit vectors the buckets stand for; zeros for no terms."""
+def pool_digests(digests: Column, dim: int) -> Column:
+    """Mean over the terms of the signed unit vectors their digests stand for; zeros for no terms.
+
+    The first eight digits modulo ``dim`` give the bucket, the ninth the sign (positive below 8).
+    """
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def pool(batch: pa.Array) -> pa.Array:
-        sizes = np.asarray(batch.value_lengths().fill_null(0), dtype=np.int64)
-        values = np.asarray(batch.flatten(), dtype=np.int64)
+        _, ends, text = batch.buffers()
+        ends = np.frombuffer(ends, dtype=np.int32)[batch.offset:batch.offset + len(batch) + 1]
+        text = np.frombuffer(text, dtype=np.uint8)[ends[0]:ends[-1]] if text else np.empty(0, dtype=np.uint8)
+        digits = _HEX[text].reshape(-1, _DIGITS)
+        bucket = digits[:, :8] @ (16 ** np.arange(7, -1, -1)) % dim
+        sign = np.where(digits[:, 8] < 8, 1.0, -1.0)
+        sizes = np.diff(ends) // _DIGITS
         rows = np.repeat(np.arange(len(sizes)), sizes)
-        sums = np.bincount(rows * dim + np.abs(values) - 1, weights=np.sign(values), minlength=len(sizes) * dim)
+        sums = np.bincount(rows * dim + bucket, weights=sign, minlength=len(sizes) * dim)
         means = sums.reshape(len(sizes), dim) / np.maximum(sizes, 1)[:, None]
         offsets = pa.array(np.arange(len(sizes) + 1) * dim, type=pa.int32())
         return pa.ListArray.from_arrays(offsets, pa.array(means.ravel(), type=pa.float32()))
 
-    return pool(buckets)
+    return pool(digests)
 
 
 def hashed_embedding(text: Column, dim: int = 64, max_terms: int | None = None) -> Column:
@@ -60,7 +68,7 @@ def hashed_embedding(text: Column, dim: int = 64, max_terms: int | None = None)
     terms = tx.words(text)
     if max_terms is not None:
         terms = F.slice(terms, 1, max_terms)
-    return pool_buckets(signed_buckets(terms, dim), dim)
+    return pool_digests(term_digests(terms), dim)
 
 
 Encoder = Callable[[list[str]], np.ndarray]

@@ -9,6 +9,7 @@ from pageloom.functions import text as tx
 from pageloom.operators import chunking, embedding
 from pageloom.operators.collections import packed_id
 from pageloom.schemas import METADATA_FIELDS
+from pageloom.sources.tables import spread
 
 DIM = 64
 CHUNK_SIZE = 200
@@ -38,13 +39,15 @@ def marked_text() -> Column:
 
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, text) of all documents, cleaned."""
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", tx.clean_text(F.col("text")).alias("text"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return rows.withColumn("text", tx.clean_text(F.col("text")))
 
 
 def document_chunks(spark: SparkSession, sf_dir: str, chunk_size: int = CHUNK_SIZE, keep: list[str] | None = None) -> DataFrame:
     """Chunks of the distinct sentences of every cleaned document, with their point id."""
     chunks = chunking.chunk_documents(
-        clean_documents(spark, sf_dir), chunk_size, ["doc_id", *(keep or [])], sentences=tx.distinct_sentences
+        clean_documents(spark, sf_dir), chunk_size, ["doc_id", *(keep or [])],
+        count=tx.cleaned_token_count, sentences=tx.distinct_sentences,
     )
     return chunks.withColumn("id", packed_id(F.col("doc_id"), F.col("chunk_no")))
 

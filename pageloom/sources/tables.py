@@ -52,6 +52,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that fits into fewer partitions than there are cores.
+
+    For costly row-local work on a small file. A table with at least as many partitions as cores, as
+    any large one has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     """A completed write is there: a stage that died half-way has left no success marker."""
     location = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
