@@ -14,7 +14,7 @@ The running total restarts at every chunk, so no window frame expresses it. Two
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from pageloom.functions import text as tx
 from pageloom.operators.rows import unnest
+from pageloom.session import checkpointed
 
 MAX_CHUNK_SIZE = 900
 MARKS = 2
@@ -102,17 +103,37 @@ def chunk_documents(
 
     Empty and NULL texts give no chunk. ``count`` measures a sentence, ``sentences`` splits a text.
     """
-    check_chunk_size(chunk_size)
+    return chunk_documents_by_size(df, [chunk_size], keys, text, count, sentences).drop("chunk_size")
+
+
+def chunk_documents_by_size(
+    df: DataFrame,
+    chunk_sizes: list[int],
+    keys: list[str],
+    text: str = "text",
+    count: Callable[[Column], Column] = tx.token_count,
+    sentences: Callable[[Column], Column] = tx.split_sentences,
+) -> DataFrame:
+    """Chunks of every size, preceded by ``chunk_size``; each text is read, split and measured once."""
+    for size in chunk_sizes:
+        check_chunk_size(size)
     parts = df.select(*keys, sentences(F.col(text)).alias("parts"))
-    counts = F.transform("parts", lambda s: count(s).cast("int"))
-    ranged = parts.withColumn("ranges", chunk_ranges(counts, chunk_size))
-    return unnest(ranged, [*keys, "parts"], "ranges", "chunk_no", "r").select(
-        *keys,
-        "chunk_no",
-        F.col("r.n_sentences").alias("n_sentences"),
-        F.col("r.n_tokens").alias("n_tokens"),
-        F.slice("parts", F.col("r.start") + 1, F.col("r.n_sentences")).alias("sentences"),
-    )
+    measured = parts.withColumn("counts", F.transform("parts", lambda s: count(s).cast("int")))
+    ranged = measured.select("*", *[chunk_ranges(F.col("counts"), n).alias(f"ranges_{n}") for n in chunk_sizes])
+
+    # each chunk takes its own sentences along, so that no row repeats the document
+    def pieces(size: int) -> Column:
+        return F.transform(
+            f"ranges_{size}",
+            lambda r, i: F.struct(
+                F.lit(size).alias("chunk_size"), i.alias("chunk_no"),
+                r["n_sentences"].alias("n_sentences"), r["n_tokens"].alias("n_tokens"),
+                F.slice("parts", r["start"] + 1, r["n_sentences"]).alias("sentences"),
+            ),
+        )
+
+    every = F.concat(*[F.coalesce(pieces(n), F.array()) for n in chunk_sizes])
+    return unnest(ranged, keys, every, "_at", "r").select(*keys, "r.*")
 
 
 def chunk_text(sentences: str = "sentences") -> Column:
@@ -123,22 +144,22 @@ def chunk_text(sentences: str = "sentences") -> Column:
 def chunk_sentence_rows(df: DataFrame, chunk_size: int, doc: str, ord: str, n: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``chunk_no`` to a sentence table; ``ord`` counts a document's sentences from 0 without gaps.
 
-    Documents below ``block_rows`` sentences take one grouped pass. A longer one is cut into blocks
-    of that many sentences. A block's effect depends only on how many tokens the chunk open at its
-    start holds, at most ``chunk_size`` possibilities, so every block is summarised for all of them
-    at once, the summaries of a document are chained (one small row per block), and each block is
-    then packed from its now known start. The result is that of one sequential pass.
+    Documents of up to ``block_rows`` sentences are packed in one pass over sorted partitions, many
+    documents per Arrow batch and none held in memory. A longer one is cut into blocks of that many
+    sentences. A block's effect depends only on how many tokens the chunk open at its start holds,
+    at most ``chunk_size`` possibilities, so every block is summarised for all of them at once, the
+    summaries of a document are chained (one small row per block), and each block is then packed
+    from its now known start. The result is that of one sequential pass.
+
+    The table is written to the checkpoint folder first, as it is read more than once.
     """
     check_chunk_size(chunk_size)
     out = T.StructType([*df.schema.fields, T.StructField("chunk_no", T.LongType())])
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ord)
-        return pdf.assign(chunk_no=pack(pdf[n].to_numpy(), chunk_size)[0])
-
+    df = checkpointed(df)
     long_docs = df.filter(F.col(ord) >= block_rows).select(doc).distinct()
-    short = df.join(long_docs, doc, "left_anti").select(*df.columns).groupBy(doc).applyInPandas(whole, out)
-
+    if long_docs.isEmpty():
+        return _pack_sorted(df, chunk_size, doc, ord, n, out)
+    short = df.join(long_docs, doc, "left_anti").select(*df.columns)
     long = df.join(long_docs, doc, "left_semi").select(*df.columns)
     blocks = long.withColumn("block", F.floor(F.col(ord) / block_rows).cast("long"))
     doc_type = df.schema[doc].dataType
@@ -174,7 +195,33 @@ def chunk_sentence_rows(df: DataFrame, chunk_size: int, doc: str, ord: str, n: s
     effects = blocks.select(doc, "block", ord, n).groupBy(doc, "block").applyInPandas(summarize_block, summary_schema)
     starts = effects.groupBy(doc).applyInPandas(chain, start_schema)
     packed = blocks.join(starts, [doc, "block"]).groupBy(doc, "block").applyInPandas(resume, out)
-    return short.unionByName(packed)
+    return _pack_sorted(short, chunk_size, doc, ord, n, out).unionByName(packed)
+
+
+def _pack_sorted(df: DataFrame, chunk_size: int, doc: str, ord: str, n: str, out: T.StructType) -> DataFrame:
+    """One pass over partitions sorted by document and order; only the open chunk is remembered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, chunk = None, 0, 0
+        for batch in batches:
+            docs, counts = batch.column(doc), batch.column(n).to_numpy()
+            codes = np.asarray(docs.dictionary_encode().indices)
+            cuts = np.flatnonzero(np.diff(codes)) + 1
+            numbers = []
+            for start, end in zip([0, *cuts], [*cuts, len(counts)]):
+                if start == end:
+                    continue
+                name = docs[int(start)].as_py()
+                if name != last:
+                    last, held, chunk = name, 0, 0
+                part, held, chunk = pack(counts[start:end], chunk_size, held, chunk)
+                numbers.append(part)
+            added = np.concatenate(numbers) if numbers else np.empty(0)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(added, type=pa.int64())], names=[*batch.schema.names, "chunk_no"]
+            )
+
+    return df.repartition(doc).sortWithinPartitions(doc, ord).mapInArrow(run, out)
 
 
 def _block_effect(counts: np.ndarray, chunk_size: int) -> tuple[np.ndarray, np.ndarray]:

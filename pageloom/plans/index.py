@@ -46,8 +46,8 @@ def summarized_chunks(chunks: DataFrame, id: str = "id", summary: bool = True) -
     """Chunk records (id, Wiki_content, Metadata); without ``summary`` the chunk text itself stays."""
     if not summary:
         return chunks.select(id, chunking.chunk_text().alias("Wiki_content"), "Metadata")
-    short = summarize.summarize_chunks(chunks, id).withColumnRenamed("summary", "Wiki_content")
-    return short.join(chunks.select(id, "Metadata"), id).select(id, "Wiki_content", "Metadata")
+    short = summarize.summarize_chunks(chunks, [id, "Metadata"])
+    return short.select(id, F.col("summary").alias("Wiki_content"), "Metadata")
 
 
 def embedded_points(records: DataFrame, model: Model, id: str = "id") -> DataFrame:

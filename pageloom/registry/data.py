@@ -18,7 +18,9 @@ FAN = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # the tables with long texts
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +41,7 @@ def marked_text() -> Column:
 
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, text) of all documents, cleaned."""
-    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
-    return rows.withColumn("text", tx.clean_text(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", tx.clean_text(F.col("text")).alias("text"))
 
 
 def document_chunks(spark: SparkSession, sf_dir: str, chunk_size: int = CHUNK_SIZE, keep: list[str] | None = None) -> DataFrame:

@@ -248,13 +248,13 @@ def chunk_numbers(spark, sf):
     """The sentence-table form, on raw sentences; long documents go through block packing."""
     rows = st.explode_sentences(table(spark, sf, "documents"), ["doc_id"])
     counted = rows.select("doc_id", "pos", tx.token_count(F.col("sentence")).alias("n"))
-    return chunking.chunk_sentence_rows(counted, CHUNK_SIZE, "doc_id", "pos", "n", block_rows=100)
+    return chunking.chunk_sentence_rows(counted, CHUNK_SIZE, "doc_id", "pos", "n", block_rows=300)
 
 
 @query
 def chunk_summaries(spark, sf):
     rows = data.document_chunks(spark, sf)
-    return summarize.summarize_chunks(rows, "id")
+    return summarize.summarize_chunks(rows, ["id"])
 
 
 @query
@@ -402,7 +402,8 @@ def settings_strings(spark, sf):
 
 def _retrieved(spark, sf) -> DataFrame:
     """Ranked hits of every question in the chunk collection, with full payloads."""
-    chunks = data.chunk_vectors(spark, sf)
+    stored = scratch_path(spark, "chunk-vectors")
+    chunks = tables.materialize_once(spark, stored, lambda: data.chunk_vectors(spark, sf).drop("sentences"))
     model = index.hashed_model(dim=DIM)
     asked = data.questions(spark, sf)
     queries = asked.select("qid", model.embed_query(F.col("question")).alias("vector"))
@@ -534,10 +535,16 @@ def _evaluation_chunks(spark, sf, sizes: list[int]) -> DataFrame:
     return evaluation.evaluation_chunks(rows, "doc_id", sizes, summary=False)
 
 
-def _examples(spark, sf, n: int | None = 30) -> DataFrame:
+def _stored_chunks(spark, sf, sizes: list[int]) -> DataFrame:
+    """The chunk table of an evaluation, written once by chunk size and read by every step."""
+    path = scratch_path(spark, "evaluation-chunks")
+    tables.write_table(_evaluation_chunks(spark, sf, sizes), path, partition_by=["chunk_size"])
+    return tables.read_table(spark, path)
+
+
+def _examples(made: DataFrame) -> DataFrame:
     """QA examples per chunk size, through a completions table that fails for some prompts."""
-    made = _evaluation_chunks(spark, sf, [200, 300])
-    asked = evaluation.question_prompts(made, n, ["chunk_size"], seed=5)
+    asked = evaluation.question_prompts(made, evaluation.GENERATIONS, ["chunk_size"], seed=5)
     context = F.col("Wiki_content")
     done = asked.filter(F.length(context) % 5 != 0).select(
         "prompt_id",
@@ -550,7 +557,7 @@ def _examples(spark, sf, n: int | None = 30) -> DataFrame:
 @query
 def question_answer_pairs(spark, sf):
     """Sample, ask, parse; failed generations drop out."""
-    return _examples(spark, sf).select(
+    return _examples(_stored_chunks(spark, sf, [200, 300])).select(
         "chunk_size", "id.doc_id", "id.chunk_no", "qa_context", "question", "reference_answer", "qa_meta.Team_Name"
     )
 
@@ -567,11 +574,14 @@ def pending_questions(spark, sf):
 
 
 def _grid_run(spark, sf) -> DataFrame:
-    made = _evaluation_chunks(spark, sf, [200, 300])
+    made = _stored_chunks(spark, sf, [200, 300])
     models = [index.hashed_model("hashed-64", 64), index.hashed_model("hashed-32", 32)]
     grid = evaluation.configuration_grid(spark, [200, 300], [m.name for m in models])
+    path = scratch_path(spark, "grid-points")
     points = evaluation.grid_points(made, grid, models, lambda id: packed_id(id["doc_id"], id["chunk_no"]))
-    examples = evaluation.first_questions(_examples(spark, sf), ["chunk_size"], ["id"]).drop("id")
+    tables.write_table(points, path, partition_by=["chunk_size", "embedding_model"])
+    points = tables.read_table(spark, path)
+    examples = evaluation.first_questions(_examples(made), ["chunk_size"], ["id"]).drop("id")
     pending = examples.join(grid, "chunk_size")
     nothing = spark.createDataFrame([], "prompt_id string, text string")
     return evaluation.run_results(pending, points, nothing, models, ["chunk_size", "embedding_model"], "data/table")
