@@ -22,12 +22,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pageloom.session import checkpointed
+
 DEFAULT_K = 10
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_QUERIES = 2048
 BLOCK_VECTORS = 65536
-_PRODUCT_CELLS = 4_000_000
+# scores computed at a time, and parts whose block counts may be broadcast
+PRODUCT_CELLS = 4_000_000
+MAX_BROADCAST_PARTS = 100_000
 _NONE = -2.0
 
 HITS = T.StructType([
@@ -68,7 +72,7 @@ class TopK:
         self.floor = np.full(len(qids), -np.inf)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        step = max(1, _PRODUCT_CELLS // max(1, len(self.queries)))
+        step = max(1, PRODUCT_CELLS // max(1, len(self.queries)))
         for at in range(0, len(ids), step):
             self._add_block(ids[at:at + step], vectors[at:at + step])
 
@@ -186,6 +190,10 @@ def _blocks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         vectors.groupBy("part").agg(blocks("v_blocks", BLOCK_VECTORS)).alias("v"),
         F.col("q.part").eqNullSafe(F.col("v.part")),
     ).select(F.col("q.part").alias("name"), "q_blocks", "v_blocks")
+    # one small row per part; broadcast when so few, a large part is not sent to one task to be split
+    parts = checkpointed(parts)
+    if parts.count() <= MAX_BROADCAST_PARTS:
+        parts = F.broadcast(parts)
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     same = F.col("part").eqNullSafe(F.col("name"))
     fresh = [F.col(c).alias(c) for c in ("part", "qb", "vb", "key", "vector")]
