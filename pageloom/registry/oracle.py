@@ -101,7 +101,7 @@ walk AS (
 
 def chunked(size: int, keys: str = "doc_id") -> str:
     return f"""{packed(size, keys=keys)},
-chunk AS (SELECT {keys}, chunk_no, count(*) AS n_sentences, sum(w.n) AS n_tokens,
+chunk AS (SELECT {keys}, chunk_no, count(*) AS n_sentences, sum(w.n)::BIGINT AS n_tokens,
   string_agg(sentence, ' ' ORDER BY pos) AS content, list(sentence ORDER BY pos) AS sentences
   FROM walk w JOIN counted USING ({keys}, pos) GROUP BY {keys}, chunk_no)"""
 
@@ -119,8 +119,15 @@ LEFT JOIN (SELECT {key}, ('0x' || substr(h, 1, 8))::BIGINT % {dim} AS d, sum(CAS
 GROUP BY {key}"""
 
 
-def vec6(x: str = "vector") -> str:
-    return f"list_transform({x}, lambda v: round(v::FLOAT::DOUBLE, 6)) AS vector"
+def components(source: str, keys: str) -> str:
+    """One row per vector component, rounded; vectors are stored as floats."""
+    return (
+        f"SELECT {keys}, pos, round(value, 6) + 0 AS value FROM (SELECT {keys}, unnest(range(0, len(vector))) AS pos, "
+        f"unnest(vector) AS value FROM {source})"
+    )
+
+
+FLOATS = "list_transform(vector, lambda v: v::FLOAT::DOUBLE) AS vector"
 
 
 def top(queries: str, rows: str, join: str = "true", keys: str = "", k: int = 10) -> str:
@@ -313,7 +320,7 @@ def sql() -> dict[str, str]:
         for i in range(len(CLEANING))
     )
     q["sentences"] = exploded("documents", "doc_id", split("text"))
-    q["token_counts"] = f"SELECT doc_id, count(*) AS n_sentences, sum({tokens('sentence')}) AS n_tokens FROM ({q['sentences']}) GROUP BY doc_id"
+    q["token_counts"] = f"SELECT doc_id, count(*) AS n_sentences, sum({tokens('sentence')})::BIGINT AS n_tokens FROM ({q['sentences']}) GROUP BY doc_id"
     q["stripped_text"] = f"""SELECT conv_id, turn, {strip("' ' || chr(9) || chr(10) || text || chr(13) || chr(10) || '  '")} AS stripped FROM conversations"""
     q["canonical_urls"] = f"SELECT page_id, {canonical('url')} AS canonical FROM pages"
     q["html_text"] = f"SELECT page_id, {html_text('html')} AS text FROM pages"
@@ -355,13 +362,15 @@ ranked AS (SELECT id, ord, sentence, row_number() OVER best AS rank, sum({tokens
 size AS (SELECT id, least(400, ceil(sum({tokens('sentence')}) * 0.5)) AS budget FROM rows GROUP BY id),
 best AS (SELECT id, string_agg(sentence, ' ' ORDER BY ord) AS summary FROM ranked JOIN size USING (id) WHERE rank = 1 OR used <= budget GROUP BY id)
 SELECT id, coalesce(summary, ' ') AS summary FROM size LEFT JOIN best USING (id)"""
-    q["pooled_vectors"] = f"""SELECT label, list(round(total / greatest(weight, 1e-9), 6) ORDER BY d) AS vector FROM (
+    q["pooled_vectors"] = f"""SELECT label, d AS pos, round(total / greatest(weight, 1e-9), 6) + 0 AS value FROM (
   SELECT label, d, sum(x::DOUBLE * mask) AS total, sum(mask) AS weight FROM (
-    SELECT label, (vec_id % 3 <> 0)::INT AS mask, unnest(range(0, {DIM})) AS d, unnest(embedding) AS x FROM embeddings) GROUP BY ALL) GROUP BY label"""
-    q["chunk_embeddings"] = f"WITH RECURSIVE {DOC_CHUNKS}, {CHUNK_VECS} SELECT id, {vec6()} FROM cvec"
-    q["question_embeddings"] = f"SELECT qid, {vec6()} FROM ({vectors(QUESTION, 'qid', 'question', limit=20)})"
-    q["unit_vectors"] = f"""SELECT vec_id AS id, list_transform(vector, lambda x: round(x / sqrt(list_dot_product(vector, vector)), 6)) AS vector
-  FROM (SELECT vec_id, {DOUBLES} FROM embeddings)"""
+    SELECT label, (vec_id % 3 <> 0)::INT AS mask, unnest(range(0, {DIM})) AS d, unnest(embedding) AS x FROM embeddings) GROUP BY ALL)"""
+    q["chunk_embeddings"] = f"WITH RECURSIVE {DOC_CHUNKS}, {CHUNK_VECS} {components(f'(SELECT id, {FLOATS} FROM cvec)', 'id')}"
+    q["question_embeddings"] = components(f"(SELECT qid, {FLOATS} FROM ({vectors(QUESTION, 'qid', 'question', limit=20)}))", "qid")
+    q["unit_vectors"] = components(
+        f"(SELECT vec_id AS id, list_transform(vector, lambda x: x / sqrt(list_dot_product(vector, vector))) AS vector FROM (SELECT vec_id, {DOUBLES} FROM embeddings))",
+        "id",
+    )
     q["dense_ids"] = f"WITH RECURSIVE {DOC_CHUNKS} SELECT row_number() OVER (ORDER BY doc_id, chunk_no) - 1 AS id, doc_id, chunk_no FROM chunk"
     q["payloads"] = f"""WITH RECURSIVE {TREE}, {PROJECT} SELECT doc_id, Abstract AS "Wiki_content", {PROJECT_COLUMNS} FROM project"""
 
@@ -397,7 +406,7 @@ SELECT qid, any_value(question) AS question, any_value(CASE WHEN question IN (SE
     page = f"""ptext AS (SELECT seed, node, string_agg(sentence, ' ' ORDER BY pos) AS txt FROM kept GROUP BY ALL),
 psent AS ({exploded('ptext', 'seed, node', split(clean('txt')))})"""
     q["page_sources"] = f"""WITH RECURSIVE {SITE_SENT}, {page}, {packed(200, 'psent', 'seed, node')}
-SELECT seed, {SITE} || path AS page_url, chunk_no, count(*) AS n_sentences, sum(n) AS n_tokens FROM walk JOIN tree ON page_id = node GROUP BY ALL"""
+SELECT seed, {SITE} || path AS page_url, chunk_no, count(*) AS n_sentences, sum(n)::BIGINT AS n_tokens FROM walk JOIN tree ON page_id = node GROUP BY ALL"""
     q["prepared_projects"] = f"""WITH RECURSIVE {SITE_TEXT}, {PROJECT} SELECT doc_id, Year, Wiki, {clean('Abstract')} AS "Abstract", coalesce(site.text, '') AS "Wiki_content"
   FROM project LEFT JOIN site ON seed = doc_id WHERE Year = 2019"""
 
@@ -431,7 +440,6 @@ SELECT conv_id, turn, {SCORE.replace('completion', 'g.completion')} AS eval_scor
     q["chosen_configuration"] = f"""WITH {RUN} SELECT chunk_size, embedding_model_name, false AS is_default FROM ({best})
 UNION ALL SELECT {DEFAULT_CHUNK_SIZE}, '{DEFAULT_MODEL}', true"""
 
-    q["built_index"] = ""
     q["stream_ingest"] = f"""WITH RECURSIVE {DOC_CHUNKS} SELECT {POINT_ID} AS id, content AS "Wiki_content", 64 AS dim FROM chunk"""
     q["stream_questions"] = "SELECT DISTINCT props AS question FROM events"
     q["stream_search"] = f"WITH RECURSIVE {HITS} SELECT qid, rank, id, score FROM hit"
@@ -440,5 +448,5 @@ UNION ALL SELECT {DEFAULT_CHUNK_SIZE}, '{DEFAULT_MODEL}', true"""
     head, tail = summaries.rsplit("SELECT id, coalesce", 1)
     made = f"{head.rstrip()}, summed AS (SELECT id, coalesce{tail})"
     q["built_index"] = f"""{made}, svec AS ({vectors('summed', 'id', 'summary')})
-SELECT id, summary AS "Wiki_content", 'Team ' || (id // 16777216) AS "Team_Name", {vec6()} FROM summed JOIN svec USING (id)"""
+{components(f'''(SELECT id, summary AS "Wiki_content", 'Team ' || (id // 16777216) AS "Team_Name", {FLOATS} FROM summed JOIN svec USING (id))''', 'id, "Wiki_content", "Team_Name"')}"""
     return q

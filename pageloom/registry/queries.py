@@ -34,8 +34,10 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def rounded(vector: str, digits: int = 6) -> Column:
-    return F.transform(vector, lambda x: F.round(x.cast("double"), digits)).alias(vector)
+def components(df: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
+    """One row per vector component, rounded: (keys, pos, value)."""
+    rows = unnest(df, keys, F.col("vector"), "pos", "value")
+    return rows.withColumn("value", F.round(F.col("value").cast("double"), digits) + F.lit(0.0))
 
 
 # --- text, URLs, HTML -------------------------------------------------------------------------
@@ -261,12 +263,12 @@ def chunk_summaries(spark, sf):
 def pooled_vectors(spark, sf):
     """Embeddings as token vectors: grouped by label, every third one masked."""
     rows = data.vectors(spark, sf).withColumn("mask", (F.col("id") % 3 != 0).cast("int"))
-    return embedding.pooled_vectors(rows, ["label"], "vector", "mask", DIM).select("label", rounded("vector"))
+    return components(embedding.pooled_vectors(rows, ["label"], "vector", "mask", DIM), ["label"])
 
 
 @query
 def chunk_embeddings(spark, sf):
-    return data.chunk_vectors(spark, sf).select("id", rounded("vector"))
+    return components(data.chunk_vectors(spark, sf), ["id"])
 
 
 @query
@@ -274,13 +276,12 @@ def question_embeddings(spark, sf):
     """Query embeddings, truncated to twenty terms."""
     rows = data.questions(spark, sf)
     vector = embedding.hashed_embedding(F.col("question"), DIM, 20).alias("vector")
-    return rows.select("qid", vector).select("qid", rounded("vector"))
+    return components(rows.select("qid", vector), ["qid"])
 
 
 @query
 def unit_vectors(spark, sf):
-    rows = data.vectors(spark, sf).select("id", vx.unit(F.col("vector")).alias("vector"))
-    return rows.select("id", rounded("vector"))
+    return components(data.vectors(spark, sf).select("id", vx.unit(F.col("vector")).alias("vector")), ["id"])
 
 
 @query
@@ -677,7 +678,8 @@ def built_index(spark, sf):
     points = index.build_points(rows, "doc_id", 250, model, packed_id)
     stored = Collection(spark, scratch_path(spark, "collections"), "projects")
     index.store_points(stored, points, model)
-    return stored.points().select("id", "payload.Wiki_content", "payload.Team_Name", rounded("vector"))
+    rows = stored.points().select("id", "payload.Wiki_content", "payload.Team_Name", "vector")
+    return components(rows, ["id", "Wiki_content", "Team_Name"])
 
 
 # --- streaming ----------------------------------------------------------------------------------
