@@ -23,13 +23,15 @@ MESSAGES = T.ArrayType(
     T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 )
 
+# The field names of stored result files. The hits come in under the store's name.
+STORED_HITS = "qdrant_context"
 RUN_RESULTS = T.StructType([
     T.StructField("question", T.StringType()),
     T.StructField("reference_answer", T.StringType()),
     T.StructField("qa_context", T.StringType()),
     T.StructField("qa_meta", METADATA),
     T.StructField("answer", T.StringType()),
-    T.StructField("qdrant_context", T.ArrayType(PAYLOAD)),
+    T.StructField(STORED_HITS, T.ArrayType(PAYLOAD)),
     T.StructField("test_settings", T.StringType()),
     T.StructField("eval_score", T.IntegerType()),
 ])

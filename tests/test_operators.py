@@ -350,9 +350,10 @@ def test_retrieval_quality(spark):
 def test_result_arrays(spark, tmp_path):
     folder = tmp_path / "chunk_size=200" / "embedding_model=hub%2Fm"
     folder.mkdir(parents=True)
-    (folder / "part.json").write_text('[\n {"question": "q1", "eval_score": 4, "qa_meta": {"Year": 2019}},\n {"question": "q2"}\n]')
+    (folder / "part.json").write_text('[\n {"question": "q1", "eval_score": 4, "qa_meta": {"Year": 2019}, "qdrant_context": [{"Wiki_content": "c"}]},\n {"question": "q2"}\n]')
     rows = results.read_result_arrays(spark, str(tmp_path)).orderBy("question").collect()
     assert [(r["question"], r["eval_score"]) for r in rows] == [("q1", 4), ("q2", None)]
+    assert rows[0]["retrieved"][0]["Wiki_content"] == "c"
     assert rows[0]["qa_meta"]["Year"] == 2019 and "chunk_size=200" in rows[0]["settings"]
 
 
