@@ -1,10 +1,12 @@
-"""Every registered query against its SQL at the smallest scale."""
+"""Every registered query of the library against its SQL at the smallest scale."""
 
 import os
 
 import pytest
 
 import __spark_entry__ as spark_entry
+from pageloom.registry import oracle
+from pageloom.registry.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 WITHOUT_SQL = {"cell_search_recall"}
@@ -20,11 +22,12 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(spark_entry.queries()) - set(spark_entry.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(oracle.sql()) == WITHOUT_SQL
+    assert set(oracle.sql()) <= set(QUERIES) <= set(spark_entry.queries())
     assert set(spark_entry.oracle_sql()) <= set(spark_entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
     import check
 
