@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat, credentials, sharding
+from pageloom.llm import chat, credentials, sharding, simhash
+from pageloom.session import checkpointed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,10 +66,20 @@ def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    prints = checkpointed(simhash.with_fingerprints(docs).select(F.col("doc_id").alias("id"), "fingerprint"))
+    return prints.join(simhash.component_ids(prints), "fingerprint").select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op4_chat_examples": op4_chat_examples,
     "op5_byte_shards": op5_byte_shards,
+    "op7_simhash_components": op7_simhash_components,
 }
 
 
