@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat, credentials, sharding, simhash
+from pageloom.llm import chat, credentials, decontamination, gam, sharding, simhash
 from pageloom.session import checkpointed
 
 
@@ -17,6 +17,17 @@ def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and items of the benchmark that occur in each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hit_spans", F.lit(0), lambda n, s: n + s["last"] - s["first"]).cast("long")
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
+        digest(F.array_join("hit_items", ",")).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credential spans of every document."""
     found = credentials.scan_credentials(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -75,13 +86,68 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~gam.held_out(F.col("doc_id")))
+    scored = gam.with_scores(docs, gam.train(docs, labels))
+    return scored.select(
+        "doc_id", gam.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
+    "op1_fm_decontamination": op1_fm_decontamination,
     "op2_secret_scan": op2_secret_scan,
     "op4_chat_examples": op4_chat_examples,
     "op5_byte_shards": op5_byte_shards,
     "op7_simhash_components": op7_simhash_components,
+    "op9_quality_gam": op9_quality_gam,
 }
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS p
+  FROM i, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS t(k) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM phrases),
+windows AS (
+  SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS p
+  FROM d, lengths, unnest(generate_series(1, len(w) - n + 1)) AS t(k)),
+hits AS (SELECT doc_id, k, n, item_id FROM windows JOIN phrases USING (n, p)),
+words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM hits, unnest(generate_series(k, k + n - 1)) AS t(pos) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_ESCAPED = "replace(replace(replace(coalesce({0}, ''), '\\', '\\\\'), '#', '\\h'), '<', '\\l')"
+
+OP4_SQL = f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)),
+sized AS (
+  SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+    4 + length(replace({_ESCAPED.format('role')}, chr(10), '\n')) + 1 + length({_ESCAPED.format('text')}) + 8 AS chars
+  FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+summed AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto FROM sized)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR pos = n) AS BIGINT) AS formatted_chars
+FROM summed GROUP BY conv_id
+"""
+
+
 def sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can express."""
+    return {"op1_fm_decontamination": OP1_SQL, "op4_chat_examples": OP4_SQL}
