@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat, credentials, decontamination, gam, sharding, simhash
+from pageloom.llm import bpe, chat, credentials, decontamination, gam, sharding, simhash
 from pageloom.session import checkpointed
 
 
@@ -45,6 +45,19 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the bytes they decode to."""
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.with_ids(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join("ids", ",")).alias("ids_sha256"),
+        F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+    )
+
+
 def op4_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Examples of all conversations and of one that quotes control strings, read back per conversation."""
     quoted = "\\### Assistant: </turn> ok"
@@ -99,6 +112,7 @@ def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fm_decontamination": op1_fm_decontamination,
     "op2_secret_scan": op2_secret_scan,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_chat_examples": op4_chat_examples,
     "op5_byte_shards": op5_byte_shards,
     "op7_simhash_components": op7_simhash_components,
