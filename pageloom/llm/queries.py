@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, chat, credentials, decontamination, gam, sharding, simhash
+from pageloom.llm import bpe, chat, credentials, decontamination, gam, sharding, simhash, syncmers
 from pageloom.session import checkpointed
 
 
@@ -99,6 +99,21 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    docs = syncmers.with_next_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text, n = F.coalesce(F.col("text"), F.lit("")), F.char_length(F.coalesce(F.col("text"), F.lit("")))
+    third = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substring(text, F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
+    texts = docs.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
+    printed = syncmers.with_fingerprints(texts, {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"})
+    return printed.select(
+        "doc_id", "n_chars", digest(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        syncmers.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        syncmers.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -116,6 +131,7 @@ QUERIES = {
     "op4_chat_examples": op4_chat_examples,
     "op5_byte_shards": op5_byte_shards,
     "op7_simhash_components": op7_simhash_components,
+    "op8_closed_syncmers": op8_closed_syncmers,
     "op9_quality_gam": op9_quality_gam,
 }
 

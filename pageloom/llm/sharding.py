@@ -23,10 +23,11 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.llm.keys import SIGN as _TOP
+from pageloom.llm.keys import rank_among
 from pageloom.session import checkpointed
 
 FIRST_BITS, NEXT_BITS = 14, 8
-_TOP = 1 << 63
 
 
 def _unsigned_prefix(column: str, bits: int) -> Column:
@@ -38,22 +39,6 @@ def _signed(prefix: int, bits: int) -> int:
     return (prefix << (64 - bits)) - _TOP
 
 
-def _below(key: tuple[int, int]) -> Column:
-    """The row's key is below the boundary."""
-    group, row = key
-    if row == -_TOP:
-        return F.col("_group") < group
-    return (F.col("_group") < group) | ((F.col("_group") == group) & (F.col("_row") < row))
-
-
-def _rank(bounds: list[tuple[int, int]], low: int = 0) -> Column:
-    """Number of boundaries at or below the row's key, as a binary tree of comparisons."""
-    if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    return F.when(_below(bounds[mid]), _rank(bounds[:mid], low)).otherwise(_rank(bounds[mid + 1 :], low + mid + 1))
-
-
 def find_splitters(keyed: DataFrame, shards: int, tolerance: float) -> tuple[list[tuple[int, int]], list[tuple[tuple[int, int], int]]]:
     """``shards - 1`` boundary keys with near-equal bytes between them, and the first histogram's edges.
 
@@ -144,13 +129,13 @@ def shard_by_bytes(
             last = below
     bounds = sorted(cuts)
     shard_of = [bisect_right(splitters, b) for b in [(-_TOP - 1, -_TOP), *bounds]]
-    counts = {r["piece"]: r["rows"] for r in keyed.groupBy(_rank(bounds).alias("piece")).agg(F.count("*").alias("rows")).collect()}
+    counts = {r["piece"]: r["rows"] for r in keyed.groupBy(rank_among(bounds, "_group", "_row").alias("piece")).agg(F.count("*").alias("rows")).collect()}
     before, offsets = 0, []
     for piece, shard in enumerate(shard_of):
         before = 0 if piece and shard != shard_of[piece - 1] else before
         offsets.append(before)
         before += counts.get(piece, 0)
-    moved = rows.withColumn("_piece", _rank(bounds)).repartition(len(bounds) + 1, "_piece")
+    moved = rows.withColumn("_piece", rank_among(bounds, "_group", "_row")).repartition(len(bounds) + 1, "_piece")
     place = F.row_number().over(Window.partitionBy("_piece").orderBy("_group", "_row"))
     spark = docs.sparkSession
     where = spark.createDataFrame(list(zip(range(len(shard_of)), shard_of, offsets)), "_piece int, shard int, _offset long")
