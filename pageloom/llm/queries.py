@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, chat, credentials, decontamination, gam, sharding, simhash, syncmers
+from pageloom.llm import bpe, chat, credentials, decontamination, gam, line_dedup, sharding, simhash, syncmers
 from pageloom.session import checkpointed
 
 
@@ -124,6 +124,12 @@ def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of a document that repeats an earlier one, with its place in the original text."""
+    spans = line_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spans.select("doc_id", "start", "end", "n_units", "n_words", "kept_doc_id")
+
+
 QUERIES = {
     "op1_fm_decontamination": op1_fm_decontamination,
     "op2_secret_scan": op2_secret_scan,
@@ -133,6 +139,7 @@ QUERIES = {
     "op7_simhash_components": op7_simhash_components,
     "op8_closed_syncmers": op8_closed_syncmers,
     "op9_quality_gam": op9_quality_gam,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 
 
@@ -177,7 +184,26 @@ SELECT conv_id, count(*) AS n_turns,
 FROM summed GROUP BY conv_id
 """
 
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?]*') AS hits, string_split_regex(text, '[^.!?\n]+[.!?]*') AS gaps FROM documents),
+placed AS (
+  SELECT doc_id, i, hits[i] AS hit,
+    sum(length(gaps[i]) + coalesce(length(hits[i - 1]), 0)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS start
+  FROM d, unnest(generate_series(1, len(hits))) AS t(i)),
+normal AS (
+  SELECT doc_id, i, start, start + length(hit) AS stop, trim(regexp_replace(lower(hit), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM placed),
+units AS (
+  SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS words,
+    row_number() OVER (PARTITION BY doc_id ORDER BY i) AS ord,
+    row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) AS nth, first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id, start) AS keeper
+  FROM normal WHERE norm <> ''),
+runs AS (SELECT *, ord - row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS run FROM units WHERE nth > 1)
+SELECT doc_id, CAST(min(start) AS INTEGER) AS start, CAST(max(stop) AS INTEGER) AS "end", count(*) AS n_units, CAST(sum(words) AS BIGINT) AS n_words,
+  arg_min(keeper, ord) AS kept_doc_id
+FROM runs GROUP BY doc_id, run HAVING sum(words) >= 10
+"""
+
 
 def sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    return {"op1_fm_decontamination": OP1_SQL, "op4_chat_examples": OP4_SQL}
+    return {"op1_fm_decontamination": OP1_SQL, "op4_chat_examples": OP4_SQL, "op10_repeated_passages": OP10_SQL}
