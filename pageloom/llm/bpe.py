@@ -3,14 +3,13 @@ r"""Byte-level BPE: distinct words are encoded by a fold of ranked merges, decod
 A text is cut into words by the vocabulary's pattern. Words are counted over all documents, and the
 most frequent ones (at most ``hot_words``, whatever the corpus) are encoded once each: Spark's
 higher-order functions fold merges over the array of a word's bytes, always taking the leftmost pair
-of the lowest rank, with the ranks in a literal map. The encoded words are broadcast, and each
-document looks its words up; a word that is not among them is folded in its own row. So no document
-is shuffled, nothing that is broadcast grows with the corpus, and every word is encoded by the same fold.
-
-A piece is written as a string with one character (U+0000 to U+00FF) per byte; the literal map is an
-array of small maps, chosen by the CRC32 of the key, since Spark searches a map linearly. The fold
-copies the word's pieces at each merge, so a word of more than ``LONG_WORD`` characters, such as a
-page of unbroken letters, is merged with a heap in the Arrow step instead.
+of the lowest rank, with the ranked merges in a literal map. The literal leads from a pair of ids to the
+id of the merged piece, which is its rank; it is kept in many small buckets, since Spark searches
+arrays linearly. The encoded words are broadcast, and each document looks its words up. A word that
+is not among them is merged where it stands, in the Arrow step: a fold in the row costs about 60
+microseconds for each, five times as much, and a word of over ``LONG_WORD`` bytes, such as a page of
+unbroken letters, needs a heap. So no document is shuffled, and nothing that is broadcast grows with
+the corpus.
 
 Cases: a NULL or empty text has no ids and decodes to no bytes; decoding gives the text's UTF-8 bytes
 back; repeated rows are encoded each; an empty table gives no rows. Other columns pass through, and
@@ -22,7 +21,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +34,9 @@ from pageloom.session import checkpointed
 
 HOT_WORDS = 1 << 19
 HOT_LENGTH = 64
-LONG_WORD = 1024
-_BUCKETS = 1 << 14
+LONG_WORD = 256
+# Ids are below _WIDE - 1; a prime number of buckets spreads the pair keys.
+_WIDE, _BUCKETS = 1 << 20, 32749
 # Fixed value: Unicode white space, which \s means to the vocabulary's own library.
 _BLANK = r"\t-\r \x85\xa0  -     　"
 
@@ -76,59 +75,73 @@ def byte_chars(word: Column) -> Column:
     return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
 
-def _bucket(key: bytes) -> int:
-    return zlib.crc32(key.decode("latin-1").encode()) % _BUCKETS
-
+def pair_table(ranks: dict[bytes, int]) -> Column:
+    """The rank map as one literal (constant folding makes it of the JSON text): which two ids merge into which.
 
-def rank_lookup(ranks: dict[bytes, int]):
-    """A function from a column of pieces to their ranks (NULL for what is none), over one literal."""
-    buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
+    struct<first, keys, ids>: the id of each byte, and buckets of pair keys beside the ids they merge into.
+    """
+    keys: list[list[int]] = [[] for _ in range(_BUCKETS)]
+    ids: list[list[int]] = [[] for _ in range(_BUCKETS)]
     for piece, rank in ranks.items():
-        buckets[_bucket(piece)][piece.decode("latin-1")] = rank
-    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
-    return lambda piece: F.element_at(F.get(table, (F.crc32(piece.cast("binary")) % _BUCKETS).cast("int")), piece)
+        for cut in range(1, len(piece)):
+            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if left is not None and right is not None:
+                key = left * _WIDE + right
+                keys[key % _BUCKETS].append(key)
+                ids[key % _BUCKETS].append(rank)
+    table = {"first": [ranks[bytes([b])] for b in range(256)], "keys": keys, "ids": ids}
+    return F.from_json(F.lit(json.dumps(table)), "struct<first:array<int>,keys:array<array<bigint>>,ids:array<array<int>>>")
 
 
-def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids of one word, as an array."""
-    rank = rank_lookup(ranks)
-    none = F.lit(None).cast("int")
+def with_table(ranks: dict[bytes, int], body) -> Column:
+    """``body(table)`` with one copy of the literal, bound to names for the folds inside."""
+    return let(pair_table(ranks), body)
 
-    def merged(state: Column) -> Column:
-        """Merge the leftmost pair of the lowest rank, and rank the two pairs it now takes part in."""
-        pieces, pairs = state["pieces"], state["pairs"]
 
-        def at(i: Column) -> Column:  # i: place of the pair, from 1
-            def build(new: Column) -> Column:
-                before, after = F.get(pieces, i - 2), F.get(pieces, i + 1)
-                left = F.when(i > 1, F.array(rank(F.concat(before, new)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(after.isNotNull(), F.array(rank(F.concat(new, after)))).otherwise(F.array().cast("array<int>"))
-                n = F.size(pieces)
-                return F.struct(
-                    F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(new), F.slice(pieces, i + 2, n)).alias("pieces"),
-                    F.concat(F.slice(pairs, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(pairs, i + 2, n)).alias("pairs"),
-                )
+def fold_merges(word: Column, table: Column) -> Column:
+    """Ids of one word, as an array; ``table`` comes from :func:`with_table`.
 
-            return let(F.concat(F.get(pieces, i - 1), F.get(pieces, i)), build)
+    The state is the ids of the pieces, between two ids that merge with nothing, and for each pair of
+    neighbours the id it would merge into. An id is a rank, so the least entry is both the pair
+    to merge and the new piece; the two pairs it then takes part in are looked up anew.
+    """
+    # slice and concat copy an array several times over; filter and transform walk it once
+    edge = F.lit(_WIDE - 1)
 
-        return let(F.array_position(pairs, F.array_min(pairs)).cast("int"), at)
+    def merge_of(left: Column, right: Column) -> Column:
+        key = left.cast("bigint") * _WIDE + right
+        return let(key, lambda k: let(
+            (k % _BUCKETS).cast("int"), lambda b: F.get(F.get(table["ids"], b), F.array_position(F.get(table["keys"], b), k).cast("int") - 1)
+        ))
 
-    def split(chars: Column) -> Column:
-        n = F.char_length(chars)
-        pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(chars, i, F.lit(1)))
-        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(chars, i, F.lit(2))))).otherwise(
-            F.array().cast("array<int>")
-        )
-        state = F.struct(pieces.alias("pieces"), pairs.alias("pairs"))
-        done = F.aggregate(
-            F.sequence(F.lit(1), n), state, lambda s, _: F.when(F.array_min(s["pairs"]).isNull(), s).otherwise(merged(s))
-        )
-        return F.transform(done["pieces"], rank)
+    def merged(state: Column) -> Column:
+        ids, pairs = state["ids"], state["pairs"]
+
+        def at(x: Column) -> Column:  # the new id, and the place of its pair; an edge is on either side
+            new, p = x["new"], x["p"]
+            return F.struct(
+                F.transform(F.filter(ids, lambda _, i: i != p + 1), lambda v, i: F.when(i == p, new).otherwise(v)).alias("ids"),
+                F.transform(
+                    F.filter(pairs, lambda _, i: i != p),
+                    lambda v, i: F.when(i == p - 1, merge_of(F.get(ids, p - 1), new)).when(i == p, merge_of(new, F.get(ids, p + 2))).otherwise(v),
+                ).alias("pairs"),
+            )
+
+        return let(F.array_min(pairs), lambda new: F.when(new.isNull(), state).otherwise(
+            let(F.struct(new.alias("new"), (F.array_position(pairs, new) - 1).cast("int").alias("p")), at)
+        ))
 
-    def whole(chars: Column) -> Column:
-        return let(rank(chars), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(split(chars)))
+    def folded(ids: Column) -> Column:
+        pairs = F.transform(ids, lambda x, i: merge_of(x, F.coalesce(F.get(ids, i + 1), edge)))
+        start = F.struct(ids.alias("ids"), pairs.alias("pairs"))
+        done = F.aggregate(F.sequence(F.lit(3), F.size(ids)), start, lambda s, _: merged(s))["ids"]
+        return F.filter(done, lambda x: x != edge)
+
+    def bytes_of(chars: Column) -> Column:
+        n = F.char_length(chars)
+        return F.transform(F.sequence(F.lit(0), n + 1), lambda i: F.when((i == 0) | (i > n), edge).otherwise(F.get(table["first"], F.ascii(F.substring(chars, i, F.lit(1))))))
 
-    return let(byte_chars(word), whole)
+    return let(let(byte_chars(word), bytes_of), folded)
 
 
 def merge_long(data: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -158,6 +171,25 @@ def merge_long(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[data[i : ends[i]]] for i in range(n) if alive[i]]
 
 
+def merge_one(data: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one rare word."""
+    if data in ranks:
+        return [ranks[data]]
+    if len(data) > LONG_WORD:
+        return merge_long(data, ranks)
+    pieces = [data[i : i + 1] for i in range(len(data))]
+    pairs = [ranks.get(a + b, _WIDE) for a, b in zip(pieces, pieces[1:])]
+    while pairs and (least := min(pairs)) < _WIDE:
+        i = pairs.index(least)
+        pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = ranks.get(pieces[i] + pieces[i + 1], _WIDE)
+        if i:
+            pairs[i - 1] = ranks.get(pieces[i - 1] + pieces[i], _WIDE)
+    return [ranks[p] for p in pieces]
+
+
 def count_words(docs: DataFrame, text: str, pattern: str) -> DataFrame:
     """(word, n) over all documents; counted in the tasks before the shuffle."""
     return docs.select(F.explode(words_of(F.col(text), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
@@ -178,7 +210,8 @@ def hot_vocabulary(counts: DataFrame, ranks: dict[bytes, int], most: int = HOT_W
             break
         least = row["step"]
     chosen = short.filter(step >= least) if least is not None else short.limit(0)
-    return chosen.select("word", fold_merges(F.col("word"), ranks).alias("ids")).toArrow()
+    ids = with_table(ranks, lambda t: fold_merges(F.col("word"), t))
+    return chosen.select("word", ids.alias("ids")).toArrow()
 
 
 def with_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", into: str = "ids", hot_words: int = HOT_WORDS) -> DataFrame:
@@ -192,46 +225,34 @@ def with_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
         ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32),
         np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64),
     ))
-    pieces = context.broadcast(ranks)
-    kept = [c for c in docs.columns if c not in (into, "_words", "_runs", "_misses")]
+    shared_ranks = context.broadcast(ranks)
+    kept = [c for c in docs.columns if c not in (into, "_words")]
     cut = docs.select(*kept, words_of(F.col(text), pattern).alias("_words"))
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema][:-1], "_runs array<array<int>>", "_misses array<string>"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema][:-1], f"`{into}` array<int>"])
 
     def look_up(batches):
         words, table, bounds = tables.value
         for batch in bt.by_rows(batches, 1024):
             column = batch.column(batch.num_columns - 1)
-            flat, ends = column.flatten(), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            flat, lengths = column.flatten(), column.value_lengths().to_numpy(zero_copy_only=False)
             place = pc.fill_null(pc.index_in(flat, value_set=words), -1).to_numpy(zero_copy_only=False)
+            missed = np.flatnonzero(place < 0)
             own_table, own_bounds = table, bounds
-            long = np.flatnonzero((place < 0) & (pc.utf8_length(flat).to_numpy(zero_copy_only=False) > LONG_WORD)) if len(flat) else []
-            if len(long):
-                found = [merge_long(flat[int(i)].as_py().encode("utf-8", "surrogatepass"), pieces.value) for i in long]
+            if len(missed):
+                rare = flat.take(pa.array(missed)).dictionary_encode()
+                found = [merge_one(w.encode("utf-8", "surrogatepass"), shared_ranks.value) for w in rare.dictionary.to_pylist()]
                 place = place.copy()
-                place[long] = len(bounds) - 1 + np.arange(len(long))
+                place[missed] = len(bounds) - 1 + rare.indices.to_numpy(zero_copy_only=False)
                 own_table = np.concatenate([table, *[np.array(f, np.int32) for f in found]])
                 own_bounds = np.concatenate([bounds, bounds[-1] + np.cumsum([len(f) for f in found])])
-            hit = place >= 0
-            sizes = np.where(hit, own_bounds[place + 1] - own_bounds[place], 0)
+            sizes = own_bounds[place + 1] - own_bounds[place]
             before = np.concatenate([[0], np.cumsum(sizes)])
-            starts = np.where(hit, own_bounds[place], 0)
-            ids = own_table[np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])]
-            # a run of looked-up ids ends at each miss and at each text's end
-            misses = np.flatnonzero(~hit)
-            stops = np.sort(np.concatenate([misses * 2 + 1, ends * 2])) // 2
-            upto = np.searchsorted(misses, ends)  # misses before each text's end
-            runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], before[stops]]), pa.int32()), pa.array(ids, pa.int32()))
-            outer = np.concatenate([[0], upto + np.arange(1, len(ends) + 1)])
-            missed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]), pa.int32()), flat.take(pa.array(misses)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(outer, pa.int32()), runs), missed], names=[*kept, "_runs", "_misses"]
-            )
+            ids = own_table[np.repeat(own_bounds[place] - before[:-1], sizes) + np.arange(before[-1])]
+            ends = before[np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)]
+            made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*kept, into])
 
-    found = cut.mapInArrow(look_up, schema)
-    filled = F.flatten(F.transform("_runs", lambda run, i: F.when(
-        i < F.size("_misses"), F.concat(run, fold_merges(F.get("_misses", i), ranks))
-    ).otherwise(run)))
-    return found.select(*kept, filled.alias(into))
+    return cut.mapInArrow(look_up, schema)
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:

@@ -41,11 +41,20 @@ def test_long_merge_is_the_fold(spark):
     rng = random.Random(2)
     for _ in range(200):
         data = bytes(rng.choice(b"abe th\xc3\xa9") for _ in range(rng.randint(1, 60)))
-        assert bpe.merge_long(data, RANKS) == LIBRARY._encode_single_piece(data)
+        assert bpe.merge_long(data, RANKS) == bpe.merge_one(data, RANKS) == LIBRARY._encode_single_piece(data)
+
+
+def test_fold_is_the_library(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abe thé日") for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    got = frame.select("word", bpe.with_table(RANKS, lambda t: bpe.fold_merges(F.col("word"), t)).alias("ids")).collect()
+    for r in got:
+        assert r["ids"] == LIBRARY._encode_single_piece(r["word"].encode())
 
 
 def test_rank_map_is_a_literal(spark, documents):
-    frame = documents([(1, "a")]).select(bpe.fold_merges(F.col("text"), RANKS).alias("ids"))
+    frame = documents([(1, "a")]).select(bpe.with_table(RANKS, lambda t: bpe.fold_merges(F.col("text"), t)).alias("ids"))
     assert "from_json" not in frame._jdf.queryExecution().optimizedPlan().toString()
 
 
