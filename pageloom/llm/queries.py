@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, chat, credentials, decontamination, gam, line_dedup, sharding, simhash, syncmers
+from pageloom.llm import bpe, chat, credentials, decontamination, gam, kneser_ney, line_dedup, sharding, simhash, syncmers
 from pageloom.session import checkpointed
 
 
@@ -90,6 +90,15 @@ def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of the rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", gam.held_out(F.col("doc_id"), 5).alias("held_out"))
+    model = kneser_ney.train(docs.filter(~F.col("held_out")))
+    return kneser_ney.with_scores(docs, model).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -136,6 +145,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_chat_examples": op4_chat_examples,
     "op5_byte_shards": op5_byte_shards,
+    "op6_kneser_ney": op6_kneser_ney,
     "op7_simhash_components": op7_simhash_components,
     "op8_closed_syncmers": op8_closed_syncmers,
     "op9_quality_gam": op9_quality_gam,
