@@ -255,15 +255,42 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     kept = [c for c in docs.columns if c not in ("fingerprint", "component_id")]
     printed = with_fingerprints(docs.select(*kept), text, width)
     prints = checkpointed(with_fingerprints(docs.select(F.col(doc_id).alias("id"), text), text, width).select("id", "fingerprint"))
-    return printed.join(component_ids(prints, distance), "fingerprint").select(*kept, "fingerprint", "component_id")
+    return printed.join(component_ids(prints, distance).drop("root"), "fingerprint").select(*kept, "fingerprint", "component_id")
 
 
 def component_ids(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """(fingerprint, component_id) for the distinct fingerprints of (id, fingerprint)."""
+    """(fingerprint, component_id, root) for the distinct fingerprints of (id, fingerprint); ``root`` names the component."""
     vertices = checkpointed(prints.groupBy("fingerprint").agg(F.min("id").alias("least")))
     roots = components(near_links(vertices.select("fingerprint"), distance))
     placed = vertices.join(roots.withColumnRenamed("vertex", "fingerprint"), "fingerprint", "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(ids, "root").select("fingerprint", "component_id")
+    return placed.join(ids, "root").select("fingerprint", "component_id", "root")
+
+
+def one_per_component(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, distance: int = 3) -> DataFrame:
+    """One row of each component: of those with the least id (a NULL id only if there is no other), the least by text hash.
+
+    All columns are kept. The component table is written first, so that the join with the documents is a plain
+    one, whose crowded fingerprints Spark can split.
+    """
+    own = [f"_c{i}" for i in range(len(docs.columns))]  # the documents may have columns of any name
+    text, doc_id = own[docs.columns.index(text)], own[docs.columns.index(doc_id)]
+    hashed = with_fingerprints(docs.toDF(*own), text, width).withColumn("_text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    prints = checkpointed(hashed.select(F.col(doc_id).alias("id"), "fingerprint", "_text"))
+    known = checkpointed(component_ids(prints, distance))
+    # which row stays is settled on narrow rows: the least text hash under the component's least id
+    met = prints.join(known, "fingerprint").filter(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = checkpointed(met.groupBy("root").agg(F.min("_text").alias("least")).join(known, "root"))
+    chosen = hashed.join(kept.select("fingerprint", "component_id", "least", "root"), "fingerprint").filter(
+        F.col(doc_id).eqNullSafe(F.col("component_id")) & (F.col("_text") == F.col("least"))
+    )
+    # rows equal in id and text are left; they are rare, so only their roots are looked up before one is taken
+    repeated = met.groupBy("root", "_text").count().filter("count > 1").join(kept.select("root", F.col("least").alias("_text")).distinct(), ["root", "_text"])
+    repeated = checkpointed(repeated.select("root"))
+    columns = [F.col(c).alias(name) for c, name in zip(own, docs.columns)]
+    if repeated.isEmpty():
+        return chosen.select(*columns)
+    twice = chosen.join(repeated, "root", "left_semi").dropDuplicates(["root"])
+    return chosen.join(repeated, "root", "left_anti").select(*columns).unionByName(twice.select(*columns))
