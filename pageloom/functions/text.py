@@ -13,19 +13,19 @@ from pyspark.sql import functions as F
 from pageloom.functions.binding import let
 
 # Fixed values: (pattern, replacement, a literal every match contains) in the order they apply.
-# The text is ASCII after the first. Each pattern tests what rarely holds first (a digit or capital
-# before a word boundary, say), and the last rules leave alone what already has their form.
+# The text is ASCII after the first. The e-mail and punctuation rules are written so that a long run is
+# entered once, and the last rule leaves alone what already has its form.
 CLEANING_RULES = [
     (r"[^\x00-\x7F]+", "", None),                                           # non-ASCII characters
     (r"http[s]?://\S+", "", "http"),                                        # URLs
     (r"(?<!\S)(?:[^\s@]++@\S+|@\S*@\S+)", "", "@"),                         # e-mail addresses
     (r"\[\d+(-\d+)?(,\s*\d+(-\d+)?)*+\]", "", "["),                         # [1], [1-3,5]
-    (r"(?=\d)\b\d+\.\d+([eE][-+]?\d+)?\s*mg\b", "", "mg"),                  # 2.3 mg
-    (r"(?=\d)\b\d+\.\d+([eE][-+]?\d+)?\b", "", None),                       # 1.5e-4
+    (r"\b\d+\.\d+([eE][-+]?\d+)?\s*mg\b", "", "mg"),                        # 2.3 mg
+    (r"\b\d+\.\d+([eE][-+]?\d+)?\b", "", None),                             # 1.5e-4
     (r"\[[Jj]\]\.", "", "]."),                                              # [J].
-    (r"(?d)(?=[A-Z])\b([A-Z][a-z]*\b\.?\s*){1,4}(\d{4}).*?\d+", "", None),  # authors, year, up to digits
+    (r"(?d)\b([A-Z][a-z]*\b\.?\s*){1,4}(\d{4}).*?\d+", "", None),  # authors, year, up to digits
     (r"\s(?<!\s\s)\s*+([,.!?])\s*|([,.!?])(?! (?![\s,.!?]))\s*", "$1$2 ", None),  # one blank after , . ! ?
-    (r"([A-Z](?<!\w[A-Z])\.)\s+", "$1", None),                              # J. D. -> J.D.
+    (r"\b([A-Z]\.)\s*", "$1", None),                                       # J. D. -> J.D.
     (r"[ \t\n\x0b\f\r\x1c\x1d\x1e\x1f]{2,}|[\t\n\x0b\f\r\x1c\x1d\x1e\x1f]", " ", None),  # blanks collapse
 ]
 

@@ -1,24 +1,32 @@
-"""Vector collections as partitioned parquet tables.
-
-Below ``root``, ``catalog/collection=<name>`` records the declared dimension and bucket count, and
-``points/collection=<name>/bucket=<b>`` holds (id, vector, payload). The bucket is a hash of the id,
-so an upsert rewrites only the buckets its ids fall into, and a search reads one collection's folders.
+"""Vector collections as versioned parquet tables.
+
+Below ``root``, ``catalog/collection=<name>`` records the declared dimension and
+``points/collection=<name>/version=<n>`` holds one written batch (id, vector, payload), whose ids are
+unique. ``published/collection=<name>/<n>`` lists the batches that make up the collection after its
+n-th change: first a base, then upserts, oldest first. A list is written when its batches are complete, and it
+is never changed, so a writer that dies leaves the last list and all of its files as they were, a
+repeated batch changes nothing, and readers see one whole state at any time. Reading takes the newest row of each
+id; compaction merges the batches into a new base.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom.schemas import METADATA_FIELDS
 from pageloom.session import checkpointed
-from pageloom.sources.tables import has_folders, has_rows, table_exists
+from pageloom.sources.tables import folder_names, has_rows, table_exists
 
 # Fixed value: the distance of every collection.
 DISTANCE = "Cosine"
 
+# What an empty collection reads as.
+POINTS = f"id bigint, vector array<float>, payload struct<Wiki_content: string, {', '.join(f'`{f}`: ' + ('int' if f == 'Year' else 'string') for f in METADATA_FIELDS)}>"
+
 _DOC_BITS, _CHUNK_BITS = 39, 24
 
 
@@ -31,12 +39,6 @@ def packed_id(doc: Column, chunk_no: Column) -> Column:
     return F.when(fits, value).otherwise(F.raise_error(F.lit("document or chunk number out of range")).cast("bigint"))
 
 
-def hashed_id(*keys: Column) -> Column:
-    """Stable point id of any key. Two keys share one with probability n²/2⁶⁵ over n points, about
-    0.03 % at 100 million; use :func:`packed_id` or :func:`with_dense_ids` beyond that."""
-    return F.xxhash64(*keys)
-
-
 def with_dense_ids(df: DataFrame, order: list[str], into: str = "id") -> DataFrame:
     """Number the rows 0..n-1 by ``order``, a unique key, without a window over one partition.
 
@@ -68,7 +70,7 @@ def flat_payload(content: str = "Wiki_content", metadata: str = "Metadata") -> C
 
 @dataclass(frozen=True)
 class Collection:
-    """A named set of points; every method is one Spark job."""
+    """A named set of points. One writer at a time; any number of readers."""
 
     spark: SparkSession
     root: str
@@ -79,79 +81,98 @@ class Collection:
         return f"{self.root}/catalog/collection={self.name}"
 
     @property
-    def _points(self) -> str:
-        return f"{self.root}/points/collection={self.name}"
+    def _published(self) -> str:
+        return f"{self.root}/published/collection={self.name}"
+
+    def _version(self, n: int) -> str:
+        return f"{self.root}/points/collection={self.name}/version={n}"
 
     def exists(self) -> bool:
         return table_exists(self.spark, self._catalog)
 
-    def create(self, dim: int, buckets: int = 64) -> None:
+    def create(self, dim: int) -> None:
         """Declare the collection; an error if it is there already."""
         if self.exists():
             raise ValueError(f"collection {self.name} exists")
-        self._declare(dim, buckets)
+        self._declare(dim)
 
-    def _declare(self, dim: int, buckets: int) -> None:
-        row = self.spark.range(1).select(
-            F.lit(dim).alias("dim"), F.lit(DISTANCE).alias("distance"), F.lit(buckets).alias("buckets")
-        )
+    def _declare(self, dim: int) -> None:
+        row = self.spark.range(1).select(F.lit(dim).alias("dim"), F.lit(DISTANCE).alias("distance"))
         row.coalesce(1).write.mode("overwrite").parquet(self._catalog)
 
-    def settings(self) -> tuple[int, int]:
-        row = self.spark.read.parquet(self._catalog).first()
-        return row["dim"], row["buckets"]
+    def dim(self) -> int:
+        return self.spark.read.parquet(self._catalog).first()["dim"]
+
+    def _changes(self) -> list[int]:
+        """Numbers of the published lists, in order."""
+        return sorted(int(n) for n in folder_names(self.spark, self._published) if n.isdigit() and table_exists(self.spark, f"{self._published}/{n}"))
 
-    def _has_points(self) -> bool:
-        return has_folders(self.spark, self._points, "bucket=*")
+    def versions(self) -> list[int]:
+        """The batches of the collection: base first, then upserts; none if nothing was stored."""
+        changes = self._changes()
+        if not changes:
+            return []
+        rows = self.spark.read.parquet(f"{self._published}/{changes[-1]}").orderBy("place").collect()  # bounded by compaction
+        return [r["version"] for r in rows]
 
     def points(self) -> DataFrame:
-        """All points: (id, vector, payload)."""
-        return self.spark.read.parquet(self._points).drop("bucket")
+        """All points: (id, vector, payload). A declared collection without points has no rows."""
+        versions = self.versions()
+        if not versions:
+            return self.spark.createDataFrame([], POINTS)
+        batches = [self.spark.read.parquet(self._version(n)) for n in versions]
+        if len(batches) == 1:
+            return batches[0]
+        # the base is large and read as it lies, but for what the upserts replace
+        place = lambda df, i: df.select("id", "vector", "payload", F.lit(i).alias("place"))
+        upserts = reduce(lambda a, b: a.unionByName(b), [place(df, i) for i, df in enumerate(batches[1:])])
+        newest = _newest(upserts, F.col("place"))
+        return batches[0].join(newest.select("id"), "id", "left_anti").unionByName(newest)
 
     def is_populated(self) -> bool:
         """The collection exists and holds a point."""
-        return self.exists() and self._has_points() and has_rows(self.points())
+        return self.exists() and has_rows(self.points())
 
     def count(self) -> int:
-        return self.points().count() if self._has_points() else 0
+        return self.points().count()
 
-    def upsert(self, points: DataFrame, latest_by: str | None = None) -> None:
+    def upsert(self, points: DataFrame, latest_by: str | None = None, compact_after: int = 16) -> None:
         """Insert the points; one with a known id replaces the old one, and other old ids stay.
 
-        Ids must be unique in ``points`` unless ``latest_by`` orders the versions of an id; the
-        greatest wins. The batch is written to the checkpoint folder first, as it is read twice.
+        Of several rows for one id in ``points`` the one with the greatest ``latest_by`` counts (without
+        it the greatest by a hash of the row). Only the batch is written; every ``compact_after`` batches
+        the collection is merged.
         """
-        dim, buckets = self.settings()
-        batch = checkpointed(self._prepared(points, dim, buckets, latest_by))
-        if self._has_points():
-            touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most `buckets` rows
-            old = self.spark.read.parquet(self._points).filter(F.col("bucket").isin(touched))
-            batch = old.join(batch.select("id"), "id", "left_anti").unionByName(batch)
-        self._write(batch, "dynamic")
-
-    def replace(self, points: DataFrame, dim: int, buckets: int = 64, latest_by: str | None = None) -> None:
-        """Drop what is there and store the points."""
-        self._declare(dim, buckets)
-        self._write(self._prepared(points, dim, buckets, latest_by), "static")
-
-    def _prepared(self, points: DataFrame, dim: int, buckets: int, latest_by: str | None) -> DataFrame:
-        if latest_by:
-            newest = F.max_by(F.struct("vector", "payload"), latest_by).alias("p")
-            points = points.groupBy("id").agg(newest).select("id", "p.*")
+        self._publish(points, latest_by, self.versions())
+        if len(self.versions()) > compact_after:
+            self.compact()
+
+    def replace(self, points: DataFrame, dim: int, latest_by: str | None = None) -> None:
+        """Store the points in place of what is there. Readers see the old state until the new one is complete."""
+        self._declare(dim)
+        self._publish(points, latest_by, [])
+
+    def compact(self) -> None:
+        """Merge all batches into a new base; earlier lists and their files stay readable."""
+        self._publish(self.points(), None, [])
+
+    def _publish(self, points: DataFrame, latest_by: str | None, before: list[int]) -> None:
+        changes = self._changes()
+        n = changes[-1] + 1 if changes else 0
+        # leftovers of a writer that died before publishing are overwritten
+        self._prepared(points, latest_by).write.mode("overwrite").parquet(self._version(n))
+        listed = self.spark.createDataFrame(list(enumerate([*before, n])), "place int, version long")
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{self._published}/{n}")
+
+    def _prepared(self, points: DataFrame, latest_by: str | None) -> DataFrame:
+        dim = self.dim()
+        order = F.col(latest_by) if latest_by else F.xxhash64("vector", F.to_json("payload"))
         wrong = F.raise_error(F.lit(f"collection {self.name} takes vectors of length {dim}"))
-        return points.select(
-            "id",
-            F.when(F.size("vector") == dim, F.col("vector")).otherwise(wrong.cast("array<float>")).alias("vector"),
-            "payload",
-            F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"),
+        return _newest(points, order).select(
+            "id", F.when(F.size("vector") == dim, F.col("vector")).otherwise(wrong.cast("array<float>")).alias("vector"), "payload"
         )
 
-    def _write(self, rows: DataFrame, overwrite: str) -> None:
-        # rebalancing lets adaptive execution cut a large bucket into several files
-        (
-            rows.hint("rebalance", "bucket")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", overwrite)
-            .partitionBy("bucket")
-            .parquet(self._points)
-        )
+
+def _newest(points: DataFrame, order: Column) -> DataFrame:
+    """One row per id, the greatest in ``order``; copies collapse before the shuffle."""
+    return points.groupBy("id").agg(F.max_by(F.struct("vector", "payload"), order).alias("p")).select("id", "p.*")

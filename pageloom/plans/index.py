@@ -23,8 +23,8 @@ class Model:
     embed_query: Callable[[Column], Column]
 
 
-def hashed_model(name: str = "hashed-64", dim: int = 64, max_query_terms: int = 512) -> Model:
-    """The built-in model; documents are taken whole, queries are truncated."""
+def hashed_model(name: str = "hashed-64", dim: int = 64, max_query_terms: int | None = None) -> Model:
+    """The built-in model; texts are taken whole, and queries as well unless ``max_query_terms`` truncates them."""
     return Model(
         name, dim,
         lambda text: embedding.hashed_embedding(text, dim),
@@ -63,13 +63,16 @@ def build_points(dataset: DataFrame, key: str, chunk_size: int, model: Model, id
     return embedded_points(summarized_chunks(chunks, summary=summary), model)
 
 
-def store_points(collection: Collection, points: DataFrame, model: Model, mode: str = "production") -> None:
-    """``production`` keeps an existing collection and upserts; ``evaluation`` replaces it."""
+def store_points(collection: Collection, points: DataFrame, model: Model, mode: str = "production", latest_by: str | None = None) -> None:
+    """``production`` keeps an existing collection and upserts; ``evaluation`` replaces it.
+
+    Of several points with one id the one with the greatest ``latest_by`` counts.
+    """
     if mode == "evaluation":
-        collection.replace(points, model.dim)
+        collection.replace(points, model.dim, latest_by)
     elif mode == "production":
         if not collection.exists():
             collection.create(model.dim)
-        collection.upsert(points)
+        collection.upsert(points, latest_by)
     else:
         raise ValueError(f"mode must be production or evaluation, not {mode}")

@@ -190,14 +190,17 @@ def _stored(rows: DataFrame) -> DataFrame:
 
 @query
 def collection_upsert(spark, sf):
-    """Keep mode: store everything, then upsert the first chunk of every document with new text."""
+    """Keep mode: store everything in two versions, upsert the first chunk of every document with new text, compact."""
     points = _points(spark, sf)
     kept = Collection(spark, scratch_path(spark, "collections"), "kept")
-    kept.create(DIM, buckets=16)
-    kept.upsert(points)
+    kept.create(DIM)
+    stale = points.withColumn("payload", F.col("payload").withField("Wiki_content", F.lit("stale")))
+    both = stale.withColumn("seen", F.lit(0)).unionByName(points.withColumn("seen", F.lit(1)))
+    kept.upsert(both, "seen")
     first = points.filter(F.col("id") % (1 << 24) == 0)
     changed = first.withColumn("payload", F.col("payload").withField("Wiki_content", F.lit("changed")))
     kept.upsert(changed)
+    kept.compact()
     return _stored(kept.points())
 
 
@@ -207,9 +210,9 @@ def collection_replace(spark, sf):
     points = _points(spark, sf)
     root = scratch_path(spark, "collections")
     other, scanned = Collection(spark, root, "other"), Collection(spark, root, "scanned")
-    other.replace(points, DIM, buckets=8)
-    scanned.replace(points, DIM, buckets=8)
-    scanned.replace(other.points().filter(F.col("payload.lang") == "en"), DIM, buckets=8)
+    other.replace(points, DIM)
+    scanned.replace(points, DIM)
+    scanned.replace(other.points().filter(F.col("payload.lang") == "en"), DIM)
     return _stored(scanned.points())
 
 
@@ -217,7 +220,7 @@ def collection_replace(spark, sf):
 def collection_counts(spark, sf):
     """Stored count and populated check before and after the load."""
     made = Collection(spark, scratch_path(spark, "collections"), "made")
-    made.create(DIM, buckets=8)
+    made.create(DIM)
     before = made.is_populated()
     made.upsert(_points(spark, sf))
     stored = made.points().agg(F.count("*").alias("n_points"))
@@ -685,30 +688,33 @@ def built_index(spark, sf):
 # --- streaming ----------------------------------------------------------------------------------
 
 
-def _as_files(spark, df: DataFrame, name: str, files: int = 3) -> str:
+def _as_files(spark, df: DataFrame, name: str, files: int = 3, *by: str) -> str:
     path = scratch_path(spark, name)
-    df.repartition(files).write.parquet(path)
+    df.repartition(files, *by).write.parquet(path)
     return path
 
 
 @query
 def stream_ingest(spark, sf):
     """Documents arriving in files become points of a collection, batch by batch."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    stream = jobs.read_files(spark, _as_files(spark, docs, "docs"), docs.schema, files_per_batch=1)
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.lit(1).alias("edition"))
+    earlier = docs.filter("doc_id % 5 = 0").withColumn("text", F.reverse("text")).withColumn("edition", F.lit(0))
+    both = docs.unionByName(earlier)  # every fifth document comes in two editions, in one batch
+    stream = jobs.read_files(spark, _as_files(spark, both, "docs", 3, "doc_id"), both.schema, files_per_batch=1)
 
     def to_points(batch: DataFrame) -> DataFrame:
-        clean = batch.select("doc_id", tx.clean_text(F.col("text")).alias("text"))
-        chunked = chunking.chunk_documents(clean, CHUNK_SIZE, ["doc_id"], sentences=tx.distinct_sentences)
+        newest = batch.groupBy("doc_id").agg(F.max_by("text", "edition").alias("text"), F.max("edition").alias("edition"))
+        clean = newest.select("doc_id", "edition", tx.clean_text(F.col("text")).alias("text"))
+        chunked = chunking.chunk_documents(clean, CHUNK_SIZE, ["doc_id", "edition"], sentences=tx.distinct_sentences)
         content = chunking.chunk_text()
         return chunked.select(
             packed_id(F.col("doc_id"), F.col("chunk_no")).alias("id"),
             embedding.hashed_embedding(content, DIM).alias("vector"),
-            F.struct(content.alias("Wiki_content")).alias("payload"),
+            F.struct(content.alias("Wiki_content")).alias("payload"), "edition",
         )
 
     made = Collection(spark, scratch_path(spark, "collections"), "stream")
-    jobs.ingest(stream, to_points, made, index.hashed_model(dim=DIM), scratch_path(spark, "ckpt")).awaitTermination()
+    jobs.ingest(stream, to_points, made, index.hashed_model(dim=DIM), scratch_path(spark, "ckpt"), "edition").awaitTermination()
     return made.points().select("id", "payload.Wiki_content", F.size("vector").alias("dim"))
 
 
@@ -719,7 +725,7 @@ def stream_questions(spark, sf):
     stream = jobs.read_files(spark, _as_files(spark, rows, "questions"), rows.schema, files_per_batch=1)
     out = scratch_path(spark, "distinct")
     jobs.append_new_questions(stream, out, scratch_path(spark, "ckpt")).awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out)
+    return spark.read.schema("question string, batch long").parquet(out).select("question")
 
 
 @query

@@ -68,10 +68,11 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
 
 
-def has_folders(spark: SparkSession, path: str, pattern: str) -> bool:
-    """``path`` holds a folder matching ``pattern``; partition overwrites leave no success marker."""
-    location = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{pattern}")
-    return bool(location.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(location))
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it is missing."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/*")
+    found = location.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(location)
+    return [f.getPath().getName() for f in found or [] if f.isDirectory()]
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

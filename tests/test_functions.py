@@ -152,3 +152,33 @@ def test_settings(column):
     assert column(px.short_settings, [name]) == ["200,hub-model-a"]
     text = column(px.encode_config, ["d.parquet"], ["250"], ["hub/gan"])[0]
     assert column(px.decode_config, [text, text + ")", "junk"]) == [("d.parquet", 250, "hub/gan")] * 2 + [(None, None, None)]
+
+
+def test_all_entities_like_the_standard(column):
+    import html
+    from html.entities import html5
+
+    names = [n for n in html5 if n.endswith(";")]
+    cases = [f"a&{n}b" for n in names] + [
+        "&#65;", "&#0000000065;", "&#x0000000041;", "&#X41;", "&amp;lt;", "&amp;#65;", "&#38;lt;", "&nosuch;", "&;", "& &", "a&b;c", "&eacute;&rarr;", "&#1234567890;", "&#xD800;", "&#;", "x&amp",
+    ]
+    expected = {"&#1234567890;": "�", "&#xD800;": "�", "x&amp": "x&amp"}
+    got = column(hx.decode_entities, cases)
+    for case, value in zip(cases, got):
+        assert value == expected.get(case, html.unescape(case)), case
+
+
+def test_quoted_ends_of_tags(column):
+    cases = ['<a title="a>b" href="q">x</a>', "<a title='>' href='r'>", '<a href="s" title="unclosed>y</a>', "<a href=t>z</a>", '<a\ntitle="</a>"\nhref="u">']
+    assert column(hx.anchor_hrefs, cases) == [["q"], ["r"], ["s"], ["t"], ["u"]]
+    assert column(hx.html_text, ['<p title="1 > 0">shown</p>', '<img alt="a>b">text', "2 < 3 'and' 4 > 1"]) == ["shown", "text", "2 < 3 'and' 4 > 1"]
+
+
+def test_rooted_and_empty_references(column):
+    from urllib.parse import urljoin
+
+    base = "https://s.org/a/b/c?x=1"
+    hrefs = ["/a//b", "//", "https://", "https:", "///p", "a//b", "./a", "/a//../b", "/", "//h.org//x", "https:d", "#f", "?q", "//#f"]
+    got = column(urls.resolve_url, [base] * len(hrefs), hrefs)
+    for href, value in zip(hrefs, got):
+        assert value == urljoin(base, href), href

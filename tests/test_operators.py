@@ -284,7 +284,7 @@ def stored(collection):
 def test_collection_life(spark, tmp_path):
     made = Collection(spark, str(tmp_path), "c")
     assert not made.exists() and not made.is_populated()
-    made.create(2, buckets=4)
+    made.create(2)
     with pytest.raises(ValueError):
         made.create(2)
     assert made.exists() and not made.is_populated() and made.count() == 0
@@ -294,7 +294,7 @@ def test_collection_life(spark, tmp_path):
     assert stored(made) == expected and made.count() == 11 and made.is_populated()
     made.upsert(points(spark, [3, 4, 12], "new"))
     assert stored(made) == expected
-    made.replace(points(spark, [1, 2], "last"), 2, buckets=4)
+    made.replace(points(spark, [1, 2], "last"), 2)
     assert stored(made) == {1: "last1", 2: "last2"}
     with pytest.raises(Exception, match="length 3"):
         made.replace(points(spark, [1], "x"), 3)
@@ -302,12 +302,54 @@ def test_collection_life(spark, tmp_path):
 
 def test_upsert_takes_the_latest_version(spark, tmp_path):
     made = Collection(spark, str(tmp_path), "c")
-    made.create(2, buckets=2)
+    made.create(2)
     rows = points(spark, [1], "a").withColumn("at", F.lit(1)).union(points(spark, [1], "b").withColumn("at", F.lit(2)))
     made.upsert(rows, latest_by="at")
     assert stored(made) == {1: "b1"}
 
 
+def test_repeated_ids_in_a_batch_are_stored_once(spark, tmp_path):
+    made = Collection(spark, str(tmp_path), "c")
+    made.create(2)
+    rows = points(spark, [1, 2], "a").union(points(spark, [1, 1], "b"))
+    made.upsert(rows)
+    first = stored(made)
+    assert made.count() == 2 and made.points().count() == 2
+    made.upsert(rows)
+    assert stored(made) == first
+
+
+def test_a_writer_that_dies_changes_nothing(spark, tmp_path):
+    made = Collection(spark, str(tmp_path), "c")
+    made.create(2)
+    made.upsert(points(spark, range(5), "old"))
+    before = stored(made)
+    # the batch is written, its list is not; then the list is there in part
+    points(spark, range(3), "lost").write.parquet(made._version(1))
+    assert stored(made) == before
+    (tmp_path / "published" / "collection=c" / "1" / "_temporary").mkdir(parents=True)
+    assert stored(made) == before
+    made.upsert(points(spark, [4, 9], "new"))
+    assert stored(made) == before | {4: "new4", 9: "new9"} and made.versions() == [0, 1]
+
+
+def test_compaction(spark, tmp_path):
+    made = Collection(spark, str(tmp_path), "c")
+    made.create(2)
+    for n in range(5):
+        made.upsert(points(spark, [n, n + 1], f"v{n}-"), compact_after=3)
+    assert stored(made) == {i: f"v{i}-{i}" for i in range(5)} | {5: "v4-5"} and len(made.versions()) <= 3
+    reader = made.points()
+    made.compact()
+    assert made.versions() == [made._changes()[-1]] and stored(made) == {r["id"]: r["payload"]["Wiki_content"] for r in reader.collect()}
+
+
+def test_a_declared_collection_reads_as_empty(spark, tmp_path):
+    made = Collection(spark, str(tmp_path), "c")
+    made.create(2)
+    assert made.points().count() == 0 and "Wiki_content" in made.points().schema["payload"].dataType.names
+
+
 def test_samples(spark):
     frame = spark.range(100).select("id", (F.col("id") % 4).alias("g"))
     one, two = ([r["id"] for r in sampling.sample_rows(frame.repartition(n), 7, "id", 1).collect()] for n in (2, 5))

@@ -100,7 +100,7 @@ def test_streams(spark, tmp_path):
     out = str(tmp_path / "out")
     jobs.append_new_questions(stream.select("question"), out, str(tmp_path / "c1")).awaitTermination()
     spark.createDataFrame([(99, "question 1"), (98, "fresh")], rows.schema).write.mode("append").parquet(folder)
-    jobs.append_new_questions(stream.select("question"), out, str(tmp_path / "c1")).awaitTermination()
+    jobs.append_new_questions(stream.select("question"), out, str(tmp_path / "another-run")).awaitTermination()
     assert sorted(r["question"] for r in spark.read.schema("question string").parquet(out).collect()) == ["fresh"] + [f"question {i}" for i in range(5)]
     model = index.hashed_model(dim=32)
     points = rows.filter("qid < 5").select(F.col("qid").alias("id"), model.embed(F.col("question")).alias("vector"), F.struct("question").alias("payload"))
