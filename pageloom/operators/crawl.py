@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions import html as hx
 from pageloom.functions import text as tx
 from pageloom.functions import urls
+from pageloom.operators import chunking
 from pageloom.operators import sentences as st
 from pageloom.operators.rows import unnest
 from pageloom.session import checkpointed
 from pageloom.sources.tables import keyed_pages
 
-# Rounds whose results are kept apart before they are merged into one table.
-_MERGE_EVERY = 8
-
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(src_url, pos, dst_url) for every anchor of every stored page; ``pages`` has page_url and html."""
@@ -44,44 +42,35 @@ def reachable_pages(seeds: DataFrame, links: DataFrame, max_rounds: int | None =
     the smallest sequence of link positions that leads to the page. Sorting by it gives the order in
     which a depth-first walk that follows links in page order first meets the pages.
 
-    Each round joins the pages whose route just improved with the links. The links are partitioned
-    once and kept; a round moves only the frontier. Every frontier is written to the checkpoint
-    folder, so no round depends on executors that may be gone and plans do not grow. It ends when no
-    route improves; ``max_rounds`` is a safety stop that raises rather than returning part of a site.
+    Each round joins the pages whose route just improved with the links, and takes one minimum over
+    what was known and what was found; rows whose minimum is new are the next frontier. That is one
+    shuffle for the join and one for the minimum. The link table is written once and left to adaptive
+    execution, which splits a page that very many seeds reach at once. Every round's table is written
+    to the checkpoint folder, so no round depends on executors that may be gone and plans do not
+    grow. It ends when no route improves; ``max_rounds`` is a safety stop that raises rather than
+    returning part of a site.
+
+    Visiting order holds for sites without cycles among different pages, which the path test of
+    :func:`followed_links` all but ensures: a link leads to a path that begins with the page's own.
     """
-    links = links.repartition("src_url").persist()
-    start = seeds.select(
-        "seed", urls.page_key(F.col("url")).alias("page_url"), F.array().cast("array<int>").alias("route")
-    ).distinct()
-    frontier = checkpointed(start)
-    parts, rounds = [frontier], 0
-    while not frontier.isEmpty():
+    links = checkpointed(links)
+    known = checkpointed(
+        seeds.select("seed", urls.page_key(F.col("url")).alias("page_url"), F.array().cast("array<int>").alias("route"))
+        .distinct().withColumn("fresh", F.lit(True))
+    )
+    rounds = 0
+    while not (frontier := known.filter("fresh")).isEmpty():
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"routes still improve after {max_rounds} rounds")
         rounds += 1
-        found = (
-            frontier.join(links, frontier["page_url"] == links["src_url"])
-            .groupBy("seed", F.col("dst_url").alias("page_url"))
-            .agg(F.min(F.concat("route", F.array("pos"))).alias("route"))
+        found = frontier.join(links, frontier["page_url"] == links["src_url"]).select(
+            "seed", F.col("dst_url").alias("page_url"), F.concat("route", F.array("pos")).alias("route"), F.lit(1).alias("new")
         )
-        known = _best_routes(parts).withColumnRenamed("route", "known_route")
-        frontier = checkpointed(
-            found.join(known, ["seed", "page_url"], "left")
-            .filter(F.col("known_route").isNull() | (F.col("route") < F.col("known_route")))
-            .select("seed", "page_url", "route")
-        )
-        parts.append(frontier)
-        if len(parts) > _MERGE_EVERY:
-            parts = [checkpointed(_best_routes(parts)), frontier]
-    links.unpersist()
-    return _best_routes(parts)
-
-
-def _best_routes(parts: list[DataFrame]) -> DataFrame:
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows.groupBy("seed", "page_url").agg(F.min("route").alias("route"))
+        # of equal routes the known one is the lesser, so a route is fresh only where it improved
+        rows = known.select("seed", "page_url", "route", F.lit(0).alias("new")).unionByName(found)
+        best = rows.groupBy("seed", "page_url").agg(F.min(F.struct("route", "new")).alias("best"))
+        known = checkpointed(best.select("seed", "page_url", "best.route", (F.col("best.new") == 1).alias("fresh")))
+    return known.drop("fresh")
 
 
 def site_sentences(reached: DataFrame, pages: DataFrame) -> DataFrame:
@@ -99,16 +88,48 @@ def site_pages(sentences: DataFrame) -> DataFrame:
     return st.join_ordered(sentences, ["seed", "route", "page_url"], ["pos"], "sentence")
 
 
-def site_text(sentences: DataFrame, max_text: int = st.MAX_TEXT) -> DataFrame:
-    """Cleaned text of each site: (seed, segment, text), one row per seed of ordinary size."""
-    # read twice: for the sizes and for the text
-    pages = checkpointed(site_pages(sentences))
-    joined = st.join_ordered_pages(pages, ["seed"], "route", max_text=max_text)
+def site_text(sentences: DataFrame) -> DataFrame:
+    """Cleaned text of each site: (seed, text), one row per seed.
+
+    For the text column of the dataset. To chunk sites of any size without building their text use
+    :func:`site_chunks`.
+    """
+    joined = st.join_ordered(sentences, ["seed"], ["route", "pos"], "sentence")
     return joined.withColumn("text", tx.clean_text(F.col("text")))
 
 
-def crawl_site_text(seeds: DataFrame, pages: DataFrame, keywords: list[str] | None = None, max_text: int = st.MAX_TEXT) -> DataFrame:
-    """Traverse the stored pages from every seed and return each site's cleaned text."""
+def site_chunks(sentences: DataFrame, chunk_size: int, block_rows: int = chunking.BLOCK_ROWS) -> DataFrame:
+    """Chunks of each site's cleaned sentences: (seed, chunk_no, n_sentences, n_tokens, sentences).
+
+    Sentences stay rows: each is cleaned on its own, what is left is numbered without gaps in visiting
+    order, and the sentence table is packed, so chunks run on across pages and chunk numbers are unique.
+    A site is never one row, nor one task's group: its sentences are numbered page by page, from
+    the exact counts of the pages before, and long sites are packed in blocks.
+    """
+    cleaned = sentences.withColumn("sentence", tx.clean_text(F.col("sentence"))).filter(F.col("sentence") != "")
+    cleaned = checkpointed(cleaned)  # counted and read
+    pages = cleaned.groupBy("seed", "route", "page_url").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("seed").orderBy("route", "page_url").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pages.select("seed", "route", "page_url", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("seed", "route", "page_url").orderBy("pos"))
+    numbered = cleaned.withColumn("place", place).join(starts, ["seed", "route", "page_url"]).select(
+        "seed", (F.col("start") + F.col("place") - 1).alias("ord"), "sentence", tx.token_count(F.col("sentence")).alias("n")
+    )
+    packed = chunking.chunk_sentence_rows(numbered, chunk_size, "seed", "ord", "n", block_rows)
+    said = F.array_sort(F.collect_list(F.struct("ord", "sentence")))
+    return packed.groupBy("seed", "chunk_no").agg(
+        F.count("*").cast("int").alias("n_sentences"), F.sum("n").cast("int").alias("n_tokens"),
+        F.transform(said, lambda r: r["sentence"]).alias("sentences"),
+    )
+
+
+def crawled_sentences(seeds: DataFrame, pages: DataFrame, keywords: list[str] | None = None) -> DataFrame:
+    """Traverse the stored pages from every seed and return each site's distinct sentences."""
     stored = keyed_pages(pages)
     links = followed_links(page_links(stored), keywords)
-    return site_text(site_sentences(reachable_pages(seeds, links), stored), max_text)
+    return site_sentences(reachable_pages(seeds, links), stored)
+
+
+def crawl_site_text(seeds: DataFrame, pages: DataFrame, keywords: list[str] | None = None) -> DataFrame:
+    """Traverse the stored pages from every seed and return each site's cleaned text."""
+    return site_text(crawled_sentences(seeds, pages, keywords))

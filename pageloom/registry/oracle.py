@@ -15,6 +15,7 @@ DIM = 64
 BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WORD = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
 
+# The cleaning rules, plainly.
 CLEANING = [
     (r"[^\x00-\x7F]", ""),
     (r"http[s]?://\S+", ""),
@@ -109,6 +110,19 @@ chunk AS (SELECT {keys}, chunk_no, count(*) AS n_sentences, sum(w.n)::BIGINT AS
 POINT_ID = "(doc_id * 16777216 + chunk_no)"
 
 
+def summarised(source: str, to: str = "summed") -> str:
+    """to(id, summary) of chunks (id, n_sentences, sentences)."""
+    return f"""{to}_rows AS (SELECT id, n_sentences, unnest(range(0, len(sentences))) AS ord, unnest(sentences) AS sentence FROM {source}),
+{to}_terms AS (SELECT id, n_sentences, ord, term, count(*) AS n FROM (SELECT id, n_sentences, ord, unnest({words('sentence')}) AS term FROM {to}_rows) GROUP BY ALL),
+{to}_weighted AS (SELECT *, sum(n) OVER (PARTITION BY id, term) * ln(1 + n_sentences / count(*) OVER (PARTITION BY id, term)) AS weight FROM {to}_terms),
+{to}_scored AS (SELECT id, ord, round(sum(n * weight) / sum(n), 9) AS score FROM {to}_weighted GROUP BY ALL),
+{to}_ranked AS (SELECT id, ord, sentence, row_number() OVER best AS rank, sum({tokens('sentence')}) OVER best AS used
+  FROM {to}_scored JOIN {to}_rows USING (id, ord) WINDOW best AS (PARTITION BY id ORDER BY score DESC, ord)),
+{to}_size AS (SELECT id, least(400, ceil(sum({tokens('sentence')}) * 0.5)) AS budget FROM {to}_rows GROUP BY id),
+{to}_best AS (SELECT id, string_agg(sentence, ' ' ORDER BY ord) AS summary FROM {to}_ranked JOIN {to}_size USING (id) WHERE rank = 1 OR used <= budget GROUP BY id),
+{to} AS MATERIALIZED (SELECT id, coalesce(summary, ' ') AS summary FROM {to}_size LEFT JOIN {to}_best USING (id))"""
+
+
 def vectors(source: str, key: str, text: str, dim: int = DIM, limit: int | None = None) -> str:
     """(key, vector) of every row of ``source``: mean of signed buckets over the terms."""
     lst = words(text) if limit is None else f"list_slice({words(text)}, 1, {limit})"
@@ -254,7 +268,7 @@ QUESTION = "(SELECT conv_id * 1000 + turn AS qid, text AS question FROM conversa
 
 DOC_CHUNKS = f"{SENT}, {chunked(200)}"
 CHUNK_VECS = f"cvec AS ({vectors('(SELECT *, ' + POINT_ID + ' AS id FROM chunk)', 'id', 'content')})"
-HITS = f"""{DOC_CHUNKS}, {CHUNK_VECS}, qvec AS ({vectors(QUESTION, 'qid', 'question', limit=512)}),
+HITS = f"""{DOC_CHUNKS}, {CHUNK_VECS}, qvec AS ({vectors(QUESTION, 'qid', 'question', limit=None)}),
 hit AS ({top('SELECT qid, list_transform(vector, lambda x: x::FLOAT::DOUBLE) AS vector FROM qvec', 'SELECT id, list_transform(vector, lambda x: x::FLOAT::DOUBLE) AS vector FROM cvec')})"""
 
 BLOCK_ORDER = ["Year", "Team_Name", "Project_Title", "Wiki", "Region", "Location", "Institution", "Section",
@@ -276,7 +290,7 @@ FIRST_WORD = strip("split_part(completion, 'Score:', 2)")
 SCORE = f"""CASE WHEN instr(completion, 'Score:') = 0 THEN 0 ELSE try_cast(
   CASE WHEN regexp_full_match(string_split_regex({FIRST_WORD}, '{BLANK}+')[1], '[+-]?[0-9]+') THEN string_split_regex({FIRST_WORD}, '{BLANK}+')[1] END AS INT) END"""
 
-# evaluation chunks of the cleaned abstracts, for two sizes, with repeated sentences kept
+# evaluation chunks of the cleaned abstracts, for all sizes, with repeated sentences kept, summarised
 EVAL_SENT = f"esent AS MATERIALIZED ({exploded('documents', 'doc_id', split(clean('text')))})"
 
 
@@ -284,11 +298,16 @@ def eval_chunks(size: int) -> str:
     """Tables of one size, named after it."""
     part = packed(size, keys="doc_id", counted=f"SELECT doc_id, pos, sentence, {tokens('sentence')} AS n FROM esent")
     part = part.replace("counted", f"counted{size}").replace("walk", f"walk{size}")
-    return f"""{part}, chunk{size} AS (SELECT {size} AS chunk_size, doc_id, chunk_no, string_agg(sentence, ' ' ORDER BY pos) AS content
+    return f"""{part}, chunk{size} AS (SELECT {size} AS chunk_size, doc_id, chunk_no, count(*) AS n_sentences, list(sentence ORDER BY pos) AS sentences
   FROM walk{size} JOIN counted{size} USING (doc_id, pos) GROUP BY doc_id, chunk_no)"""
 
 
-EVAL_CHUNKS = f"{EVAL_SENT}, {eval_chunks(200)}, {eval_chunks(300)}, echunk AS (SELECT * FROM chunk200 UNION ALL SELECT * FROM chunk300)"
+SIZES = [200, 300, 500, 800]
+GRID_MODELS = [("sentence-transformers/all-MiniLM-L6-v2", 64), ("sentence-transformers/all-mpnet-base-v2", 32), ("thenlper/gte-small", 16)]
+MODELS = "(SELECT unnest([" + ", ".join(text_literal(n) for n, _ in GRID_MODELS) + "]) AS model)"
+EVAL_CHUNKS = f"""{EVAL_SENT}, {', '.join(map(eval_chunks, SIZES))},
+whole AS (SELECT chunk_size || '|' || {POINT_ID} AS id, * FROM ({' UNION ALL '.join(f'SELECT * FROM chunk{n}' for n in SIZES)})),
+{summarised('whole', 'esum')}, echunk AS MATERIALIZED (SELECT chunk_size, doc_id, chunk_no, summary AS content FROM whole JOIN esum USING (id))"""
 EVAL_KEY = """'{"id":{"doc_id":' || doc_id || ',"chunk_no":' || chunk_no || '}}'"""
 # example(chunk_size, doc_id, chunk_no, content, question, answer): thirty per size, failed completions left out
 EXAMPLES = f"""{EVAL_CHUNKS},
@@ -297,18 +316,20 @@ example AS (SELECT chunk_size, doc_id, chunk_no, content, 'what of ' || split_pa
   WHERE place <= 30 AND length(content) % 5 <> 0)"""
 
 
+FRESH = "fresh AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_size, question ORDER BY doc_id, chunk_no) AS copy FROM example) WHERE copy = 1)"
+
+
 def grid_hits() -> str:
     parts = []
-    for name, dim in [("hashed-64", 64), ("hashed-32", 32)]:
+    for name, dim in GRID_MODELS:
         key = "cid"
         source = f"(SELECT chunk_size || '|' || {POINT_ID} AS cid, content FROM echunk)"
         asked = "(SELECT chunk_size || '|' || question AS cid, question FROM fresh)"
         cast = "list_transform(vector, lambda x: x::FLOAT::DOUBLE) AS vector"
-        queries = f"SELECT split_part(cid, '|', 1) AS chunk_size, substr(cid, 5) AS qid, {cast} FROM ({vectors(asked, key, 'question', dim, 512)})"
+        queries = f"SELECT split_part(cid, '|', 1) AS chunk_size, substr(cid, 5) AS qid, {cast} FROM ({vectors(asked, key, 'question', dim)})"
         rows = f"SELECT split_part(cid, '|', 1) AS chunk_size, substr(cid, 5)::BIGINT AS id, {cast} FROM ({vectors(source, key, 'content', dim)})"
         parts.append(f"SELECT '{name}' AS embedding_model, * FROM ({top(queries, rows, 'q.chunk_size = v.chunk_size', 'chunk_size')})")
-    return f"""{EXAMPLES},
-fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_size, question ORDER BY doc_id, chunk_no) AS copy FROM example) WHERE copy = 1),
+    return f"""{EXAMPLES}, {FRESH},
 ghit AS ({' UNION ALL '.join(parts)})"""
 
 
@@ -352,16 +373,7 @@ SELECT w.page_id AS want_id, w.page_url, p.page_id, length(p.html) AS n_chars FR
     q["joined_conversations"] = "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id"
     q["chunks"] = f"WITH RECURSIVE {DOC_CHUNKS} SELECT doc_id, chunk_no, n_sentences, n_tokens, content FROM chunk"
     q["chunk_numbers"] = f"""WITH RECURSIVE raw AS ({q['sentences']}), {packed(200, 'raw')} SELECT doc_id, pos, n, chunk_no FROM walk"""
-    q["chunk_summaries"] = f"""WITH RECURSIVE {DOC_CHUNKS},
-rows AS (SELECT {POINT_ID} AS id, n_sentences, unnest(range(0, len(sentences))) AS ord, unnest(sentences) AS sentence FROM chunk),
-terms AS (SELECT id, n_sentences, ord, term, count(*) AS n FROM (SELECT id, n_sentences, ord, unnest({words('sentence')}) AS term FROM rows) GROUP BY ALL),
-weighted AS (SELECT *, sum(n) OVER (PARTITION BY id, term) * ln(1 + n_sentences / count(*) OVER (PARTITION BY id, term)) AS weight FROM terms),
-scored AS (SELECT id, ord, round(sum(n * weight) / sum(n), 9) AS score FROM weighted GROUP BY ALL),
-ranked AS (SELECT id, ord, sentence, row_number() OVER best AS rank, sum({tokens('sentence')}) OVER best AS used
-  FROM scored JOIN rows USING (id, ord) WINDOW best AS (PARTITION BY id ORDER BY score DESC, ord)),
-size AS (SELECT id, least(400, ceil(sum({tokens('sentence')}) * 0.5)) AS budget FROM rows GROUP BY id),
-best AS (SELECT id, string_agg(sentence, ' ' ORDER BY ord) AS summary FROM ranked JOIN size USING (id) WHERE rank = 1 OR used <= budget GROUP BY id)
-SELECT id, coalesce(summary, ' ') AS summary FROM size LEFT JOIN best USING (id)"""
+    q["chunk_summaries"] = f"WITH RECURSIVE {DOC_CHUNKS}, {summarised(f'(SELECT {POINT_ID} AS id, * FROM chunk)')} SELECT id, summary FROM summed"
     q["pooled_vectors"] = f"""SELECT label, d AS pos, round(total / greatest(weight, 1e-9), 6) + 0 AS value FROM (
   SELECT label, d, sum(x::DOUBLE * mask) AS total, sum(mask) AS weight FROM (
     SELECT label, (vec_id % 3 <> 0)::INT AS mask, unnest(range(0, {DIM})) AS d, unnest(embedding) AS x FROM embeddings) GROUP BY ALL)"""
@@ -421,7 +433,8 @@ SELECT lang, id, n_tokens FROM (SELECT *, row_number() OVER (PARTITION BY lang O
     q["pending_questions"] = f"""WITH {RUN} SELECT chunk_size, props AS question, min(embedding_model) AS embedding_model FROM run
   WHERE (chunk_size, props) NOT IN (SELECT (chunk_size, props) FROM run WHERE eval_score = 5) GROUP BY ALL"""
     q["grid_run"] = f"""WITH RECURSIVE {grid_hits()} SELECT f.chunk_size, g.embedding_model, f.question,
-  'RAGConfig(dataset=data/table, chunk_size=' || f.chunk_size || ', embedding_model_name=' || g.embedding_model AS test_settings, NULL::VARCHAR AS answer,
+  'RAGConfig(dataset=data/table, chunk_size=' || f.chunk_size || ', embedding_model_name=' || g.embedding_model AS test_settings,
+  CASE WHEN length(f.question) % 7 <> 0 THEN 'On: ' || f.question END AS answer,
   string_agg('Team ' || (g.id // 16777216), ',' ORDER BY g.rank) AS teams
   FROM fresh f JOIN ghit g ON f.chunk_size::VARCHAR = g.chunk_size AND f.question = g.qid GROUP BY ALL"""
     q["retrieval_quality"] = f"""WITH RECURSIVE {grid_hits()}, place AS (SELECT f.chunk_size, g.embedding_model, f.question,
@@ -444,9 +457,25 @@ UNION ALL SELECT {DEFAULT_CHUNK_SIZE}, '{DEFAULT_MODEL}', true"""
     q["stream_questions"] = "SELECT DISTINCT props AS question FROM events"
     q["stream_search"] = f"WITH RECURSIVE {HITS} SELECT qid, rank, id, score FROM hit"
 
-    summaries = q["chunk_summaries"].replace(DOC_CHUNKS, f"{EVAL_SENT}, sent AS (SELECT * FROM esent), {chunked(250)}")
-    head, tail = summaries.rsplit("SELECT id, coalesce", 1)
-    made = f"{head.rstrip()}, summed AS (SELECT id, coalesce{tail})"
-    q["built_index"] = f"""{made}, svec AS ({vectors('summed', 'id', 'summary')})
+    made = f"{EVAL_SENT}, sent AS (SELECT * FROM esent), {chunked(250)}, {summarised(f'(SELECT {POINT_ID} AS id, * FROM chunk)')}"
+    q["built_index"] = f"""WITH RECURSIVE {made}, svec AS ({vectors('summed', 'id', 'summary')})
 {components(f'''(SELECT id, summary AS "Wiki_content", 'Team ' || (id // 16777216) AS "Team_Name", {FLOATS} FROM summed JOIN svec USING (id))''', 'id, "Wiki_content", "Team_Name"')}"""
+    psent = f"psent AS ({exploded('(SELECT doc_id, site.text AS text FROM documents JOIN site ON seed = doc_id WHERE doc_id % 4 = 2)', 'doc_id', split('text'))})"
+    vector = "list_transform(vector, lambda x: x::FLOAT::DOUBLE) AS vector"
+    q["production_run"] = f"""WITH RECURSIVE {SITE_TEXT}, {psent}, sent AS (SELECT * FROM psent), {chunked(250)},
+{summarised(f'(SELECT {POINT_ID} AS id, * FROM chunk)')}, pvec AS ({vectors('summed', 'id', 'summary')}), qvec AS ({vectors(QUESTION, 'qid', 'question')}),
+hit AS ({top(f'SELECT qid, {vector} FROM qvec', f'SELECT id, {vector} FROM pvec')}), known AS (SELECT DISTINCT question FROM {QUESTION} WHERE qid % 7 <> 0)
+SELECT qid, any_value(CASE WHEN question IN (SELECT question FROM known) THEN 'On: ' || question END) AS answer,
+  string_agg('Team ' || (id // 16777216), ',' ORDER BY rank) AS teams, md5(string_agg(summary, '|' ORDER BY rank)) AS contents
+  FROM hit JOIN summed USING (id) JOIN {QUESTION} USING (qid) GROUP BY qid"""
+    ssent = f"""csent AS (SELECT seed, row_number() OVER (PARTITION BY seed ORDER BY route, pos) - 1 AS pos, sentence FROM (
+  SELECT seed, route, pos, {clean('sentence')} AS sentence FROM kept) WHERE sentence <> '')"""
+    q["site_chunks"] = f"""WITH RECURSIVE {SITE_SENT}, {ssent}, {packed(200, 'csent', 'seed')}
+SELECT seed, chunk_no, count(*) AS n_sentences, sum(w.n)::BIGINT AS n_tokens, string_agg(sentence, ' ' ORDER BY pos) AS content
+  FROM walk w JOIN counted USING (seed, pos) GROUP BY seed, chunk_no"""
+    graded = f"(SELECT f.chunk_size, m.model AS embedding_model, nullif(length(f.question) % 6, 0) AS score FROM fresh f, {MODELS} m)"
+    q["evaluation_scores"] = f"""WITH RECURSIVE {EXAMPLES}, {FRESH} SELECT chunk_size || ',' || replace(embedding_model, '/', '-') AS settings_name,
+  round(avg((score - 1) / 4.0), 9) AS avg_score FROM {graded} GROUP BY ALL"""
+    q["evaluation_choice"] = f"""WITH RECURSIVE {EXAMPLES}, {FRESH} SELECT chunk_size, embedding_model AS embedding_model_name, false AS is_default FROM {graded}
+  GROUP BY chunk_size, embedding_model ORDER BY avg((score - 1) / 4.0) DESC NULLS LAST, 'rag_chunk_size:' || chunk_size || '_embeddings:' || replace(embedding_model, '/', '-') LIMIT 1"""
     return q

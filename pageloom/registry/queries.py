@@ -407,15 +407,15 @@ def settings_strings(spark, sf):
 def _retrieved(spark, sf) -> DataFrame:
     """Ranked hits of every question in the chunk collection, with full payloads."""
     stored = scratch_path(spark, "chunk-vectors")
-    chunks = tables.materialize_once(spark, stored, lambda: data.chunk_vectors(spark, sf).drop("sentences"))
+    chunks = tables.materialize_once(spark, stored, lambda: data.chunk_vectors(spark, sf).select("id", "doc_id", "content", "vector"))
     model = index.hashed_model(dim=DIM)
     asked = data.questions(spark, sf)
     queries = asked.select("qid", model.embed_query(F.col("question")).alias("vector"))
     hits = knn.nearest(queries, chunks.select("id", "vector"), DIM)
-    meta = data.projects(spark, sf).select("doc_id", metadata_struct())
-    stored = chunks.select("id", "doc_id", "content").join(meta, "doc_id")
-    stored = stored.select("id", flat_payload("content").alias("payload"))
-    return knn.attach_payload(hits, stored, ["payload"])
+    # texts and metadata are joined to the hits, never to all chunks
+    found = knn.attach_payload(hits, chunks, ["doc_id", "content"])
+    met = found.join(data.projects(spark, sf).select("doc_id", metadata_struct()), "doc_id")
+    return met.select("id", "qid", "score", "rank", flat_payload("content").alias("payload"))
 
 
 @query
@@ -491,6 +491,14 @@ def site_texts(spark, sf):
     return crawl.site_text(crawl.site_sentences(reached, pages)).select("seed", "text")
 
 
+@query
+def site_chunks(spark, sf):
+    """Every page as a seed: its site chunked from sentence rows, without a text per site."""
+    pages, reached = _tree(spark, sf)
+    rows = crawl.site_chunks(crawl.site_sentences(reached, pages), CHUNK_SIZE, block_rows=300)
+    return rows.select("seed", "chunk_no", "n_sentences", "n_tokens", chunking.chunk_text().alias("content"))
+
+
 @query
 def page_sources(spark, sf):
     """Chunks of each reached page's own text, with the page they come from."""
@@ -525,7 +533,7 @@ def sampled_documents(spark, sf):
 @query
 def evaluation_chunk_counts(spark, sf):
     """One chunk table for several sizes, and the configurations that use each of them."""
-    made = _evaluation_chunks(spark, sf, [200, 300])
+    made = _evaluation_chunks(spark, sf)
     models = data.run_results(spark, sf).select("chunk_size", "embedding_model").distinct()
     by_size = evaluation.configurations_by_chunk_size(models)
     counts = made.groupBy("chunk_size").agg(F.count("*").alias("n_chunks"))
@@ -534,15 +542,15 @@ def evaluation_chunk_counts(spark, sf):
     )
 
 
-def _evaluation_chunks(spark, sf, sizes: list[int]) -> DataFrame:
+def _evaluation_chunks(spark, sf) -> DataFrame:
     rows = data.projects(spark, sf).withColumn("Wiki_content", tx.clean_text(F.col("Abstract")))
-    return evaluation.evaluation_chunks(rows, "doc_id", sizes, summary=False)
+    return evaluation.evaluation_chunks(rows, "doc_id", evaluation.CHUNK_SIZES)
 
 
-def _stored_chunks(spark, sf, sizes: list[int]) -> DataFrame:
+def _stored_chunks(spark, sf) -> DataFrame:
     """The chunk table of an evaluation, written once by chunk size and read by every step."""
     path = scratch_path(spark, "evaluation-chunks")
-    tables.write_table(_evaluation_chunks(spark, sf, sizes), path, partition_by=["chunk_size"])
+    tables.write_table(_evaluation_chunks(spark, sf), path, partition_by=["chunk_size"])
     return tables.read_table(spark, path)
 
 
@@ -561,7 +569,7 @@ def _examples(made: DataFrame) -> DataFrame:
 @query
 def question_answer_pairs(spark, sf):
     """Sample, ask, parse; failed generations drop out."""
-    return _examples(_stored_chunks(spark, sf, [200, 300])).select(
+    return _examples(_stored_chunks(spark, sf)).select(
         "chunk_size", "id.doc_id", "id.chunk_no", "qa_context", "question", "reference_answer", "qa_meta.Team_Name"
     )
 
@@ -577,24 +585,34 @@ def pending_questions(spark, sf):
     return todo.select("chunk_size", "question", "embedding_model")
 
 
-def _grid_run(spark, sf) -> DataFrame:
-    made = _stored_chunks(spark, sf, [200, 300])
-    models = [index.hashed_model("hashed-64", 64), index.hashed_model("hashed-32", 32)]
-    grid = evaluation.configuration_grid(spark, [200, 300], [m.name for m in models])
+_CONFIG = ["chunk_size", "embedding_model"]
+
+
+def _grid(spark, sf) -> tuple[DataFrame, DataFrame, list]:
+    """(pending questions, points, models) of the whole grid: four chunk sizes and three models."""
+    made = _stored_chunks(spark, sf)
+    models = [index.hashed_model(name, dim) for name, dim in zip(evaluation.MODEL_NAMES, (64, 32, 16))]
+    grid = evaluation.configuration_grid(spark, evaluation.CHUNK_SIZES, [m.name for m in models])
     path = scratch_path(spark, "grid-points")
     points = evaluation.grid_points(made, grid, models, lambda id: packed_id(id["doc_id"], id["chunk_no"]))
-    tables.write_table(points, path, partition_by=["chunk_size", "embedding_model"])
-    points = tables.read_table(spark, path)
+    tables.write_table(points, path, partition_by=_CONFIG)
     examples = evaluation.first_questions(_examples(made), ["chunk_size"], ["id"]).drop("id")
-    pending = examples.join(grid, "chunk_size")
-    nothing = spark.createDataFrame([], "prompt_id string, text string")
-    return evaluation.run_results(pending, points, nothing, models, ["chunk_size", "embedding_model"], "data/table")
+    return examples.join(grid, "chunk_size"), tables.read_table(spark, path), models
+
+
+def _answered(spark, pending: DataFrame, points: DataFrame, models: list) -> DataFrame:
+    """A run over the pending questions, whose completions lack every seventh length of question."""
+    path = scratch_path(spark, "prompts")
+    tables.write_table(evaluation.run_prompts(pending, points, models, _CONFIG), path)
+    prompted = tables.read_table(spark, path)
+    known = prompted.filter(F.length("question") % 7 != 0).groupBy("prompt_id").agg(F.concat(F.lit("On: "), F.max("question")).alias("text"))
+    return evaluation.answered_results(prompted, known, _CONFIG, "data/table")
 
 
 @query
 def grid_run(spark, sf):
     """All configurations in one job: each question searches its own configuration's points."""
-    return _grid_run(spark, sf).select(
+    return _answered(spark, *_grid(spark, sf)).select(
         "chunk_size", "embedding_model", "question", "test_settings", "answer",
         F.array_join(F.transform("retrieved", lambda p: p["Team_Name"]), ",").alias("teams"),
     )
@@ -603,11 +621,39 @@ def grid_run(spark, sf):
 @query
 def retrieval_quality(spark, sf):
     """Hit rate and mean reciprocal rank of each configuration of the grid."""
-    rows = _grid_run(spark, sf).withColumn("retrieved_texts", F.transform("retrieved", lambda p: p["Wiki_content"]))
-    made = scores.retrieval_quality(rows, ["chunk_size", "embedding_model"])
+    rows = evaluation.run_prompts(*_grid(spark, sf), _CONFIG).withColumn("retrieved_texts", F.transform("retrieved", lambda p: p["Wiki_content"]))
+    made = scores.retrieval_quality(rows, _CONFIG)
     return made.select("chunk_size", "embedding_model", "n_questions", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
 
 
+def _evaluated(spark, sf) -> DataFrame:
+    """The whole evaluation: half of the questions answered and stored, the run resumed, all results graded."""
+    pending, points, models = _grid(spark, sf)
+    path = scratch_path(spark, "run")
+    results.write_results(_answered(spark, pending.filter(F.length("question") % 2 == 0), points, models), path)
+    done = results.read_results(spark, path)
+    todo = evaluation.pending_questions(pending, done, _CONFIG, ["qa_context"])
+    whole = scratch_path(spark, "run")
+    results.write_results(evaluation.resume_run(done, _answered(spark, todo, points, models)), whole)
+    stored = results.read_results(spark, whole)
+    grade = F.concat(F.lit("Score: "), (F.length("question") % 6).cast("string"))
+    grades = evaluation.judge_prompts(stored).groupBy("prompt_id").agg(F.max(grade).alias("text"))
+    return evaluation.judged_results(stored, grades).withColumn("settings", px.results_file_name(F.col("chunk_size"), F.col("embedding_model")))
+
+
+@query
+def evaluation_scores(spark, sf):
+    """Examples to answers to grades: the report over what the evaluation itself stored."""
+    made = report.score_report(_evaluated(spark, sf))
+    return made.select("settings_name", F.round("avg_score", 9).alias("avg_score"))
+
+
+@query
+def evaluation_choice(spark, sf):
+    """The configuration that the evaluation chooses."""
+    return report.choose_configuration(_evaluated(spark, sf))
+
+
 @query
 def judged_answers(spark, sf):
     """Judge prompts for all turns and the grades parsed from stored completions."""
@@ -685,6 +731,27 @@ def built_index(spark, sf):
     return components(rows, ["id", "Wiki_content", "Team_Name"])
 
 
+@query
+def production_run(spark, sf):
+    """The production chain: CSV, year, site text, summarised chunks, vectors, collection, answers."""
+    csv, prepared = scratch_path(spark, "projects-csv"), scratch_path(spark, "prepared")
+    rows = data.projects(spark, sf).withColumn("Abstract", F.substring("Abstract", 1, 200))
+    tables.write_projects(rows.withColumn("Location", F.col("doc_id").cast("string")).drop("doc_id"), csv)
+    made = dataset.prepared_dataset(spark, csv, data.page_tree(spark, sf), prepared).withColumn("pid", F.col("Location").cast("long"))
+    model = index.hashed_model(dim=DIM)
+    wiki = Collection(spark, scratch_path(spark, "collections"), "wiki")
+    index.store_points(wiki, index.build_points(made, "pid", 250, model, packed_id), model)
+    asked, stored = data.questions(spark, sf), wiki.points()
+    path = scratch_path(spark, "prompts")
+    tables.write_table(answer.with_prompts(asked, answer.retrieve(asked, stored, model)), path)
+    prompted = tables.read_table(spark, path)
+    known = prompted.filter(F.col("qid") % 7 != 0).groupBy("prompt_id").agg(F.concat(F.lit("On: "), F.max("question")).alias("text"))
+    return answer.with_completions(prompted, known, "answer").select(
+        "qid", "answer", F.array_join(F.transform("retrieved", lambda p: p["Team_Name"]), ",").alias("teams"),
+        F.md5(F.array_join(F.transform("retrieved", lambda p: p["Wiki_content"]), "|").cast("binary")).alias("contents"),
+    )
+
+
 # --- streaming ----------------------------------------------------------------------------------
 
 

@@ -74,13 +74,6 @@ def test_first_occurrences(spark):
     assert {tuple(r) for r in done} == {("k", "a", 1, 5), ("k", "b", 1, 2), ("m", "a", 9, 9)}
 
 
-def test_site_text_over_the_bound_keeps_all_pages(spark):
-    rows = [("a", [0], "x" * 6), ("a", [1], "y" * 6), ("b", [1], "v"), ("b", [0], "u")]
-    frame = spark.createDataFrame(rows, "seed string, route array<int>, text string")
-    done = st.join_ordered_pages(frame, ["seed"], "route", max_text=10).collect()
-    assert sorted(r["text"] for r in done) == ["u v", "xxxxxx", "yyyyyy"]
-
-
 def plain_crawl(seed, html, keywords=urls.LINK_KEYWORDS):
     """Depth-first walk in link order over {url: [dst]}; pages that are missing are leaves."""
     order, seen = [], set()
