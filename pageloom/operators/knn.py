@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +26,9 @@ from pageloom.session import checkpointed
 DEFAULT_K = 10
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-BLOCK_QUERIES = 2048
-BLOCK_VECTORS = 65536
+# a block of either side, so that a vector and a query are copied about equally often
+BLOCK_BYTES = 32 * 1024 * 1024
+MAX_BLOCK_ROWS = 65536
 # scores computed at a time, and parts whose block counts may be broadcast
 PRODUCT_CELLS = 4_000_000
 MAX_BROADCAST_PARTS = 100_000
@@ -40,6 +40,7 @@ HITS = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("score", T.DoubleType()),
 ])
+_HITS_ARROW = pa.schema([("part", pa.string()), ("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
 
 def unit_rows(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +110,10 @@ class TopK:
         )
 
 
-def to_matrix(vectors: pa.Array) -> np.ndarray:
+def to_matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Equal-length lists as a float64 matrix."""
+    if isinstance(vectors, pa.ChunkedArray):  # several chunks, or none
+        vectors = pa.concat_arrays(vectors.chunks) if vectors.num_chunks else pa.array([], vectors.type)
     flat = np.asarray(vectors.flatten(), dtype=np.float64)
     sizes = np.asarray(vectors.value_lengths())
     if len(sizes) and (sizes != sizes[0]).any():
@@ -158,7 +161,7 @@ def local_topk(
     few = queries.limit(bound + 1).toArrow()
     if few.num_rows <= bound:
         return _scan(few, vectors, k)
-    return _blocks(queries, vectors, k)
+    return _blocks(queries, vectors, k, block_rows(dim))
 
 
 def _scan(few: pa.Table, vectors: DataFrame, k: int) -> DataFrame:
@@ -183,11 +186,20 @@ def _scan(few: pa.Table, vectors: DataFrame, k: int) -> DataFrame:
     return vectors.mapInArrow(search, HITS)
 
 
-def _blocks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Every vector block of a part meets every query block of it once; block numbers follow counts."""
-    blocks = lambda n, size: F.ceil(F.count("*") / size).cast("long").alias(n)
-    parts = queries.groupBy("part").agg(blocks("q_blocks", BLOCK_QUERIES)).alias("q").join(
-        vectors.groupBy("part").agg(blocks("v_blocks", BLOCK_VECTORS)).alias("v"),
+def block_rows(dim: int) -> int:
+    """Rows of a block, of queries or of vectors."""
+    return max(1, min(MAX_BLOCK_ROWS, BLOCK_BYTES // (8 * dim)))
+
+
+def _blocks(queries: DataFrame, vectors: DataFrame, k: int, rows: int) -> DataFrame:
+    """Every vector block of a part meets every query block of it once; block numbers follow counts.
+
+    A vector is sent once per query block and a query once per vector block. Blocks are square, so
+    with n queries and m vectors the copies are n m / rows in all, on either side.
+    """
+    blocks = lambda n: F.ceil(F.count("*") / rows).cast("long").alias(n)
+    parts = queries.groupBy("part").agg(blocks("q_blocks")).alias("q").join(
+        vectors.groupBy("part").agg(blocks("v_blocks")).alias("v"),
         F.col("q.part").eqNullSafe(F.col("v.part")),
     ).select(F.col("q.part").alias("name"), "q_blocks", "v_blocks")
     # one small row per part; broadcast when so few, a large part is not sent to one task to be split
@@ -206,15 +218,16 @@ def _blocks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         F.col("id").alias("key"), "vector",
     ).select(*fresh)
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({name: [] for name in HITS.names})
-        best = TopK(left["key"].to_numpy(), np.stack(left["vector"].to_numpy()).astype(np.float64), k)
-        best.add(right["key"].to_numpy(), np.stack(right["vector"].to_numpy()).astype(np.float64))
-        return best.hits(left["part"].iloc[0]).to_pandas()
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_batches([], schema=_HITS_ARROW)
+        best = TopK(left["key"].to_numpy(), to_matrix(left["vector"].combine_chunks()), k)
+        best.add(right["key"].to_numpy(), to_matrix(right["vector"].combine_chunks()))
+        return pa.Table.from_batches([best.hits(left["part"][0].as_py())])
 
     keys = ["part", "qb", "vb"]
-    return q_rows.groupBy(*keys).cogroup(v_rows.groupBy(*keys)).applyInPandas(search, HITS)
+    return q_rows.groupBy(*keys).cogroup(v_rows.groupBy(*keys)).applyInArrow(search, HITS)
 
 
 def nearest(

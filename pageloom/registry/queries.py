@@ -158,6 +158,19 @@ def result_files(spark, sf):
     )
 
 
+@query
+def result_arrays(spark, sf):
+    """Result rows written as files that hold one JSON array each, scanned with their settings."""
+    path = scratch_path(spark, "result-arrays")
+    rows = data.run_results(spark, sf).select("question", "chunk_size", "eval_score").withColumn("file", F.pmod(F.xxhash64("question"), F.lit(5)))
+    record = F.to_json(F.struct("question", "eval_score"))
+    arrays = rows.groupBy("chunk_size", "file").agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ",\n"), F.lit("]")).alias("value"))
+    # one array per file: the cap on records does it, whatever partition the arrays fall into
+    arrays.drop("file").write.option("maxRecordsPerFile", 1).partitionBy("chunk_size").text(path)
+    back = results.read_result_arrays(spark, path)
+    return back.select("question", "eval_score", F.regexp_extract("settings", "chunk_size=([^/]*)", 1).alias("chunk_size"))
+
+
 @query
 def result_partitions(spark, sf):
     """Write all configurations, rewrite one with higher scores, read all."""
@@ -339,20 +352,23 @@ def filtered_search(spark, sf):
 
 @query
 def cell_search_exact(spark, sf):
+    """All cells probed: the hits of the plain scan."""
     queries, rows = _self_search(spark, sf)
     centroids = cells.train_centroids(rows, 16)
     assigned = cells.assign_cells(rows.select("id", "vector"), centroids).persist()
-    return cells.search(queries, assigned, centroids, DIM, n_probe=2)
+    return cells.search(queries, assigned, centroids, DIM, n_probe=16)
 
 
 @query
 def cell_search_recall(spark, sf):
-    """Recall of the approximate search against the exact one."""
+    """The approximate search against the exact one: at half of the pairs or little more, most hits are found."""
     queries, rows = _self_search(spark, sf)
     centroids = cells.train_centroids(rows, 16)
     assigned = cells.assign_cells(rows.select("id", "vector"), centroids).persist()
-    found = cells.search(queries, assigned, centroids, DIM, n_probe=8, exact=False)
-    return cells.recall(found, knn.nearest(queries, rows, DIM))
+    made = cells.quality(queries, assigned, centroids, DIM, n_probe=8)
+    return made.select(
+        "n_true", (F.col("incomplete") == 0).alias("is_complete"), (F.col("recall") >= 0.7).alias("finds_most"), (F.col("share") <= 0.7).alias("skips_much")
+    )
 
 
 @query

@@ -178,8 +178,7 @@ def same(found, expected):
 
 @pytest.mark.parametrize("few", [4096, 5])
 def test_nearest_equals_brute_force(spark, vector_set, few, monkeypatch):
-    monkeypatch.setattr(knn, "BLOCK_VECTORS", 64)
-    monkeypatch.setattr(knn, "BLOCK_QUERIES", 16)
+    monkeypatch.setattr(knn, "MAX_BLOCK_ROWS", 48)
     queries = vector_set[:40]
     hits = knn.nearest(frame_of(spark, queries, "qid"), frame_of(spark, vector_set, "id").repartition(5), 8, 10, max_broadcast_queries=few)
     same(ranked(hits), brute(queries, vector_set, 10))
@@ -198,16 +197,24 @@ def test_zero_vectors_rank_last(spark):
     assert hits == {0: [(1, 1.0), (2, -1.0), (0, None)]}
 
 
-@pytest.mark.parametrize("n_probe", [1, 3])
-def test_cell_search_is_exact(spark, vector_set, n_probe):
+def test_cells(spark, vector_set):
     rows = frame_of(spark, vector_set, "id").select("id", "vector")
     centroids = cells.train_centroids(rows, 12)
     assigned = cells.assign_cells(rows, centroids).persist()
     queries = frame_of(spark, vector_set[:40], "qid")
-    same(ranked(cells.search(queries, assigned, centroids, 8, 10, n_probe)), brute(vector_set[:40], vector_set, 10))
-    near = cells.search(queries, assigned, centroids, 8, 10, n_probe, exact=False)
-    share = cells.recall(near, cells.search(queries, assigned, centroids, 8, 10, n_probe)).first()
-    assert share["n_true"] == 400 and 0.3 < share["recall"] <= 1
+    same(ranked(cells.search(queries, assigned, centroids, 8, 10, 12)), brute(vector_set[:40], vector_set, 10))
+    few, more = (cells.quality(queries, assigned, centroids, 8, 10, n).first() for n in (2, 6))
+    assert few["n_true"] == more["n_true"] == 400 and 0.2 < few["recall"] <= more["recall"] <= 1
+    assert few["share"] < more["share"] < 1 and few["candidates"] == round(few["share"] * 40 * len(vector_set))
+
+
+def test_blocks_are_square(spark):
+    assert knn.block_rows(64) == 65536 and knn.block_rows(1536) == 2730 and knn.block_rows(10**9) == 1
+    rng = np.random.default_rng(0)
+    queries, rows = frame_of(spark, rng.random((50, 4)), "qid"), frame_of(spark, rng.random((100, 4)), "id")
+    label = F.lit(None).cast("string").alias("part")
+    plan = knn._blocks(queries.select(label, "qid", "vector"), rows.select(label, "id", "vector"), 3, 10)
+    assert plan.count() == 50 * 3 * 10  # each of 5 x 10 pairs of blocks keeps 3 hits for each of its 10 queries, about
 
 
 def test_pooling(spark):
