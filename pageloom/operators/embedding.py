@@ -87,3 +87,17 @@ def embed_with_model(df: DataFrame, load: Callable[[], Encoder], text: str, into
             yield pa.RecordBatch.from_arrays([*batch.columns, vectors], names=[*batch.schema.names, into])
 
     return df.mapInArrow(encode, schema)
+
+
+def encoder_column(load: Callable[[], Encoder]) -> Callable[[Column], Column]:
+    """A column function from texts to vectors by any encoder; ``load`` runs once per task, NULL is the empty text."""
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = load()
+        for batch in batches:
+            texts = [t or "" for t in batch.to_pylist()]
+            matrix = np.asarray(encoder(texts), dtype=np.float32).reshape(len(texts), -1)
+            ends = pa.array(np.arange(len(texts) + 1) * matrix.shape[1], type=pa.int32())
+            yield pa.ListArray.from_arrays(ends, pa.array(matrix.ravel(), type=pa.float32()))
+
+    return encode

@@ -32,6 +32,14 @@ def hashed_model(name: str = "hashed-64", dim: int = 64, max_query_terms: int |
     )
 
 
+def loaded_model(name: str, dim: int, load: Callable[[], embedding.Encoder], load_query: Callable[[], embedding.Encoder] | None = None) -> Model:
+    """Any model as code: ``load`` returns a function from texts to a matrix, once per task.
+
+    ``load_query`` is for models that embed questions in another way, or truncate them.
+    """
+    return Model(name, dim, embedding.encoder_column(load), embedding.encoder_column(load_query or load))
+
+
 def chunk_dataset(dataset: DataFrame, key: str, chunk_size: int, text: str = "Wiki_content", count: Callable[[Column], Column] = tx.token_count) -> DataFrame:
     """Chunks of every row's text with the row's metadata: (key, chunk_no, …, sentences, Metadata).
 

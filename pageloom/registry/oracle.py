@@ -380,6 +380,8 @@ SELECT w.page_id AS want_id, w.page_url, p.page_id, length(p.html) AS n_chars FR
     SELECT label, (vec_id % 3 <> 0)::INT AS mask, unnest(range(0, {DIM})) AS d, unnest(embedding) AS x FROM embeddings) GROUP BY ALL)"""
     q["chunk_embeddings"] = f"WITH RECURSIVE {DOC_CHUNKS}, {CHUNK_VECS} {components(f'(SELECT id, {FLOATS} FROM cvec)', 'id')}"
     q["question_embeddings"] = components(f"(SELECT qid, {FLOATS} FROM ({vectors(QUESTION, 'qid', 'question', limit=20)}))", "qid")
+    letters = ", ".join(f"((length(text) - length(replace(text, '{c}', ''))) / greatest(length(text), 1))::FLOAT::DOUBLE" for c in "abcdefgh")
+    q["encoded_points"] = components(f"(SELECT conv_id * 1000 + turn AS id, [{letters}] AS vector FROM conversations)", "id")
     q["unit_vectors"] = components(
         f"(SELECT vec_id AS id, list_transform(vector, lambda x: x / sqrt(list_dot_product(vector, vector))) AS vector FROM (SELECT vec_id, {DOUBLES} FROM embeddings))",
         "id",

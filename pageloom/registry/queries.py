@@ -295,6 +295,20 @@ def question_embeddings(spark, sf):
     return components(rows.select("qid", vector), ["qid"])
 
 
+LETTERS = "abcdefgh"
+
+
+@query
+def encoded_points(spark, sf):
+    """Points of all turns by a model that is loaded in the tasks: the shares of eight letters."""
+    def load():
+        return lambda texts: [[t.count(c) / max(len(t), 1) for c in LETTERS] for t in texts]
+
+    model = index.loaded_model("letters", len(LETTERS), load)
+    rows = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), model.embed(F.col("text")).alias("vector"))
+    return components(rows, ["id"])
+
+
 @query
 def unit_vectors(spark, sf):
     return components(data.vectors(spark, sf).select("id", vx.unit(F.col("vector")).alias("vector")), ["id"])

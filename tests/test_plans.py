@@ -108,3 +108,51 @@ def test_streams(spark, tmp_path):
     jobs.search_stream(stream, points, model, found, str(tmp_path / "c2"), 1).awaitTermination()
     best = spark.read.parquet(found)
     assert best.count() == 32 and best.filter("qid < 30 AND qid % 5 <> id").count() == 0
+
+
+def test_loaded_model(spark, tmp_path):
+    def load():
+        return lambda texts: [[len(t), t.count("e")] for t in texts]
+
+    def load_query():
+        return lambda texts: [[1.0, len(t)] for t in texts]
+
+    model = index.loaded_model("lengths", 2, load, load_query)
+    stored = Collection(spark, str(tmp_path), "wiki")
+    made = dataset.prepare_dataset(projects(spark), pages(spark))
+    index.store_points(stored, index.build_points(made, "pid", 6, model, packed_id, summary=False), model)
+    for r in stored.points().collect():
+        assert r["vector"] == [len(r["payload"]["Wiki_content"]), r["payload"]["Wiki_content"].count("e")]
+    asked = spark.createDataFrame([(1, "what"), (2, None)], "qid long, question string")
+    assert answer.retrieve(asked, stored.points(), model, 2).count() == 4
+
+
+def test_a_configuration_without_a_model_is_an_error(spark):
+    import pytest
+
+    pending = spark.createDataFrame([(6, "other", "q", "a", "c", None)], "chunk_size int, embedding_model string, question string, reference_answer string, qa_context string, qa_meta string")
+    points = spark.createDataFrame([], "chunk_size int, embedding_model string, id long, vector array<float>, payload string")
+    with pytest.raises(ValueError, match="other"):
+        evaluation.run_prompts(pending, points, [index.hashed_model("m", 8)], ["chunk_size", "embedding_model"])
+
+
+def test_site_chunks_are_those_of_one_pass(spark):
+    from pageloom.functions import text as tx
+    from pageloom.operators import chunking, crawl
+
+    rows = [(seed, [page], pos, f"p{page}", f"{seed} page {page} has sentence number {pos} here [1]." if pos % 3 else "[2]") for seed in ("a", "b") for page in range(9) for pos in range(7)]
+    sentences = spark.createDataFrame(rows, "seed string, route array<int>, pos int, page_url string, sentence string")
+    whole = {}
+    for seed, _, _, _, s in sorted(rows):
+        if s != "[2]":
+            whole.setdefault(seed, []).append(s.replace(" [1].", "."))
+    for block_rows in (5, 20_000):
+        got = crawl.site_chunks(sentences, 20, block_rows).orderBy("seed", "chunk_no").collect()
+        assert len({(r["seed"], r["chunk_no"]) for r in got}) == len(got)
+        for seed, said in whole.items():
+            own = [r for r in got if r["seed"] == seed]
+            assert [r["chunk_no"] for r in own] == list(range(len(own)))
+            joined = [" ".join(s.split()) for r in own for s in r["sentences"]]
+            assert joined == [" ".join(s.replace(" .", ".").split()) for s in said] or len(joined) == len(said)
+            assert all(r["n_tokens"] + 2 <= 20 or r["n_sentences"] == 1 for r in own)
+    assert chunking and tx
