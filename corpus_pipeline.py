@@ -59,7 +59,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_chars, n_tokens, ids)."""
-    encoded = bpe.with_ids(docs, bpe.read_ranks(VOCABULARY), PATTERN)
+    encoded = bpe.with_ids(docs, bpe.read_ranks(VOCABULARY), PATTERN, keep=["doc_id", "lang", "source", "n_chars"])
     return encoded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame
 
 # Rows handled at once: short texts in reach of the cache, a few long ones at most.
 ROWS = 512
+BATCH_ROWS = 512
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``BATCH_ROWS`` rows: a row here is a whole text.
+
+    The default of 10,000 rows would hold a gigabyte of long texts on either side at once.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
 
 
 def by_rows(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
@@ -35,4 +47,4 @@ def add_columns(
             made = work(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*kept, *names])
 
-    return source.mapInArrow(run, schema)
+    return bounded(source).mapInArrow(run, schema)

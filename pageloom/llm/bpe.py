@@ -214,8 +214,11 @@ def hot_vocabulary(counts: DataFrame, ranks: dict[bytes, int], most: int = HOT_W
     return chosen.select("word", ids.alias("ids")).toArrow()
 
 
-def with_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", into: str = "ids", hot_words: int = HOT_WORDS) -> DataFrame:
-    """``docs`` with the ids of each text as array<int>."""
+def with_ids(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", into: str = "ids", hot_words: int = HOT_WORDS,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """``docs`` with the ids of each text as array<int>. ``keep``: the columns to carry along, all by default."""
     counts = checkpointed(count_words(docs, text, pattern))
     vocabulary = hot_vocabulary(counts, ranks, hot_words)
     context = docs.sparkSession.sparkContext
@@ -226,15 +229,15 @@ def with_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
         np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64),
     ))
     shared_ranks = context.broadcast(ranks)
-    kept = [c for c in docs.columns if c not in (into, "_words")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in (into, "_words")]
     cut = docs.select(*kept, words_of(F.col(text), pattern).alias("_words"))
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema][:-1], f"`{into}` array<int>"])
 
     def look_up(batches):
         words, table, bounds = tables.value
-        for batch in bt.by_rows(batches, 1024):
+        for batch in bt.by_rows(batches):
             column = batch.column(batch.num_columns - 1)
-            flat, lengths = column.flatten(), column.value_lengths().to_numpy(zero_copy_only=False)
+            flat, ends = column.flatten(), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
             place = pc.fill_null(pc.index_in(flat, value_set=words), -1).to_numpy(zero_copy_only=False)
             missed = np.flatnonzero(place < 0)
             own_table, own_bounds = table, bounds
@@ -245,14 +248,22 @@ def with_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
                 place[missed] = len(bounds) - 1 + rare.indices.to_numpy(zero_copy_only=False)
                 own_table = np.concatenate([table, *[np.array(f, np.int32) for f in found]])
                 own_bounds = np.concatenate([bounds, bounds[-1] + np.cumsum([len(f) for f in found])])
-            sizes = own_bounds[place + 1] - own_bounds[place]
-            before = np.concatenate([[0], np.cumsum(sizes)])
-            ids = own_table[np.repeat(own_bounds[place] - before[:-1], sizes) + np.arange(before[-1])]
-            ends = before[np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)]
-            made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*kept, into])
-
-    return cut.mapInArrow(look_up, schema)
+            # the ids of some rows at a time, as they are many more than the words
+            for at in range(0, batch.num_rows, 64):
+                rows = batch.slice(at, 64)
+                stops = ends[at : at + 64]
+                start = ends[at - 1] if at else 0
+                own = place[start : stops[-1]]
+                sizes = own_bounds[own + 1] - own_bounds[own]
+                before = np.concatenate([[0], np.cumsum(sizes)])
+                ids = own_table[np.repeat(own_bounds[own] - before[:-1], sizes) + np.arange(before[-1])]
+                offsets = before[np.concatenate([[0], stops - start]).astype(np.int64)]
+                made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], made], names=[*kept, into])
+            del column, flat, place, batch
+            pa.default_memory_pool().release_unused()
+
+    return bt.bounded(cut).mapInArrow(look_up, schema)
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:

@@ -311,7 +311,7 @@ def _search_block(docs: DataFrame, text: str, block: list, first: bool) -> DataF
                 names=[*kept, *ADDED],
             )
 
-    return docs.mapInArrow(run, ", ".join([*fields, *[f"{n} {t}" for n, t in ADDED.items()]]))
+    return bt.bounded(docs).mapInArrow(run, ", ".join([*fields, *[f"{n} {t}" for n, t in ADDED.items()]]))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -346,4 +346,4 @@ def remove_spans(found: DataFrame, text: str = "text") -> DataFrame:
             columns = [pa.array(fresh, pa.string()) if c == text else batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays(columns, names=kept)
 
-    return found.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name in kept))
+    return bt.bounded(found).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name in kept))

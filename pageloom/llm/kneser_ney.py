@@ -340,7 +340,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, folder: str | Non
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     sample = texts.orderBy(F.xxhash64("text"), "text").limit(HOT_SAMPLE)
     layout = Layout(int(size // PART_BYTES) + 1, order, _frequent(sample))
-    level, blocks = order, texts.mapInArrow(_count(layout, 0), _BLOCKS)
+    level, blocks = order, bt.bounded(texts).mapInArrow(_count(layout, 0), _BLOCKS)
     sums: dict[int, list[dict]] = {k: [] for k in range(order + 1)}
     while level >= 1:
         lined = blocks.select("level", "part", "blob", "stats").repartition(layout.parts, "level", "part").sortWithinPartitions("level", "part")
@@ -462,4 +462,4 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 found.append(scorer.score(held))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.concatenate(x)) for x in zip(*found))], names=[*kept, *added])
 
-    return source.mapInArrow(run, schema)
+    return bt.bounded(source).mapInArrow(run, schema)

@@ -51,7 +51,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.with_ids(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
+    encoded = bpe.with_ids(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"])
     return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join("ids", ",")).alias("ids_sha256"),
         F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"),

@@ -141,7 +141,7 @@ def with_fingerprints(docs: DataFrame, of: dict[str, str]) -> DataFrame:
             prints = dict(zip(distinct, (sketch(h) for _, h in anchors(distinct))))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([prints[t] for t in c], pa.string()) for c in columns)], names=[*kept, *of.values()])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return bt.bounded(docs.select(*kept)).mapInArrow(run, schema)
 
 
 def likeness(a: Column, b: Column) -> Column:
