@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.arrays import match_spans
+from pageloom.session import checkpointed
 
 UNITS = {
     "sentence": r"[^.!?\n]+[.!?]*",
@@ -74,7 +75,9 @@ def repeated_spans(
     """
     units = units_of(docs, unit, text, doc_id)
     first = units.groupBy("h1", "h2").agg(F.min(_rank()).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    known = units.join(first.drop("copies"), ["h1", "h2"]).filter(_rank() > F.col("first"))
+    # written, so that both sides of the join are plain exchanges, which Spark can split at a hot digest
+    first = checkpointed(first.drop("copies"))
+    known = units.join(first, ["h1", "h2"]).filter(_rank() > F.col("first"))
     # equal rows of one document repeat each other's units at the same place
     once = known.groupBy("doc_id", "row", "ord").agg(
         F.min("start").alias("start"), F.min("end").alias("end"), F.min("words").alias("words"), F.min("first").alias("first")
