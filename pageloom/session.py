@@ -21,6 +21,7 @@ def local_session(cores: int | str = 8, app: str = "pageloom", shuffle_partition
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # checkpoints go with their tables
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -28,18 +29,20 @@ def local_session(cores: int | str = 8, app: str = "pageloom", shuffle_partition
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, from ``spark.checkpoint.dir``.
+    """The folder all executors can reach, from ``spark.checkpoint.dir`` or, without that, the context's own.
 
     A temporary local folder stands in only when nothing is configured and the master is local.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get()
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="pageloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pageloom-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -104,19 +104,13 @@ def fetch_pages(wanted: DataFrame, pages: DataFrame, url: str = "url") -> DataFr
 
 
 def keyed_pages(pages: DataFrame) -> DataFrame:
-    """Pages under their canonical URL; of several rows for one URL the lowest page_id counts.
+    """Pages under their canonical URL, one row each: the lowest page_id, and of equal ids one by a hash of the page.
 
-    Only (key, id) pairs are grouped. The page bodies are not shuffled for it unless the list of
-    dropped ids is too large to broadcast, which Spark judges at run time.
+    Only URLs with several rows have their page bodies grouped.
     """
     keyed = pages.withColumn("page_url", urls.page_key(F.col("url")))
-    ids = keyed.select("page_url", "page_id")
-    first = ids.groupBy("page_url").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
-    dropped = (
-        ids.join(first.filter("copies > 1"), "page_url")
-        .filter("page_id <> first_id")
-        .select("page_id")
-    )
-    return keyed.join(dropped, "page_id", "left_anti")
-
-
+    several = keyed.groupBy("page_url").agg(F.count("*").alias("copies")).filter("copies > 1").select("page_url")
+    least = F.min_by(F.struct(*keyed.columns), F.struct("page_id", F.xxhash64("html"))).alias("p")
+    chosen = keyed.join(several, "page_url", "left_semi").groupBy("page_url").agg(least).select("p.*")
+    # a NULL key matches nothing and stays, as its pages are no copies of each other
+    return keyed.join(several, "page_url", "left_anti").unionByName(chosen)

@@ -133,7 +133,7 @@ def test_crawled_text_drops_later_copies(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     seeds = spark.createDataFrame([("p", "https://s.org/Model/")], "seed string, url string")
     done = crawl.crawl_site_text(seeds, pages).collect()
-    assert [tuple(r) for r in done] == [("p", None, "Same one. First. dg Second.")]
+    assert [tuple(r) for r in done] == [("p", "Same one. First. dg Second.")]
 
 
 def brute(queries, vectors, k, keep=lambda q, v: True):
@@ -436,3 +436,11 @@ def test_explode_computes_the_array_once(spark):
     plan = st.explode_sentences(frame, ["i"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("split(") == 1
     assert hx.html_text(F.col("text")) is not None
+
+
+def test_copies_of_a_page_are_one(spark):
+    from pageloom.sources.tables import keyed_pages
+
+    rows = [(1, "https://s.org/a", "one"), (1, "http://www.s.org/a/", "one"), (1, "https://s.org/a", "other"), (2, "https://s.org/a", "two"), (3, "https://s.org/b", "b"), (3, "https://s.org/b", "b")]
+    got = keyed_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_url"], r["page_id"]) for r in got) == [("https://s.org/a", 1), ("https://s.org/b", 3)]
