@@ -189,6 +189,7 @@ def with_next_text(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     guard = F.struct(F.col("_goes").alias("part"), F.lit(True).alias("guard"))
     is_head = (F.col("_a") == F.col("_head_a")) & (F.col("_b") == F.col("_head_b"))
     sent = known.select(*docs.drop("next_text").columns, "_a", "_b", F.explode(F.when(is_head, F.array(own, guard)).otherwise(F.array(own))).alias("_to"))
-    lined = sent.repartition(max(len(order), 1), F.col("_to.part"))
-    after = Window.partitionBy("_to.part").orderBy("_to.guard", F.desc("_a"), F.desc("_b"))
-    return lined.withColumn("next_text", F.lead(F.coalesce(F.col(text), F.lit(""))).over(after)).filter("NOT _to.guard").drop("_a", "_b", "_to")
+    sent = sent.select("*", F.col("_to.part").alias("_place"), F.col("_to.guard").alias("_guard")).drop("_to")
+    lined = sent.repartitionById(len(bounds) + 1, F.col("_place"))  # a task each
+    after = Window.partitionBy("_place").orderBy("_guard", F.desc("_a"), F.desc("_b"))
+    return lined.withColumn("next_text", F.lead(F.coalesce(F.col(text), F.lit(""))).over(after)).filter("NOT _guard").drop("_a", "_b", "_place", "_guard")
