@@ -135,7 +135,7 @@ def shard_by_bytes(
         before = 0 if piece and shard != shard_of[piece - 1] else before
         offsets.append(before)
         before += counts.get(piece, 0)
-    moved = rows.withColumn("_piece", rank_among(bounds, "_group", "_row")).repartition(len(bounds) + 1, "_piece")
+    moved = rows.withColumn("_piece", rank_among(bounds, "_group", "_row")).repartitionById(len(bounds) + 1, F.col("_piece"))  # a task each
     place = F.row_number().over(Window.partitionBy("_piece").orderBy("_group", "_row"))
     spark = docs.sparkSession
     where = spark.createDataFrame(list(zip(range(len(shard_of)), shard_of, offsets)), "_piece int, shard int, _offset long")
