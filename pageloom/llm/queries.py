@@ -134,8 +134,12 @@ def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every passage of a document that repeats an earlier one, with its place in the original text."""
-    spans = line_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every passage of a document that repeats an earlier one, with its place in the original text.
+
+    Runs of 25 words and more: a repeated passage of 50 words counts even if its first or last sentence runs
+    into other text, and a document that shares one ordinary line with others is left alone.
+    """
+    spans = line_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=25)
     return spans.select("doc_id", "start", "end", "n_units", "n_words", "kept_doc_id")
 
 
@@ -210,7 +214,7 @@ units AS (
 runs AS (SELECT *, ord - row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS run FROM units WHERE nth > 1)
 SELECT doc_id, CAST(min(start) AS INTEGER) AS start, CAST(max(stop) AS INTEGER) AS "end", count(*) AS n_units, CAST(sum(words) AS BIGINT) AS n_words,
   arg_min(keeper, ord) AS kept_doc_id
-FROM runs GROUP BY doc_id, run HAVING sum(words) >= 10
+FROM runs GROUP BY doc_id, run HAVING sum(words) >= 25
 """
 
 

@@ -76,5 +76,5 @@ def test_empty_table(spark, documents):
 
 def test_query_finds_what_it_should(spark, sf):
     rows = [tuple(r) for r in queries.table(spark, sf, "documents").select("doc_id", "text").collect()]
-    expected = sorted((i, a, b) for (i, _), spans in brute(rows, "sentence", 10).items() for a, b in spans)
+    expected = sorted((i, a, b) for (i, _), spans in brute(rows, "sentence", 25).items() for a, b in spans)
     assert sorted((r["doc_id"], r["start"], r["end"]) for r in queries.op10_repeated_passages(spark, sf).collect()) == expected
