@@ -31,12 +31,17 @@ _DOC_BITS, _CHUNK_BITS = 39, 24
 
 
 def packed_id(doc: Column, chunk_no: Column) -> Column:
-    """Point id of a numeric document key and chunk number; distinct inputs give distinct ids."""
+    """Point id of a numeric document key and chunk number; distinct inputs give distinct ids.
+
+    NULL for a NULL input. A join on the id may have Spark test it before rows without a chunk are
+    filtered out, so only a number that is there and out of range is an error.
+    """
     fits = (
         doc.between(0, (1 << _DOC_BITS) - 1) & chunk_no.between(0, (1 << _CHUNK_BITS) - 1)
     )
     value = F.shiftleft(doc.cast("bigint"), _CHUNK_BITS).bitwiseOR(chunk_no.cast("bigint"))
-    return F.when(fits, value).otherwise(F.raise_error(F.lit("document or chunk number out of range")).cast("bigint"))
+    missing = doc.isNull() | chunk_no.isNull()
+    return F.when(fits, value).when(missing, F.lit(None).cast("bigint")).otherwise(F.raise_error(F.lit("document or chunk number out of range")).cast("bigint"))
 
 
 def with_dense_ids(df: DataFrame, order: list[str], into: str = "id") -> DataFrame:
