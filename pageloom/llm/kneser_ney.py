@@ -7,7 +7,7 @@ sends the types it saw (an n-gram counts once for the shorter n-gram inside it)
 level down. All counts cover all training rows. Parts follow the history, so a part knows its
 histories' totals; histories that end in a very frequent word are dealt over many parts by the word that
 follows, and their totals are added on the driver (at most ``HOT`` of them). Which words are frequent
-is read from a bounded sample of rows; that choice moves rows between parts and changes no result.
+is read from about ``HOT_SAMPLE`` rows; that choice moves rows between parts and changes no result.
 
 The model is a folder of ``.npy`` files. A scoring task maps the files it needs, sorts the keys of a
 batch and looks them up in order; no part of the model is copied to a worker or sent through the driver, and
@@ -337,13 +337,13 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, folder: str | Non
     folder = _mounted(folder or scratch_path(spark, "ngrams"))
     os.makedirs(folder, exist_ok=True)
     texts = docs.select(F.col(text).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    sample = texts.orderBy(F.xxhash64("text"), "text").limit(HOT_SAMPLE)
-    layout = Layout(int(size // PART_BYTES) + 1, order, _frequent(sample))
+    seen = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
+    sample = texts.sample(min(1.0, HOT_SAMPLE / max(seen["rows"], 1)), seed=7)
+    layout = Layout(int((seen["bytes"] or 0) // PART_BYTES) + 1, order, _frequent(sample))
     level, blocks = order, bt.bounded(texts).mapInArrow(_count(layout, 0), _BLOCKS)
     sums: dict[int, list[dict]] = {k: [] for k in range(order + 1)}
     while level >= 1:
-        lined = blocks.select("level", "part", "blob", "stats").repartition(layout.parts, "level", "part").sortWithinPartitions("level", "part")
+        lined = blocks.select("level", "part", "blob", "stats").repartitionById(layout.parts, F.col("part")).sortWithinPartitions("level", "part")
         done = checkpointed(lined.mapInArrow(_reduce(layout, folder), _BLOCKS))
         for r in done.filter("stats IS NOT NULL").select("level", "stats").toLocalIterator():  # a line per part
             sums[r["level"]].append(json.loads(r["stats"]))
