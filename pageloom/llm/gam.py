@@ -207,7 +207,7 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", max_rows: int = 20000) -> Model:
     """Fit on the labelled rows given; the caller leaves out what is held out."""
     once = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
-    drawn = once.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    drawn = bt.first_by_hash(once, ["id"], max_rows, once.count())
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     texts = texts.join(F.broadcast(drawn), "id")  # at most max_rows ids
     measured = bt.add_columns(texts, "text", {"x": "array<double>"}, lambda t: [pa.array(list(_matrix(t)), pa.list_(pa.float64()))])

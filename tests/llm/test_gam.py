@@ -63,3 +63,13 @@ def test_labels_of_the_held_out_fold_are_unread(spark, sf):
     flipped = labels.withColumn("quality", F.when(gam.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = gam.train(docs, kept), gam.train(docs, flipped.filter(~gam.held_out(F.col("doc_id"))))
     assert a.intercept == b.intercept and all((x == y).all() for x, y in zip(a.tables, b.tables))
+
+
+def test_rows_first_by_hash(spark):
+    from pageloom.llm.batches import first_by_hash
+
+    rows = spark.range(50_000).select("id", (F.col("id") * 2).alias("v"))
+    place = F.xxhash64("id", F.lit("sample"))
+    for n in (100, 20_000, 50_000, 70_000):
+        expected = sorted(r["id"] for r in rows.orderBy(place, "id").limit(n).collect())
+        assert sorted(r["id"] for r in first_by_hash(rows, ["id"], n, 50_000).collect()) == expected
