@@ -139,7 +139,7 @@ def plan_parts(prints: DataFrame, distance: int) -> list[tuple[int, int]]:
     """(mask, threshold) of each part to probe. ``prints`` has distinct fingerprints."""
     both = _bit_counts(prints)
     n = prints.count()
-    drawn = prints.orderBy(F.xxhash64("fingerprint", F.lit("sample")), "fingerprint").limit(SAMPLE).collect()
+    drawn = bt.first_by_hash(prints.select("fingerprint"), ["fingerprint"], SAMPLE, n).collect()
     sample = np.array([r["fingerprint"] for r in drawn], np.int64).view(np.uint64)
     plans = []
     for parts in range(1, distance + 2):
