@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 
 import numpy as np
@@ -13,6 +14,7 @@ from pageloom.functions import urls
 from pageloom.operators import cells, chunking, crawl, embedding, knn, sampling, scores, summarize
 from pageloom.operators import sentences as st
 from pageloom.operators.collections import Collection, packed_id, with_dense_ids
+from pageloom.registry import queries as registered
 from pageloom.sources import results, tables
 
 
@@ -208,6 +210,16 @@ def test_cells(spark, vector_set):
     assert few["share"] < more["share"] < 1 and few["candidates"] == round(few["share"] * 40 * len(vector_set))
 
 
+def test_cells_find_nine_in_ten(spark):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("needs the test tables")
+    queries, rows = registered._self_search(spark, "/root/testdata/sf0.001")
+    centroids = cells.train_centroids(rows, 16)
+    assigned = cells.assign_cells(rows.select("id", "vector"), centroids).persist()
+    made = cells.quality(queries, assigned, centroids, registered.DIM).first()
+    assert made["recall"] >= 0.9 and made["share"] <= 0.7 and made["incomplete"] == 0
+
+
 def test_blocks_are_square(spark):
     assert knn.block_rows(64) == 65536 and knn.block_rows(1536) == 2730 and knn.block_rows(10**9) == 1
     rng = np.random.default_rng(0)
