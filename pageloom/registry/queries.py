@@ -765,7 +765,7 @@ def built_index(spark, sf):
 def production_run(spark, sf):
     """The production chain: CSV, year, site text, summarised chunks, vectors, collection, answers."""
     csv, prepared = scratch_path(spark, "projects-csv"), scratch_path(spark, "prepared")
-    rows = data.projects(spark, sf).withColumn("Abstract", F.substring("Abstract", 1, 200))
+    rows = data.projects(spark, sf)
     tables.write_projects(rows.withColumn("Location", F.col("doc_id").cast("string")).drop("doc_id"), csv)
     made = dataset.prepared_dataset(spark, csv, data.page_tree(spark, sf), prepared).withColumn("pid", F.col("Location").cast("long"))
     model = index.hashed_model(dim=DIM)

@@ -36,3 +36,21 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert spark_entry.entry(spark).count() > 0
+
+
+def test_production_run_reads_whole_texts(spark, monkeypatch):
+    from pageloom.registry import data, queries
+
+    class Read(Exception):
+        pass
+
+    def stop(spark, path, *args):
+        raise Read(path)
+
+    monkeypatch.setattr(queries.dataset, "prepared_dataset", stop)
+    with pytest.raises(Read) as met:
+        queries.production_run(spark, SF)
+    wanted = {int(r["doc_id"]): r["Abstract"] for r in data.projects(spark, SF).collect()}
+    found = {int(r["Location"]): r["Abstract"] for r in queries.tables.read_projects(spark, met.value.args[0]).collect()}
+    assert max(len(t or "") for t in found.values()) > 200
+    assert {i: len(t or "") for i, t in found.items()} == {i: len(t or "") for i, t in wanted.items()}
