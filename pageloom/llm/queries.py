@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, chat, credentials, decontamination, gam, kneser_ney, line_dedup, sharding, simhash, syncmers
+from pageloom.llm import (
+    bpe, centroids, chat, credentials, decontamination, fill_middle, gam, kneser_ney, langid, line_dedup, sharding, simhash, syncmers,
+)
 from pageloom.session import checkpointed
 
 
@@ -143,6 +145,28 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "start", "end", "n_units", "n_words", "kept_doc_id")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = gam.held_out(F.col("doc_id"), 4, 2)
+    model = langid.train(docs.filter(~held))
+    return langid.with_languages(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every usable embedding, by 40 centroids in whole numbers."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return centroids.cluster(rows, "vec_id", "embedding").with_figures().select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its fill-in-middle form, and restored from it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fill_middle.with_fill_middle(docs)
+
+
 QUERIES = {
     "op1_fm_decontamination": op1_fm_decontamination,
     "op2_secret_scan": op2_secret_scan,
@@ -154,6 +178,9 @@ QUERIES = {
     "op8_closed_syncmers": op8_closed_syncmers,
     "op9_quality_gam": op9_quality_gam,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_language_id": op11_language_id,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 
@@ -218,6 +245,51 @@ FROM runs GROUP BY doc_id, run HAVING sum(words) >= 25
 """
 
 
+def _op12_sql(rounds: int = 5) -> str:
+    """Rounds of assigning and moving, one after the other."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT rid, min({{'d': list_sum(list_transform(x, lambda e, i: (e - c[i]) * (e - c[i]))), 'no': no}}) AS best FROM v, c{r} GROUP BY rid)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT no, coalesce(m.c, o.c) AS c FROM c{r} AS o LEFT JOIN (
+    SELECT no, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (
+      SELECT best.no AS no, i, sum(x[i]) AS s, count(*) AS n FROM a{r} JOIN v USING (rid), unnest(generate_series(1, 64)) AS t(i) GROUP BY best.no, i)
+    GROUP BY no) AS m USING (no))""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS INTEGER) AS no, x AS c FROM v QUALIFY no < 40),
+{", ".join(steps)}
+SELECT vec_id, best.no AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.no) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (rid) JOIN c{rounds} ON no = best.no
+"""
+
+
+OP13_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+cut AS (
+  SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS p, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS q,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+parts AS (
+  SELECT *, substring(t, 1, least(p, q)) AS pre, substring(t, least(p, q) + 1, abs(p - q)) AS mid, substring(t, greatest(p, q) + 1) AS suf FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(p, q) END AS prefix_chars, CASE WHEN form <> 'plain' THEN abs(p - q) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
 def sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    return {"op1_fm_decontamination": OP1_SQL, "op4_chat_examples": OP4_SQL, "op10_repeated_passages": OP10_SQL}
+    return {
+        "op1_fm_decontamination": OP1_SQL, "op4_chat_examples": OP4_SQL, "op10_repeated_passages": OP10_SQL,
+        "op12_centroid_clusters": _op12_sql(), "op13_fill_in_middle": OP13_SQL,
+    }

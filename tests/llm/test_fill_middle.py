@@ -1,0 +1,91 @@
+"""Fill-in-middle against plain string work; the query's SQL is in test_sql."""
+
+import hashlib
+
+import pytest
+
+from pageloom.llm import fill_middle
+
+
+def plain_output(doc_id, text):
+    """(n, form, prefix_chars, middle_chars, output)."""
+    text, name = text or "", "" if doc_id is None else str(doc_id)
+    h = [int(hashlib.sha256(f"1:{name}".encode()).hexdigest()[8 * i : 8 * i + 8], 16) for i in range(4)]
+    n = len(text)
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return n, "plain", None, None, text
+    if h[3] % 100 < 20:
+        return n, "spm", a, b - a, "<S>" + text[b:] + "<P>" + text[:a] + "<M>" + text[a:b]
+    return n, "psm", a, b - a, "<P>" + text[:a] + "<S>" + text[b:] + "<M>" + text[a:b]
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+TEXTS = [
+    None, "", "a", "ab", "short text", "x" * 7, "lines\n\r\n\ttabs", "ünï \U0001f600\U0001f1e9 cödé", "has <P> inside", "<S>", "ends with <M>", "<P", "P>", "<", "<<S",
+    "<P<S<M" * 9, "word " * 400, "é" * 333, "\x00\x01 control", "a<", "S>b<",
+]
+ROWS = [(i, t) for i, t in enumerate(TEXTS * 6)] + [(3, "ab")] * 4 + [(None, "null id")] * 3 + [(None, "other"), (None, None), (5, ""), (5, None), (-9, "minus")]
+
+
+def wanted(rows):
+    out = []
+    for i, t in rows:
+        n, form, p, m, o = plain_output(i, t)
+        out.append((i, n, form, p, m, sha(o), sha(t or "")))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1 << 16])
+def test_equals_plain_version(spark, chunk):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
+    made = fill_middle.with_fill_middle(docs, chunk=chunk)
+    assert made.columns == ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"]
+    assert sorted((tuple(r) for r in made.collect()), key=repr) == wanted(ROWS)
+    forms = {r[2] for r in wanted(ROWS)}
+    assert forms == {"plain", "psm", "spm"}
+
+
+def test_pieces_leave_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(fill_middle, "SEND_BYTES", 20)
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").coalesce(1)
+    assert sorted((tuple(r) for r in fill_middle.with_fill_middle(docs, chunk=5).collect()), key=repr) == wanted(ROWS)
+
+
+def test_outputs_are_the_texts_and_restore(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(2)
+    rows = fill_middle.outputs(docs, keep=["doc_id", "text"], chunk=4).collect()
+    assert sorted(((r["doc_id"], r["text"], r["form"], r["output"]) for r in rows), key=repr) == sorted(
+        ((i, t, plain_output(i, t)[1], plain_output(i, t)[4]) for i, t in ROWS), key=repr)
+    assert all(fill_middle.restored(r["output"], r["form"]) == (r["text"] or "") for r in rows)
+
+
+def test_no_piece_is_longer_than_a_chunk(spark):
+    made = fill_middle.pieces(spark.createDataFrame([(1, "y" * 1000), (2, "z" * 999)], "doc_id long, text string"), chunk=64)
+    assert made.selectExpr("max(length(piece)) AS n").first()["n"] <= 64
+    assert made.filter("place = 0").count() == made.filter("kept IS NOT NULL").count() == 2
+
+
+def test_one_exchange(spark):
+    docs = spark.createDataFrame([(1, "t")], "doc_id long, text string")
+    plan = fill_middle.with_fill_middle(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_very_long_text(spark):
+    long = "0123456789 äöü " * 200_000
+    docs = spark.createDataFrame([(i, long) for i in (1, 2, 3)], "doc_id long, text string")
+    assert sorted((tuple(r) for r in fill_middle.with_fill_middle(docs).collect()), key=repr) == wanted([(i, long) for i in (1, 2, 3)])
+
+
+def test_clashing_columns_and_empty_table(spark, documents):
+    names = ["place", "piece", "key_id", "key_part", "kept", "first", "second", "n", "form", "output_sha256"]
+    docs = documents([(1, "some words here"), (2, None)], *names)
+    rows = fill_middle.with_fill_middle(docs, keep=docs.columns).collect()
+    assert len(rows) == 2 and all(r[c] == "clash" for r in rows for c in names[:7])
+    assert {(r["doc_id"], r["n"], r["form"]) for r in rows} == {(i, *plain_output(i, t)[:2]) for i, t in ((1, "some words here"), (2, None))}
+    assert fill_middle.with_fill_middle(documents([], *names)).collect() == []
+    assert len(fill_middle.with_fill_middle(docs, keep=[]).collect()) == 2
