@@ -13,7 +13,7 @@ whichever block they fall into. A zero vector has no cosine: its score is NULL a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -191,9 +191,23 @@ def block_rows(dim: int) -> int:
     return max(1, min(MAX_BLOCK_ROWS, BLOCK_BYTES // (8 * dim)))
 
 
-def _blocks(queries: DataFrame, vectors: DataFrame, k: int, rows: int) -> DataFrame:
+def _compared(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block of queries against a block of vectors: the k best of each query."""
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        best = TopK(left["key"].to_numpy(), to_matrix(left["vector"].combine_chunks()), k)
+        best.add(right["key"].to_numpy(), to_matrix(right["vector"].combine_chunks()))
+        return pa.Table.from_batches([best.hits(left["part"][0].as_py())])
+
+    return search
+
+
+def meet_in_blocks(queries: DataFrame, vectors: DataFrame, rows: int, compare: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
     """Every vector block of a part meets every query block of it once; block numbers follow counts.
 
+    ``queries`` is (part, qid, vector) and ``vectors`` (part, id, vector), where ``vector`` is whatever ``compare``
+    takes on its sides; it sees tables (part, qb, vb, key, vector) and returns rows of HITS.
+
     A vector is sent once per query block and a query once per vector block. Blocks are square, so
     with n queries and m vectors the copies are n m / rows in all, on either side.
     """
@@ -220,16 +234,16 @@ def _blocks(queries: DataFrame, vectors: DataFrame, k: int, rows: int) -> DataFr
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.combine_chunks(), right.combine_chunks()
-        if not left.num_rows or not right.num_rows:
-            return pa.Table.from_batches([], schema=_HITS_ARROW)
-        best = TopK(left["key"].to_numpy(), to_matrix(left["vector"].combine_chunks()), k)
-        best.add(right["key"].to_numpy(), to_matrix(right["vector"].combine_chunks()))
-        return pa.Table.from_batches([best.hits(left["part"][0].as_py())])
+        return compare(left, right) if left.num_rows and right.num_rows else pa.Table.from_batches([], schema=_HITS_ARROW)
 
     keys = ["part", "qb", "vb"]
     return q_rows.groupBy(*keys).cogroup(v_rows.groupBy(*keys)).applyInArrow(search, HITS)
 
 
+def _blocks(queries: DataFrame, vectors: DataFrame, k: int, rows: int) -> DataFrame:
+    return meet_in_blocks(queries, vectors, rows, _compared(k))
+
+
 def nearest(
     queries: DataFrame,
     vectors: DataFrame,

@@ -394,9 +394,12 @@ SELECT w.page_id AS want_id, w.page_url, p.page_id, length(p.html) AS n_chars FR
     q["nearest_by_blocks"] = q["nearest_neighbours"]
     q["cell_search_exact"] = q["nearest_neighbours"]
     q["cell_search_recall"] = f"SELECT count(*) AS n_true, true AS is_complete, true AS finds_most, true AS skips_much FROM ({q['nearest_neighbours']})"
+    q["quantised_recall"] = f"SELECT n_cells, count(*) AS n_true, true AS is_complete, true AS finds_most, true AS scores_few, 32::BIGINT AS code_bytes FROM ({q['nearest_neighbours']}), (VALUES (16), (256)) AS c(n_cells) GROUP BY n_cells"
+    q["quantised_first_hits"] = f"SELECT qid, id, score FROM ({q['nearest_neighbours']}) WHERE rank = 1"
     q["nearest_by_label"] = f"SELECT label, qid, id, score, rank FROM ({top(SELF_Q, SELF_V, 'q.label = v.label', 'label')})"
     q["filtered_search"] = f"{plain} ({top(SELF_Q, SELF_V + ' WHERE label IN (1, 3, 5)')})"
     q["hits_with_payload"] = f"SELECT qid, rank, id, lang, length(text) AS n_chars FROM ({top(SELF_Q, SELF_V)}) JOIN documents ON doc_id = id"
+    q["payload_lookup"] = q["hits_with_payload"]
 
     q["parsed_completions"] = f"""SELECT conv_id, turn,
   {strip("split_part(split_part(completion, 'Question: ', -1), 'Answer: ', 1)")} AS question,

@@ -13,9 +13,10 @@ from pageloom.functions import prompts
 from pageloom.functions import text as tx
 from pageloom.functions import urls
 from pageloom.functions import vectors as vx
-from pageloom.operators import cells, chunking, crawl, embedding, knn, sampling, scores, summarize
+from pageloom.operators import cells, chunking, crawl, embedding, knn, quantised, sampling, scores, summarize
 from pageloom.operators import sentences as st
 from pageloom.operators.collections import Collection, flat_payload, metadata_struct, packed_id, with_dense_ids
+from pageloom.operators.lookup import KeyedTable
 from pageloom.operators.rows import unnest
 from pageloom.plans import answer, dataset, evaluation, index, report
 from pageloom.registry import data
@@ -385,6 +386,38 @@ def cell_search_recall(spark, sf):
     )
 
 
+@query
+def quantised_recall(spark, sf):
+    """The search over compressed codes against the exact one, at few cells and at many: nine hits in ten for a quarter of the exact cosines or less."""
+    queries, rows = _self_search(spark, sf)
+    made = []
+    for n_cells in (16, 256):
+        built = quantised.build(spark, rows, scratch_path(spark, "codes"), n_cells)
+        made.append(quantised.quality(built, queries).select(
+            F.lit(n_cells).alias("n_cells"), "n_true", (F.col("incomplete") == 0).alias("is_complete"), (F.col("recall") >= 0.9).alias("finds_most"),
+            (F.col("share") <= 0.25).alias("scores_few"), F.col("code_bytes").cast("long").alias("code_bytes"),
+        ))
+    return made[0].unionByName(made[1])
+
+
+@query
+def quantised_first_hits(spark, sf):
+    """The nearest vector of each, found among compressed codes and scored exactly."""
+    queries, rows = _self_search(spark, sf)
+    built = quantised.build(spark, rows, scratch_path(spark, "codes"), 16)
+    return quantised.search(built, queries).filter("rank = 1").select("qid", "id", "score")
+
+
+@query
+def payload_lookup(spark, sf):
+    """Payloads of all hits from a table bucketed by id, which stays where it is; only keys are exchanged."""
+    queries, rows = _self_search(spark, sf)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    stored = KeyedTable(spark, scratch_path(spark, "payloads")).write(docs, buckets=4)
+    found = stored.attach(knn.nearest(queries, rows, DIM), ["lang", "text"], max_listed=0, max_broadcast=0)
+    return found.select("qid", "rank", "id", "lang", F.length("text").alias("n_chars"))
+
+
 @query
 def hits_with_payload(spark, sf):
     queries, rows = _self_search(spark, sf)
