@@ -356,6 +356,49 @@ def test_compaction(spark, tmp_path):
     assert made.versions() == [made._changes()[-1]] and stored(made) == {r["id"]: r["payload"]["Wiki_content"] for r in reader.collect()}
 
 
+def test_small_upserts_write_in_proportion_to_themselves(spark, tmp_path):
+    made = Collection(spark, str(tmp_path), "c")
+    made.create(2)
+    made.upsert(points(spark, range(3000), "old"))
+    expected, written = {i: f"old{i}" for i in range(3000)}, {}
+    for n in range(14):
+        ids = [n, n + 1, 5000 + n]
+        made.upsert(points(spark, ids, f"v{n}-"), compact_after=2)
+        expected |= {i: f"v{n}-{i}" for i in ids}
+        written |= {t.version: t.n_rows for t in made.tiers()}
+    del written[0]
+    # each row is written once and then once per size class; the base lies where it lay
+    assert sum(written.values()) <= 14 * 3 * 4 and made.versions()[0] == 0 and max(written.values()) <= 42
+    assert len(made.tiers()) <= 1 + 2 * 3
+    assert stored(made) == expected
+    made.compact()
+    assert stored(made) == expected and len(made.tiers()) == 1 and made.tiers()[0].n_rows == len(expected)
+
+
+def test_newer_rows_are_told_by_ids_alone(spark, tmp_path):
+    """No aggregation and no exchange sees a vector or a payload."""
+    made = Collection(spark, str(tmp_path), "c")
+    made.create(2)
+    for n in range(4):
+        made.upsert(points(spark, range(n, 50), f"v{n}-"))
+    plan = made.points()._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.split("\n") if "Aggregate" in line or "Exchange" in line]
+    assert len(made.tiers()) == 4 and lines and not any("payload" in line or "vector" in line for line in lines)
+
+
+def test_a_replayed_batch_is_not_stored_again(spark, tmp_path):
+    made = Collection(spark, str(tmp_path), "c")
+    made.create(2)
+    assert made.upsert(points(spark, [1, 2], "a"), batch=("stream", 0))
+    assert made.upsert(points(spark, [2], "b"), batch=("stream", 1)) and made.upsert(points(spark, [7], "x"), batch=("other", 0))
+    before = made._changes(), made.versions()
+    assert not made.upsert(points(spark, [2], "again"), batch=("stream", 1)) and not made.upsert(points(spark, [1], "again"), batch=("stream", 0))
+    assert (made._changes(), made.versions()) == before and stored(made) == {1: "a1", 2: "b2", 7: "x7"}
+    made.compact()
+    assert not made.upsert(points(spark, [2], "again"), batch=("stream", 1)) and made.upsert(points(spark, [2], "c"), batch=("stream", 2))
+    assert stored(made) == {1: "a1", 2: "c2", 7: "x7"}
+
+
 def test_a_declared_collection_reads_as_empty(spark, tmp_path):
     made = Collection(spark, str(tmp_path), "c")
     made.create(2)

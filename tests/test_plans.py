@@ -110,6 +110,26 @@ def test_streams(spark, tmp_path):
     assert best.count() == 32 and best.filter("qid < 30 AND qid % 5 <> id").count() == 0
 
 
+def test_a_stream_searches_the_collection_as_it_grows(spark, tmp_path):
+    model = index.hashed_model(dim=32)
+    wiki = Collection(spark, str(tmp_path / "wiki"), "w")
+    folder, found = str(tmp_path / "in"), str(tmp_path / "hits")
+
+    def arrive(qid, text):
+        spark.createDataFrame([(qid, text)], "qid long, question string").coalesce(1).write.mode("append").parquet(folder)
+        docs = spark.createDataFrame([(qid, text)], "id long, text string")
+        docs.coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+        to_points = lambda b: b.select("id", model.embed(F.col("text")).alias("vector"), F.struct("text").alias("payload"))
+        stream = jobs.read_files(spark, str(tmp_path / "docs"), docs.schema)
+        jobs.ingest(stream, to_points, wiki, model, str(tmp_path / "c-docs")).awaitTermination()
+        asked = jobs.read_files(spark, folder, spark.read.parquet(folder).schema)
+        jobs.search_stream(asked, wiki, model, found, str(tmp_path / "c-asked"), 1).awaitTermination()
+
+    arrive(1, "first words")
+    arrive(2, "other things")
+    assert {(r["qid"], r["id"]) for r in spark.read.parquet(found).collect()} == {(1, 1), (2, 2)}
+
+
 def test_loaded_model(spark, tmp_path):
     def load():
         return lambda texts: [[len(t), t.count("e")] for t in texts]
