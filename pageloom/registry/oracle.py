@@ -462,6 +462,7 @@ UNION ALL SELECT {DEFAULT_CHUNK_SIZE}, '{DEFAULT_MODEL}', true"""
 
     q["stream_ingest"] = f"""WITH RECURSIVE {DOC_CHUNKS} SELECT {POINT_ID} AS id, content AS "Wiki_content", 64 AS dim FROM chunk"""
     q["stream_questions"] = "SELECT DISTINCT props AS question FROM events"
+    q["stream_first_questions"] = q["stream_questions"]
     q["stream_search"] = f"WITH RECURSIVE {HITS} SELECT qid, rank, id, score FROM hit"
 
     made = f"{EVAL_SENT}, sent AS (SELECT * FROM esent), {chunked(250)}, {summarised(f'(SELECT {POINT_ID} AS id, * FROM chunk)')}"

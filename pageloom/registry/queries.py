@@ -25,6 +25,7 @@ from pageloom.schemas import METADATA_FIELDS
 from pageloom.session import scratch_path
 from pageloom.sources import results, tables
 from pageloom.streaming import jobs
+from pageloom.streaming import questions as seen
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -858,6 +859,19 @@ def stream_questions(spark, sf):
     return spark.read.schema("question string, batch long").parquet(out).select("question")
 
 
+@query
+def stream_first_questions(spark, sf):
+    """Each distinct question once, by keyed state with a time to live, over a restart of the stream."""
+    rows = table(spark, sf, "events").select(F.col("props").alias("question"))
+    folder = _as_files(spark, rows.filter("hash(question) % 2 = 0"), "questions", 2)
+    stream = jobs.read_files(spark, folder, rows.schema, files_per_batch=2)
+    out, checkpoint = scratch_path(spark, "first-seen"), scratch_path(spark, "ckpt")
+    seen.store_first_seen(stream, out, checkpoint, ttl_ms=24 * 3600 * 1000).awaitTermination()
+    rows.repartition(2).write.mode("append").parquet(folder)
+    seen.store_first_seen(stream, out, checkpoint, ttl_ms=24 * 3600 * 1000).awaitTermination()
+    return spark.read.schema(seen.SCHEMA).parquet(out)
+
+
 @query
 def stream_search(spark, sf):
     """Arriving questions searched in a stored collection."""

@@ -6,6 +6,7 @@ from pageloom.operators.collections import Collection, packed_id
 from pageloom.plans import answer, dataset, evaluation, index, report
 from pageloom.schemas import METADATA, METADATA_FIELDS
 from pageloom.streaming import jobs
+from pageloom.streaming import questions as seen
 
 
 def projects(spark):
@@ -130,6 +131,30 @@ def test_a_stream_searches_the_collection_as_it_grows(spark, tmp_path):
     assert {(r["qid"], r["id"]) for r in spark.read.parquet(found).collect()} == {(1, 1), (2, 2)}
 
 
+def test_first_seen_questions_keep_state_that_expires(spark, tmp_path):
+    """Once each over a restart; state as large as the questions of its time; new again after it; nothing stored is read."""
+    import time
+
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run(questions, ttl_ms, name):
+        spark.createDataFrame([(q,) for q in questions], "question string").repartition(2).write.mode("append").parquet(folder)
+        stream = jobs.read_files(spark, folder, spark.read.parquet(folder).schema)
+        running = seen.store_first_seen(stream, f"{out}-{name}", str(tmp_path / f"c-{name}"), ttl_ms)
+        assert running.awaitTermination(120)
+        stored = sorted(r["question"] or "" for r in spark.read.schema(seen.SCHEMA).parquet(f"{out}-{name}").collect())
+        return stored, running.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    before = [spark.conf.get(key) for key in seen._SETTINGS]
+    assert run(["a", "b"] * 300 + [None], 3_600_000, "long") == (["", "a", "b"], 3)
+    assert run(["b", "c"], 3_600_000, "long") == (["", "a", "b", "c"], 4)
+    assert run([], 1, "short")[0] == ["", "a", "b", "c"]
+    time.sleep(0.1)
+    stored, rows = run(["d", "a"], 1, "short")
+    assert stored == ["", "a", "a", "b", "c", "d"] and rows == 2
+    assert [spark.conf.get(key) for key in seen._SETTINGS] == before
+
+
 def test_loaded_model(spark, tmp_path):
     def load():
         return lambda texts: [[len(t), t.count("e")] for t in texts]
