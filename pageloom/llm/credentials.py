@@ -3,12 +3,16 @@ r"""Secret scans: multipart credential linking, with column functions only.
 A credential has parts: an access identifier, a secret, an endpoint. Some parts are telling by
 themselves (the base kinds). Others (a short password, a bare high-entropy word, a user name, a
 service address) are weak: alone they are ordinary text. A weak candidate is reported only when a
-complementary part lies within ``reach`` code points of it in the same scope, a paragraph.
+complementary part, one that it does not overlap, lies in the same scope, a paragraph, at whatever distance.
+
+What stands inside an address is a piece of that address: a commit number or a path that looks like a secret makes
+neither its own address nor another one a credential, and is no candidate itself (a base part there is still reported). A
+word before an address's ``@`` is its password and counts.
 
 The interval join of parts against parts stays inside the row: parts are merged into one list sorted
-by start, and running maxima and minima of ends and starts give, for every part, the nearest
-complementary interval on either side. That is linear in the parts, moves no row, and has no group
-that could become hot.
+by start, and for every part the earliest end of a complementary part before it and the latest start of one after it, in its
+scope, tell whether a disjoint one exists. These are running minima and maxima, which the scope's number starts anew, so the
+join is linear in the parts, moves no row, and has no group that could become hot.
 
 Cases: a NULL or empty text has no spans; spans of different kinds may overlap and all are kept;
 repeated rows are scanned each on their own; columns of any name pass through, except that ``into``
@@ -33,7 +37,7 @@ HEX = r"[0-9a-f]{16,}"
 # Weak candidates.
 SHORT_VALUE = 6
 IDENT = r"""(?i)\b(?:user(?:name)?|login|account(?:_?id)?|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}"""
-BLOB = r"(?<![A-Za-z0-9+/_=-])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{20,}={0,2}"
+BLOB = r"(?<![A-Za-z0-9+/_=-])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{20,}+={0,2}+"
 ENDPOINT = r"""(?i)\b(?:https?|ftps?|ssh|jdbc:[a-z0-9]+|mongodb(?:\+srv)?|redis|amqps?|postgres(?:ql)?|mysql)://[^\s"'<>|]+"""
 SCOPE_BREAK = r"\n[ \t\r]*\n"
 
@@ -42,7 +46,10 @@ _ROLE = {"assign": "secret", "access": "id", "hex": "secret", "short": "secret",
 _WEAK = {"short", "ident", "blob", "endpoint"}
 # What a weak part of each role needs nearby.
 _NEEDS = {"secret": ["id", "endpoint"], "id": ["secret"], "endpoint": ["secret"]}
-_FAR = 1 << 30
+# Scopes are told apart by adding their number times this to a position.
+_SCOPE, _FAR = 1 << 31, 1 << 62
+# The kind number of a word before an address's @, which counts although it is inside.
+_PASSWORD = len(KINDS)
 _PART = "array<struct<start:int,ord:int,end:int,kind:string,role:string,weak:boolean>>"
 
 
@@ -50,11 +57,11 @@ def _value_length(hit: Column) -> Column:
     return F.length(F.regexp_extract(hit, ASSIGN, 2))
 
 
-def _parts(spans: Column, kind: str) -> Column:
+def _parts(spans: Column, kind: str, number: int | None = None) -> Column:
     return F.transform(
         spans,
         lambda s: F.struct(
-            s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("ord"), s["end"].alias("end"),
+            s["start"].alias("start"), F.lit(KINDS.index(kind) if number is None else number).alias("ord"), s["end"].alias("end"),
             F.lit(kind).alias("kind"), F.lit(_ROLE[kind]).alias("role"), F.lit(kind in _WEAK).alias("weak"),
         ),
     ).cast(_PART)
@@ -73,14 +80,15 @@ def _all_parts(text: Column) -> Column:
         _parts(match_spans(text, ACCESS), "access"),
         _parts(match_spans(text, HEX), "hex"),
         _parts(match_spans(text, IDENT), "ident"),
-        _parts(match_spans(text, BLOB), "blob"),
+        _parts(match_spans(text, BLOB + "(?!@)"), "blob"),
+        _parts(match_spans(text, BLOB + "(?=@)"), "blob", _PASSWORD),
         _parts(match_spans(text, ENDPOINT), "endpoint"),
     )
     return F.array_sort(found)
 
 
-def _linked(parts: Column, breaks: Column, reach: int) -> Column:
-    """Drop the weak parts that have no complementary part within reach in their scope."""
+def _linked(parts: Column, breaks: Column) -> Column:
+    """Drop the weak parts that have no disjoint complementary part in their scope."""
     # breaks join the list as events of an own role, so that one set of scans answers everything
     marks = F.transform(
         breaks,
@@ -90,55 +98,70 @@ def _linked(parts: Column, breaks: Column, reach: int) -> Column:
         ),
     ).cast(_PART)
 
-    def judged(events: Column) -> Column:
-        back = F.reverse(events)
+    def placed(events: Column) -> Column:
+        """Parts with their scope's offset, and whether they are inside an address."""
+        ends = F.transform(events, lambda e: F.when(e["kind"] == "endpoint", e["end"]).otherwise(F.lit(-1)))
+        ones = F.transform(events, lambda e: F.when(e["role"] == "scope", 1).otherwise(F.lit(0)).cast("bigint"))
+        tables = F.struct(
+            running(ends, F.lit(-1), lambda a, b: F.greatest(a, b), "int").alias("addressed"),
+            running(ones, F.lit(0).cast("bigint"), lambda a, b: a + b, "bigint").alias("scope"),
+        )
+
+        def filled(t: Column) -> Column:
+            inside = lambda e, i: (e["kind"] != "endpoint") & (e["ord"] != _PASSWORD) & (F.get(t["addressed"], i) >= e["end"])
+            each = F.transform(events, lambda e, i: F.struct(
+                e.alias("part"), (F.get(t["scope"], i) * F.lit(_SCOPE)).alias("offset"), ((e["role"] == "scope") | inside(e, i)).alias("silent")
+            ))
+            return F.filter(each, lambda x: (x["part"]["role"] != "scope") & ~(x["silent"] & x["part"]["weak"]))
 
-        def ends(role: str) -> Column:
-            values = F.transform(events, lambda e: F.when(e["role"] == role, e["end"]).otherwise(F.lit(-_FAR)))
-            return running(values, F.lit(-_FAR), lambda a, b: F.greatest(a, b), "int")
+        return let(tables, filled)
 
-        def starts(role: str) -> Column:
-            values = F.transform(back, lambda e: F.when(e["role"] == role, e["start"]).otherwise(F.lit(_FAR)))
-            return F.reverse(running(values, F.lit(_FAR), lambda a, b: F.least(a, b), "int"))
+    def judged(rows: Column) -> Column:
+        def first_ends(role: str) -> Column:
+            counts = lambda x: (x["part"]["role"] == role) & ~x["silent"]
+            values = F.transform(rows, lambda x: F.when(counts(x), x["part"]["end"] - x["offset"]).otherwise(F.lit(_FAR)))
+            return running(values, F.lit(_FAR), lambda a, b: F.least(a, b), "bigint")
 
-        roles = ["secret", "id", "endpoint", "scope"]
-        tables = F.struct(*[ends(r).alias(f"before_{r}") for r in roles], *[starts(r).alias(f"after_{r}") for r in roles])
+        def last_starts(role: str) -> Column:
+            counts = lambda x: (x["part"]["role"] == role) & ~x["silent"]
+            values = F.transform(F.reverse(rows), lambda x: F.when(counts(x), x["part"]["start"] - x["offset"]).otherwise(F.lit(-_FAR)))
+            return F.reverse(running(values, F.lit(-_FAR), lambda a, b: F.greatest(a, b), "bigint"))
+
+        roles = ["secret", "id", "endpoint"]
+        tables = F.struct(*[first_ends(r).alias(f"before_{r}") for r in roles], *[last_starts(r).alias(f"after_{r}") for r in roles])
 
         def kept(t: Column) -> Column:
-            def near(e: Column, i: Column, role: str) -> Column:
-                before, after = F.get(t[f"before_{role}"], i), F.get(t[f"after_{role}"], i)
-                scope_from, scope_to = F.get(t["before_scope"], i), F.get(t["after_scope"], i)
-                return ((before > scope_from) & (e["start"] - before <= reach)) | (
-                    (after < scope_to) & (after - e["end"] <= reach)
-                )
-
-            def reported(e: Column, i: Column) -> Column:
+            def met(x: Column, i: Column, role: str) -> Column:
+                # a value of another scope is off by a whole offset, on the side that fails
+                return (F.get(t[f"before_{role}"], i) + x["offset"] <= x["part"]["start"]) | (F.get(t[f"after_{role}"], i) + x["offset"] >= x["part"]["end"])
+
+            def reported(x: Column, i: Column) -> Column:
                 needs = F.lit(False)
                 for role, others in _NEEDS.items():
                     for other in others:
-                        needs = needs | ((e["role"] == role) & near(e, i, other))
-                return (e["role"] != "scope") & (~e["weak"] | needs)
+                        needs = needs | ((x["part"]["role"] == role) & met(x, i, other))
+                return ~x["part"]["weak"] | needs
 
-            return F.filter(events, reported)
+            return F.transform(F.filter(rows, reported), lambda x: x["part"])
 
         return let(tables, kept)
 
-    return let(F.array_sort(F.concat(parts, marks)), judged)
+    return let(let(F.array_sort(F.concat(parts, marks)), placed), judged)
 
 
-def credential_findings(text: Column, reach: int = 400) -> Column:
+def credential_findings(text: Column) -> Column:
     """array<struct<start,ord,end,kind,role,weak>> of the reported spans, by start and kind."""
 
     def linked(parts: Column) -> Column:
         some = F.exists(parts, lambda p: p["weak"])
-        return F.when(some, _linked(parts, match_spans(text, SCOPE_BREAK), reach)).otherwise(parts)
+        return F.when(some, _linked(parts, match_spans(text, SCOPE_BREAK))).otherwise(parts)
 
     return let(_all_parts(text), linked)
 
 
-def scan_credentials(docs: DataFrame, text: str = "text", reach: int = 400, into: str = "findings") -> DataFrame:
+def scan_credentials(docs: DataFrame, text: str = "text", into: str = "findings") -> DataFrame:
     """``docs`` with the findings of each row; row-local, every row is kept."""
-    return docs.withColumn(into, credential_findings(F.coalesce(F.col(text), F.lit("")), reach))
+    return docs.withColumn(into, credential_findings(F.coalesce(F.col(text), F.lit(""))))
 
 
 def redacted(text: Column, findings: Column, mask: str = "[REDACTED]") -> Column:
