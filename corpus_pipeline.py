@@ -12,11 +12,14 @@ All but the last return the columns of ``documents``; ``n_chars`` follows the te
 * tokens: each text becomes the ids of the vocabulary.
 
 Cases: NULL and empty texts are documents like any other (the quality model judges the empty text); of
-repeated rows one stays; empty tables give no rows.
+repeated rows one stays; empty tables give no rows. Columns besides doc_id and text pass through with their values, whatever
+their names: a stage sees them under names of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +35,17 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
+def _apart(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on rows whose columns besides doc_id and text have names that no operator adds; names and order are restored."""
+    own = [c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(docs.columns)]
+    return work(docs.toDF(*own)).select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns)])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~gam.held_out(F.col("doc_id")))
     model = gam.train(docs, labels)
-    columns = docs.columns
-    return gam.with_scores(docs, model).filter(F.col("score") >= 0.5).select(*columns)
+    return _apart(docs, lambda rows: gam.with_scores(rows, model).filter(F.col("score") >= 0.5))
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +56,15 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of any benchmark passage of 10 words."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _measured(decontamination.remove_spans(decontamination.find_contamination(docs, items))).select(*docs.columns)
+    return _measured(_apart(docs, lambda rows: decontamination.remove_spans(decontamination.find_contamination(rows, items))))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every reported credential span masked."""
-    found = credentials.scan_credentials(docs)
-    return _measured(found.withColumn("text", credentials.redacted(F.col("text"), F.col("findings")))).select(*docs.columns)
+    def masked(rows: DataFrame) -> DataFrame:
+        return credentials.scan_credentials(rows).withColumn("text", credentials.redacted(F.col("text"), F.col("findings")))
+
+    return _measured(_apart(docs, masked))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
