@@ -52,14 +52,18 @@ ROWS = [
 
 
 def test_cases(spark, documents, sf):
-    docs = documents(ROWS, "score", "fingerprint", "root", "findings", "ids")
+    names = ["score", "fingerprint", "root", "findings", "ids", "n_words", "hit_spans", "hit_items", "component_id", "id", "x", "_text", "n_tokens"]
+    docs = documents(ROWS, *names)
+    assert docs.count() == len(ROWS)
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf)
         empty = stage(spark, docs.limit(0), sf)
         assert empty.collect() == []
-        if name != "tokens":
-            assert out.columns == docs.columns
         got = out.collect()
+        if name != "tokens":
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+            assert all(r[n] == "clash" for r in got for n in names) and all((r["lang"], r["source"]) == ("en", "s") for r in got)
+            assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
         if name == "near_duplicates":
             assert sorted(str(r["doc_id"]) for r in got) == ["2", "6", "8", "9", "None"]
         elif name != "quality":
