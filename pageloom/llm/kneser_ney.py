@@ -1,16 +1,18 @@
 """Language-model scoring: interpolated modified Kneser-Ney, from sorted hash arrays that workers map.
 
-Counting is a Spark shuffle. Tasks hash words and histories to 64 bits, count the n-grams of some
-millions of tokens at a time, and send each part of the key space its counts as one compressed
-block; a part's task merges its blocks, writes the sorted arrays of the part to the shared folder, and
+Counting is a Spark shuffle. Tasks hash words to 64 bits, count the n-grams of some millions of tokens at a
+time, and send each segment of the key space its counts as one compressed block of words (histories are
+hashed again where they are needed). A segment's task cuts its blocks into parts of some 10 MB of text, sorts them by
+part, merges one part at a time, appends the part's sorted arrays to the segment's files in the shared folder, and
 sends the types it saw (an n-gram counts once for the shorter n-gram inside it) on to the next
-level down. All counts cover all training rows. Parts follow the history, so a part knows its
-histories' totals; histories that end in a very frequent word are dealt over many parts by the word that
-follows, and their totals are added on the driver (at most ``HOT`` of them). Which words are frequent
+level down. All counts cover all training rows. Memory follows the part; the number of segments, and so of blocks
+and files, is ``SEGMENTS`` a level at most. Parts follow the history, so a part knows its
+histories' totals; histories of very frequent words are dealt over many parts by the word that
+follows, and their totals are added in Spark (at most ``HOT`` a level reach the driver). Which words are frequent
 is read from about ``HOT_SAMPLE`` rows; that choice moves rows between parts and changes no result.
 
-The model is a folder of ``.npy`` files. A scoring task maps the files it needs, sorts the keys of a
-batch and looks them up in order; no part of the model is copied to a worker or sent through the driver, and
+The model is a folder of plain arrays. A scoring task sorts the keys of a batch and looks them up segment by segment,
+with at most ``OPEN_FILES`` files mapped at once; no part of the model is copied to a worker or sent through the driver, and
 files may be larger than memory. The shared folder must be mounted under the same path everywhere.
 
 Tokens are the words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lowered, then one end mark. Histories at a
@@ -26,9 +28,9 @@ apart, so an unseen n-gram is taken for a seen one about once in a million.
 
 from __future__ import annotations
 
-import json
 import os
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urlparse
 
@@ -43,6 +45,8 @@ from pageloom.session import checkpointed, scratch_path
 
 PART_BITS = 24
 PART_BYTES = 10 << 20
+SEGMENTS = 4096
+OPEN_FILES = 128
 FLUSH_TOKENS = 3 << 20
 SCORE_TOKENS = 1 << 19
 HOT, HOT_SAMPLE, HOT_SHARE = 256, 1000, 0.002
@@ -114,8 +118,8 @@ def word_hashes(texts: list, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
         yield from flush()
 
 
-def histories(words: list[np.ndarray], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """(tokens, [history of 1 word, of 2, ...], tokens per text); every text ends with the end mark."""
+def ngrams(words: list[np.ndarray], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(columns, tokens per text): the word ``order - 1`` places back, ..., one place back, the token itself; every text ends with the end mark."""
     counts = np.array([len(w) + 1 for w in words], np.int64)
     pad = order - 1
     line = np.concatenate([p for w in words for p in (np.full(pad, START), w, np.array([END]))])
@@ -124,20 +128,40 @@ def histories(words: list[np.ndarray], order: int) -> tuple[np.ndarray, list[np.
     for k in range(pad):
         target[first + k] = False
     at = np.flatnonzero(target)
-    hashed, found = np.zeros(len(at), np.uint64), []
-    for k in range(1, order):
-        hashed = mix(hashed * np.uint64(_BASE) + line[at - k])
-        found.append(hashed)
-    return line[at], found, counts
+    return [line[at - k] for k in range(pad, -1, -1)], counts
+
+
+def history_of(before: Iterable[np.ndarray]) -> np.ndarray:
+    """Hash of the words before a token, oldest first; the nearest is hashed first."""
+    hashed = np.uint64(0)
+    for word in reversed(list(before)):
+        hashed = mix(hashed * np.uint64(_BASE) + word)
+    return hashed
+
+
+def histories(words: list[np.ndarray], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(tokens, [history of 1 word, of 2, ...], tokens per text)."""
+    columns, counts = ngrams(words, order)
+    return columns[-1], [history_of(columns[order - k : -1]) for k in range(2, order + 1)], counts
 
 
 @dataclass
 class Layout:
-    """Where keys live: the number of parts, and the words after which histories are dealt out."""
+    """Where keys live: parts, segments of neighbouring parts, the type of counts, and the words after which histories are dealt out.
+
+    ``hot`` begins with the most frequent words.
+    """
 
     parts: int
     order: int
     hot: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    counts: str = "uint32"
+
+    def __post_init__(self):
+        self.segments = min(self.parts, SEGMENTS)
+
+    def segment_of(self, part: np.ndarray) -> np.ndarray:
+        return part * np.uint64(self.segments) // np.uint64(self.parts)
 
     def of_word(self, word: np.ndarray) -> np.ndarray:
         return (mix(word) >> np.uint64(32)) % np.uint64(self.parts)
@@ -145,15 +169,24 @@ class Layout:
     def of_history(self, history: np.ndarray) -> np.ndarray:
         return (mix(history + np.uint64(1)) >> np.uint64(32)) % np.uint64(self.parts)
 
-    def is_dealt(self, level: int, last: np.ndarray) -> np.ndarray:
-        """Histories of one frequent word; ``last`` is the word. Longer ones spread by their other words."""
-        return np.isin(last, self.hot) if level == 2 else np.zeros(len(last), bool)
+    def is_dealt(self, level: int, before: np.ndarray) -> np.ndarray:
+        """Histories made of frequent words alone, ``HOT`` a level at most; ``before`` holds their words, a row for each place."""
+        words = self.hot[: int(HOT ** (1 / (level - 1)) + 1e-9)]
+        return np.all([np.isin(b, words) for b in np.atleast_2d(before)], axis=0)
 
-    def of_gram(self, level: int, history: np.ndarray, last: np.ndarray, word: np.ndarray) -> np.ndarray:
-        own, dealt = self.of_history(history), self.is_dealt(level, last)
+    def of_gram(self, level: int, history: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        own, dealt = self.of_history(history), self.is_dealt(level, before)
         own[dealt] = (own[dealt] + self.of_word(word[dealt])) % np.uint64(self.parts)
         return own
 
+    def place(self, level: int, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(part, what rows of like place share): the word at levels 0 and 1, else the history."""
+        word = columns[-1]
+        if level <= 1:
+            return self.of_word(word), word
+        history = history_of(columns[:-1])
+        return self.of_gram(level, history, columns[:-1], word), history
+
 
 def _key(part: np.ndarray, value: np.ndarray) -> np.ndarray:
     """One number that sorts by part and then by 40 bits of the hash."""
@@ -164,15 +197,29 @@ def gram_hash(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(history * np.uint64(_BASE) + word)
 
 
-def _pack(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    head = np.array([len(columns), len(counts)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *(c.tobytes() for c in columns), counts.astype(np.uint32).tobytes()]))
+def _small(values: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the least of 1, 2 and 4 bytes that holds them."""
+    top = int(values.max(initial=0))
+    return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
+
+
+def _pack(columns: np.ndarray, counts: np.ndarray) -> bytes:
+    """A block: its distinct words once, every word as its number there, the numbers byte by byte, and the counts."""
+    table, number = np.unique(columns, return_inverse=True)
+    number, counts = _small(number.ravel()), _small(counts)
+    head = np.array([*columns.shape, len(table), number.itemsize, counts.itemsize], np.int64)
+    planes = np.ascontiguousarray(number.view(np.uint8).reshape(-1, number.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in (head, table, planes, counts)))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(blob)
-    k, n = np.frombuffer(data, np.int64, 2)
-    return np.frombuffer(data, np.uint64, k * n, 16).reshape(k, n), np.frombuffer(data, np.uint32, n, 16 + 8 * k * n)
+    k, n, words, wide, count = map(int, np.frombuffer(data, np.int64, 5))
+    table = np.frombuffer(data, np.uint64, words, 40)
+    at = 40 + 8 * words
+    planes = np.frombuffer(data, np.uint8, k * n * wide, at).reshape(wide, -1)
+    number = np.ascontiguousarray(planes.T).view(f"u{wide}").ravel()
+    return table[number].reshape(k, n), np.frombuffer(data, f"u{count}", n, at + k * n * wide)
 
 
 def _merged(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,116 +230,167 @@ def _merged(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return by[new], np.add.reduceat(counts[by].astype(np.int64), new) if len(new) else counts[:0].astype(np.int64)
 
 
-_BLOCKS = "level int, part int, blob binary, stats string"
+_PLACED = "level int, place int, blob binary"
+_BLOCKS = f"{_PLACED}, history bigint, sums array<bigint>"
+
+
+def _block(level: int, place: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([level], pa.int32()), pa.array([place], pa.int32()), pa.array([blob], pa.binary())], names=["level", "place", "blob"]
+    )
 
 
-def _block(level: int, part: int, blob: bytes | None, stats: str | None = None) -> pa.RecordBatch:
+def _sums(level: int, history: list[int | None], sums: list[list[int]]) -> pa.RecordBatch:
+    """Sums of a part: its histogram under no history, and those of dealt histories under theirs."""
+    n = len(sums)
     return pa.RecordBatch.from_arrays(
-        [pa.array([level], pa.int32()), pa.array([part], pa.int32()), pa.array([blob], pa.binary()), pa.array([stats], pa.string())],
-        names=["level", "part", "blob", "stats"],
+        [pa.array([level] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+         pa.array(history, pa.int64()), pa.array(sums, pa.list_(pa.int64()))],
+        names=["level", "place", "blob", "history", "sums"],
     )
 
 
-def _send(level: int, part: np.ndarray, near: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Merge equal rows and send each part its block. Level 0 holds words; rows are ordered so that ``near`` repeats."""
-    rough = (part << np.uint64(64 - PART_BITS)) | (mix(near) >> np.uint64(44) << np.uint64(20))
+def _with_sums(blocks: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in blocks:
+        n = b.num_rows
+        yield b.append_column("history", pa.nulls(n, pa.int64())).append_column("sums", pa.nulls(n, pa.list_(pa.int64())))
+
+
+def _send(level: int, place: np.ndarray, near: np.ndarray, columns: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Merge equal rows and send each place its block. Level 0 holds words; rows are ordered so that ``near`` repeats."""
+    rough = (place << np.uint64(64 - PART_BITS)) | (mix(near) >> np.uint64(44) << np.uint64(20))
     if len(columns) > 1:
-        rough |= gram_hash(columns[0], columns[-1]) >> np.uint64(44)
+        rough |= gram_hash(near, columns[-1]) >> np.uint64(44)
     by = np.argsort(rough, kind="stable")
-    columns, part, counts = [c[by] for c in columns], part[by], counts[by]
-    new = np.concatenate([np.ones(min(len(part), 1), bool), np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+    columns, place, counts = columns[:, by], place[by], counts[by]
+    new = np.concatenate([np.ones(min(len(place), 1), bool), np.any(columns[:, 1:] != columns[:, :-1], axis=0)])
     at = np.flatnonzero(new)
     if not len(at):
         return
-    sums, part, columns = np.add.reduceat(counts, at), part[at], [c[at] for c in columns]
-    cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+    sums, place, columns = np.add.reduceat(counts.astype(np.int64), at), place[at], columns[:, at]
+    cuts = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]])
     for a, b in zip(cuts[:-1], cuts[1:]):
-        yield _block(level, int(part[a]), _pack([c[a:b] for c in columns], sums[a:b]))
+        yield _block(level, int(place[a]), _pack(columns[:, a:b], sums[a:b]))
 
 
-def _count(layout: Layout, place: int):
-    """Tokens of a partition to blocks: level 0 for words, level ``order`` for the longest n-grams."""
+def _count(layout: Layout, at: int):
+    """Tokens of a partition to blocks for segments: level 0 for words, level ``order`` for the longest n-grams."""
     def flush(words: list[np.ndarray]):
-        tokens, found, _ = histories(words, layout.order)
-        ones = np.ones(len(tokens), np.int64)
-        yield from _send(0, layout.of_word(tokens), tokens, [tokens], ones)
-        last = np.concatenate([[START], tokens[:-1]])
-        last[np.cumsum([len(w) + 1 for w in words])[:-1]] = START
-        # longest history first, then the shorter ones that the levels below need, then the word
-        yield from _send(layout.order, layout.of_gram(layout.order, found[-1], last, tokens), found[-1], [*found[::-1], last, tokens], ones)
+        columns = np.stack(ngrams(words, layout.order)[0])
+        ones = np.ones(columns.shape[1], np.int64)
+        for level, rows in ((0, columns[-1:]), (layout.order, columns)):
+            part, near = layout.place(level, rows)
+            yield from _send(level, layout.segment_of(part), near, rows, ones)
 
     def run(batches):
         held, size = [], 0
         for batch in bt.by_rows(batches):
-            for w in word_hashes(batch.column(place).to_pylist()):
+            for w in word_hashes(batch.column(at).to_pylist()):
                 held.append(w)
                 size += len(w) + 1
                 if size >= FLUSH_TOKENS:
-                    yield from flush(held)
+                    yield from _with_sums(flush(held))
                     held, size = [], 0
         if held:
-            yield from flush(held)
+            yield from _with_sums(flush(held))
+
+    return run
+
+
+def _joined(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    rows = [_unpack(b) for b in blobs]
+    return np.concatenate([r[0] for r in rows], axis=1), np.concatenate([r[1].astype(np.int64) for r in rows])
+
+
+def _blobs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    for batch in bt.by_rows(batches, 64):
+        yield from zip(*(batch.column(i).to_pylist() for i in range(3)))
+
+
+def _by_part(layout: Layout):
+    """A segment's blocks to blocks of its parts, some millions of rows at a time."""
+    def flush(level: int, blobs: list[bytes]):
+        columns, counts = _joined(blobs)
+        part, near = layout.place(level, columns)
+        yield from _send(level, part, near, columns, counts)
+
+    def run(batches):
+        held: dict[int, list[bytes]] = {}
+        size: dict[int, int] = {}
+        for level, _, blob in _blobs(batches):
+            held.setdefault(level, []).append(blob)
+            size[level] = size.get(level, 0) + zstandard.frame_content_size(blob)
+            if size[level] >= 8 * FLUSH_TOKENS:
+                yield from flush(level, held.pop(level))
+                size[level] = 0
+        for level, blobs in held.items():
+            yield from flush(level, blobs)
 
     return run
 
 
-def _save(folder: str, name: str, values: np.ndarray) -> None:
-    """Write and then rename, so that a repeated task cannot leave half a file."""
-    path = f"{folder}/{name}.npy"
-    partial = f"{path}.{os.getpid()}.{os.urandom(4).hex()}"
-    with open(partial, "wb") as out:
-        np.save(out, values)
-    os.replace(partial, path)
+class _Files:
+    """Files of one segment and level: appended to under other names and renamed at the end, so that a repeated task cannot leave half a file."""
+
+    def __init__(self, folder: str, level: int, segment: int):
+        self.stem, self.mark, self.open = f"{folder}/{level}-{segment}", f"{os.getpid()}.{os.urandom(4).hex()}", {}
+
+    def append(self, name: str, values: np.ndarray) -> None:
+        if name not in self.open:
+            self.open[name] = open(f"{self.stem}-{name}.{self.mark}", "wb")
+        values.tofile(self.open[name])
+
+    def close(self) -> None:
+        for name, out in self.open.items():
+            out.close()
+            os.replace(out.name, f"{self.stem}-{name}")
 
 
 def _reduce(layout: Layout, folder: str):
-    """Blocks sorted by level and part to files, a line of sums each, and blocks for the next level."""
-    def finish(level: int, part: int, blobs: list[bytes]):
-        parts = [_unpack(b) for b in blobs]
-        columns, counts = np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts])
+    """Blocks sorted by level and part to files, rows of sums, and blocks for the next level."""
+    def finish(level: int, part: int, blobs: list[bytes], files: _Files):
+        columns, counts = _joined(blobs)
         word = columns[-1]
-        if level <= 1:
-            at, sums = _merged(mix(word), counts)
-            _save(folder, f"{level}-{part}-key", _key(np.full(len(at), part, np.uint64), mix(word[at])))
-            _save(folder, f"{level}-{part}-count", sums)
-            low = [int((sums == i).sum()) for i in (1, 2, 3, 4)]
-            yield _block(level, part, None, json.dumps({"low": low, "types": len(at), "total": int(sums.sum())}))
-            return
-        gram = gram_hash(columns[0], word)
+        gram = mix(word) if level <= 1 else gram_hash(history_of(columns[:-1]), word)
         at, sums = _merged(gram, counts)
-        _save(folder, f"{level}-{part}-key", _key(np.full(len(at), part, np.uint64), gram[at]))
-        _save(folder, f"{level}-{part}-count", sums.astype(np.uint32))
-        low = [int((sums == i).sum()) for i in (1, 2, 3, 4)]
-        columns = columns[:, at]
-        history, last = columns[0], columns[-2]
-        by = np.argsort(mix(history + np.uint64(1)), kind="stable")
-        new = np.flatnonzero(np.concatenate([[True], history[by][1:] != history[by][:-1]]))
-        sums = sums[by]
-        stats = np.stack([np.add.reduceat(v.astype(np.int64), new) for v in (sums, sums == 1, sums == 2, sums >= 3)], axis=1)
-        own, dealt = history[by][new], layout.is_dealt(level, last[by][new])
-        hot = [[int(h), *map(int, s)] for h, s in zip(own[dealt], stats[dealt])]
-        own, stats = own[~dealt], stats[~dealt]
-        _save(folder, f"{level}-{part}-history", _key(np.full(len(own), part, np.uint64), mix(own + np.uint64(1))))
-        _save(folder, f"{level}-{part}-stats", stats.astype(np.uint32) if stats.size == 0 or stats.max() < 1 << 32 else stats)
-        yield _block(level, part, None, json.dumps({"low": low, "types": len(at), "total": int(counts.sum()), "hot": hot}))
-        ones = np.ones(len(at), np.int64)
-        if level == 2:
-            yield from _send(1, layout.of_word(word[at]), word[at], [word[at]], ones)
-        else:
-            shorter = columns[1]
-            yield from _send(level - 1, layout.of_gram(level - 1, shorter, last, word[at]), shorter, list(columns[1:]), ones)
+        files.append("key", _key(np.full(len(at), part, np.uint64), gram[at]))
+        files.append("count", sums.astype(layout.counts))
+        own: list[int | None] = [None]
+        lines = [[*(int((sums == i).sum()) for i in (1, 2, 3, 4)), len(at), int(sums.sum())]]
+        if level >= 2:
+            columns = columns[:, at]
+            history = history_of(columns[:-1])
+            by = np.argsort(mix(history + np.uint64(1)), kind="stable")
+            new = np.flatnonzero(np.concatenate([[True], history[by][1:] != history[by][:-1]]))
+            sums = sums[by]
+            stats = np.stack([np.add.reduceat(v.astype(np.int64), new) for v in (sums, sums == 1, sums == 2, sums >= 3)], axis=1)
+            found, dealt = history[by][new], layout.is_dealt(level, columns[:-1, by][:, new])
+            own += found[dealt].view(np.int64).tolist()
+            lines += stats[dealt].tolist()
+            files.append("history", _key(np.full((~dealt).sum(), part, np.uint64), mix(found[~dealt] + np.uint64(1))))
+            files.append("stats", stats[~dealt].astype(layout.counts))
+        yield _sums(level, own, lines)
+        if level >= 2:
+            rows = columns[1:]
+            part_of, near = layout.place(level - 1, rows)
+            yield from _with_sums(_send(level - 1, layout.segment_of(part_of), near, rows, np.ones(len(at), np.int64)))
 
     def run(batches):
-        own, blobs = None, []
-        for batch in bt.by_rows(batches, 64):
-            for level, part, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if own is not None and own != (level, part):
-                    yield from finish(*own, blobs)
-                    blobs = []
-                own = (level, part)
-                blobs.append(blob)
+        own, files, place, blobs = None, None, None, []
+        for level, part, blob in _blobs(batches):
+            if own is not None and own != (level, part):
+                yield from finish(*own, blobs, files)
+                blobs = []
+            segment = int(layout.segment_of(np.uint64(part)))
+            if place != (level, segment):
+                if files:
+                    files.close()
+                place, files = (level, segment), _Files(folder, level, segment)
+            own = (level, part)
+            blobs.append(blob)
         if own is not None:
-            yield from finish(*own, blobs)
+            yield from finish(*own, blobs, files)
+            files.close()
 
     return run
 
@@ -339,27 +437,32 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, folder: str | Non
     texts = docs.select(F.col(text).alias("text"))
     seen = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
     sample = texts.sample(min(1.0, HOT_SAMPLE / max(seen["rows"], 1)), seed=7)
-    layout = Layout(int((seen["bytes"] or 0) // PART_BYTES) + 1, order, _frequent(sample))
+    size = int(seen["bytes"] or 0)
+    # no count exceeds the number of tokens: half the bytes, rounded up in each text, and an end mark each
+    counts = "uint32" if size + 2 * seen["rows"] < 1 << 32 else "uint64"
+    layout = Layout(min(size // PART_BYTES + 1, 1 << PART_BITS), order, _frequent(sample), counts)
     level, blocks = order, bt.bounded(texts).mapInArrow(_count(layout, 0), _BLOCKS)
-    sums: dict[int, list[dict]] = {k: [] for k in range(order + 1)}
+    low = {k: [0, 0, 0, 0] for k in range(order + 1)}
+    types, total = dict.fromkeys(low, 0), dict.fromkeys(low, 0)
+    hot: dict[int, dict[int, list[int]]] = {}
     while level >= 1:
-        lined = blocks.select("level", "part", "blob", "stats").repartitionById(layout.parts, F.col("part")).sortWithinPartitions("level", "part")
-        done = checkpointed(lined.mapInArrow(_reduce(layout, folder), _BLOCKS))
-        for r in done.filter("stats IS NOT NULL").select("level", "stats").toLocalIterator():  # a line per part
-            sums[r["level"]].append(json.loads(r["stats"]))
+        placed = blocks.select("level", "place", "blob").repartitionById(layout.segments, F.col("place"))
+        if layout.segments < layout.parts:
+            placed = placed.mapInArrow(_by_part(layout), _PLACED)
+        done = checkpointed(placed.sortWithinPartitions("level", "place").mapInArrow(_reduce(layout, folder), _BLOCKS))
+        sums = [F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(6)]
+        for r in done.filter("sums IS NOT NULL").groupBy("level", "history").agg(*sums).collect():  # HOT + 1 rows a level at most
+            k, line = r["level"], [r[f"s{i}"] for i in range(6)]
+            if r["history"] is None:
+                low[k], types[k], total[k] = line[:4], line[4], line[5]
+            else:
+                hot.setdefault(k, {})[r["history"] % (1 << 64)] = line[:4]
         blocks = done.filter("blob IS NOT NULL")
         level -= 1
-    hot: dict[int, dict[int, list[int]]] = {}
-    for k in range(2, order + 1):
-        for h, *stats in (x for s in sums[k] for x in s["hot"]):
-            own = hot.setdefault(k, {}).setdefault(h, [0] * len(stats))
-            own[:] = [a + b for a, b in zip(own, stats)]
-    low = {k: [sum(s["low"][i] for s in sums[k]) for i in range(4)] for k in range(1, order + 1)}
-    found = {k: discounts(v) for k, v in low.items()}
-    types, total = (sum(s[name] for s in sums[1]) for name in ("types", "total"))
-    counts = [low[1][0], low[1][1], types - low[1][0] - low[1][1]]
-    free = sum(n * d for n, d in zip(counts, found[1])) / total if total else 1.0
-    return Model(folder, layout, sum(s["total"] for s in sums[0]), sum(s["types"] for s in sums[0]), total, free, found, hot)
+    found = {k: discounts(low[k]) for k in range(1, order + 1)}
+    ones = [low[1][0], low[1][1], types[1] - low[1][0] - low[1][1]]
+    free = sum(n * d for n, d in zip(ones, found[1])) / total[1] if total[1] else 1.0
+    return Model(folder, layout, total[0], types[0], total[1], free, found, hot)
 
 
 def _frequent(sample: DataFrame) -> np.ndarray:
@@ -377,16 +480,21 @@ def _frequent(sample: DataFrame) -> np.ndarray:
 
 
 class Scorer:
-    """Looks up sorted batches of keys in the mapped files."""
+    """Looks up sorted batches of keys in the mapped files; of those the ``OPEN_FILES`` last used stay mapped."""
 
     def __init__(self, model: Model):
-        self.model, self.files = model, {}
+        self.model, self.files = model, OrderedDict()
 
-    def _map(self, level: int, part: int, name: str) -> np.ndarray | None:
-        key = (level, part, name)
+    def _map(self, level: int, segment: int, name: str) -> np.ndarray | None:
+        key = (level, segment, name)
         if key not in self.files:
-            path = f"{self.model.folder}/{level}-{part}-{name}.npy"
-            self.files[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            path = f"{self.model.folder}/{level}-{segment}-{name}"
+            kind = np.uint64 if name in ("key", "history") else self.model.layout.counts
+            there = os.path.exists(path) and os.path.getsize(path)
+            self.files[key] = np.memmap(path, kind, "r") if there else None
+            if len(self.files) > OPEN_FILES:
+                self.files.popitem(last=False)
+        self.files.move_to_end(key)
         return self.files[key]
 
     def find(self, level: int, part: np.ndarray, value: np.ndarray, keys: str, values: str, width: int) -> np.ndarray:
@@ -394,38 +502,40 @@ class Scorer:
         wanted = _key(part, value)
         by = np.argsort(wanted, kind="stable")
         line, out = wanted[by], np.zeros((len(wanted), width), np.int64)
-        parts = (line >> np.uint64(64 - PART_BITS)).astype(np.int64)
-        cuts = np.concatenate([[0], np.flatnonzero(parts[1:] != parts[:-1]) + 1, [len(parts)]]) if len(parts) else [0]
+        segments = self.model.layout.segment_of(line >> np.uint64(64 - PART_BITS)).astype(np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(segments[1:] != segments[:-1]) + 1, [len(segments)]]) if len(segments) else [0]
         for a, b in zip(cuts[:-1], cuts[1:]):
-            own = self._map(level, int(parts[a]), keys)
-            if own is None or not len(own):
+            own = self._map(level, int(segments[a]), keys)
+            if own is None:
                 continue
             at = np.searchsorted(own, line[a:b])
             at[at == len(own)] = 0
             hit = own[at] == line[a:b]
-            out[by[a:b][hit]] = np.asarray(self._map(level, int(parts[a]), values)[at[hit]]).reshape(-1, width)
+            out[by[a:b][hit]] = self._map(level, int(segments[a]), values).reshape(-1, width)[at[hit]]
         return out
 
     def score(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, known tokens, base score, score) of each text."""
         m = self.model
-        tokens, found, counts = histories(words, m.layout.order)
+        order = m.layout.order
+        columns, counts = ngrams(words, order)
+        tokens = columns[-1]
         own, back = np.unique(tokens, return_inverse=True)
         part = m.layout.of_word(own)
         raw = self.find(0, part, mix(own), "key", "count", 1)[:, 0]
         base = np.log10((raw + 0.5) / (m.tokens + 0.5 * (m.types + 1)))[back]
         low = self.find(1, part, mix(own), "key", "count", 1)[:, 0]
         p = self._level(1, low, None, np.full(len(own), 1 / (m.types + 1)))[back]
-        last = np.concatenate([[START], tokens[:-1]])
-        last[np.cumsum(counts)[:-1]] = START
-        for k, history in enumerate(found, 2):
+        for k in range(2, order + 1):
+            before = columns[order - k : -1]
+            history = history_of(before)
             contexts, at = np.unique(history, return_inverse=True)
             stats = self.find(k, m.layout.of_history(contexts), mix(contexts + np.uint64(1)), "history", "stats", 4)
             for h, s in m.hot.get(k, {}).items():
                 i = np.searchsorted(contexts, np.uint64(h))
                 if i < len(contexts) and contexts[i] == np.uint64(h):
                     stats[i] = s
-            n = self.find(k, m.layout.of_gram(k, history, last, tokens), gram_hash(history, tokens), "key", "count", 1)[:, 0]
+            n = self.find(k, m.layout.of_gram(k, history, before, tokens), gram_hash(history, tokens), "key", "count", 1)[:, 0]
             p = self._level(k, n, stats[at], p)
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         return counts, np.add.reduceat((raw > 0)[back].astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)

@@ -1,8 +1,10 @@
 """The n-gram model against its definition over dictionaries."""
 
 import math
+import os
 import random
 import re
+import resource
 import zlib
 from collections import Counter, defaultdict
 
@@ -81,6 +83,51 @@ def test_scores_match_the_definition(spark, documents, monkeypatch, order, part_
         assert np.isclose(r["base_score"], e[2], rtol=1e-9) and np.isclose(r["score"], e[3], rtol=1e-9)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_many_parts_need_few_open_files(spark, documents, monkeypatch, order):
+    monkeypatch.setattr(kn, "PART_BYTES", 12)
+    monkeypatch.setattr(kn, "SEGMENTS", 40)
+    monkeypatch.setattr(kn, "OPEN_FILES", 20)
+    rng = random.Random(order)
+    train = texts_of(rng, 300) + ["the of the of the"] * 50
+    model = kn.train(documents(list(enumerate(train))), order=order)
+    files = os.listdir(model.folder)
+    assert model.layout.parts > 2000 and model.layout.segments == 40 and 200 < len(files) <= 40 * (4 + 4 * (order - 1))
+    assert all(0 < len(h) <= kn.HOT for h in model.hot.values()) and set(model.hot) == set(range(2, order + 1))
+    _, expected = brute(train, train[:60], order)
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    scorer = kn.Scorer(model)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (min(len(os.listdir("/proc/self/fd")) + 40, hard), hard))
+    try:
+        got = scorer.score(list(kn.word_hashes(train[:60])))
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    assert len(scorer.files) == 20
+    assert np.allclose(got[3], [e[3] for e in expected], rtol=1e-9)
+
+
+def test_wide_counts(spark, documents, monkeypatch):
+    """Counts past 32 bits take 64: the same model, whatever the type."""
+    train = texts_of(random.Random(9), 40)
+    docs = documents(list(enumerate(train)))
+    model = kn.train(docs)
+    made = kn.Layout.__init__
+    monkeypatch.setattr(kn.Layout, "__init__", lambda self, parts, order, hot, counts: made(self, parts, order, hot, "uint64"))
+    wide = kn.train(docs)
+    assert (model.layout.counts, wide.layout.counts) == ("uint32", "uint64")
+    words = list(kn.word_hashes(train))
+    assert np.allclose(kn.Scorer(model).score(words)[3], kn.Scorer(wide).score(words)[3], rtol=1e-12)
+
+
+def test_blocks_come_back():
+    rng = np.random.default_rng(1)
+    for n, words, top in [(1, 1, 1), (500, 90, 200), (70000, 200, 70000), (90000, 70000, 1 << 31)]:
+        table = rng.integers(0, 1 << 63, words).astype(np.uint64)
+        columns, counts = table[rng.integers(0, words, (3, n))], rng.integers(1, top + 1, n)
+        got = kn._unpack(kn._pack(columns, counts))
+        assert (got[0] == columns).all() and (got[1] == counts).all()
+
+
 def test_probabilities_sum_to_one(spark, documents):
     train = ["a b c a b", "b c a", "a a a b", "c"]
     model = kn.train(documents(list(enumerate(train))))
