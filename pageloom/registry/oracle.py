@@ -360,6 +360,7 @@ SELECT w.page_id AS want_id, w.page_url, p.page_id, length(p.html) AS n_chars FR
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_url ORDER BY page_id) AS copy FROM k) WHERE copy = 1) p USING (page_url)"""
     q["result_files"] = f"WITH {RUN} SELECT question, eval_score, chunk_size::VARCHAR AS chunk_size, embedding_model FROM run"
     q["result_arrays"] = f"WITH {RUN} SELECT question, eval_score, chunk_size::VARCHAR AS chunk_size FROM run"
+    q["result_array_ranges"] = q["result_arrays"]
     q["result_partitions"] = f"""WITH {RUN} SELECT chunk_size || ',' || replace(embedding_model, '/', '-') AS settings, count(*) AS n,
   sum(eval_score + CASE WHEN chunk_size = 300 AND embedding_model = 'hub/click' THEN 10 ELSE 0 END)::BIGINT AS total FROM run GROUP BY ALL"""
     q["concatenated_results"] = f"WITH {RUN} SELECT question, chunk_size, embedding_model, nullif(eval_score, 0) AS eval_score FROM run"

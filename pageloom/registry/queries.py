@@ -173,6 +173,20 @@ def result_arrays(spark, sf):
     return back.select("question", "eval_score", F.regexp_extract("settings", "chunk_size=([^/]*)", 1).alias("chunk_size"))
 
 
+@query
+def result_array_ranges(spark, sf):
+    """Result arrays whose files are each read by many tasks, cut wherever a byte range ends."""
+    path = scratch_path(spark, "result-ranges")
+    rows = data.run_results(spark, sf).select("question", "chunk_size", "eval_score")
+    files = 1 + rows.count() // 20_000  # what one file holds is bounded
+    record = F.to_json(F.struct("question", "eval_score"))
+    rows = rows.withColumn("file", F.pmod(F.monotonically_increasing_id(), F.lit(files)))  # copies of a question spread as well
+    arrays = rows.groupBy("chunk_size", "file").agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
+    arrays.drop("file").write.option("maxRecordsPerFile", 1).partitionBy("chunk_size").text(path)
+    back = results.read_large_arrays(spark, path, range_bytes=16 << 10)
+    return back.select("question", "eval_score", F.regexp_extract("settings", "chunk_size=([^/]*)", 1).alias("chunk_size"))
+
+
 @query
 def result_partitions(spark, sf):
     """Write all configurations, rewrite one with higher scores, read all."""
