@@ -98,22 +98,46 @@ def site_text(sentences: DataFrame) -> DataFrame:
     return joined.withColumn("text", tx.clean_text(F.col("text")))
 
 
+def cleaned_site_sentences(reached: DataFrame, pages: DataFrame) -> DataFrame:
+    """Cleaned sentences of each seed's pages: (seed, route, pos, page_url, sentence, n), n being its tokens.
+
+    The rows of :func:`site_sentences` whose sentence is not empty once cleaned, still one for each
+    sentence as it stood in the page. A page is split, cleaned and measured once, before the join, however many seeds
+    reach it; what meets in the shuffle is the digest of the sentence and its cleaned form.
+    """
+    said = F.transform(
+        tx.split_sentences(hx.html_text(F.col("html"))),
+        lambda s: F.struct(F.unhex(F.md5(s)).alias("own"), tx.clean_text(s).alias("sentence")),
+    )
+    parts = F.transform(
+        F.filter(said, lambda s: s["sentence"] != ""),
+        lambda s: F.struct(s["own"].alias("own"), s["sentence"].alias("sentence"), tx.token_count(s["sentence"]).alias("n")),
+    )
+    rows = unnest(reached.join(pages.select("page_url", parts.alias("parts")), "page_url"), ["seed", "route", "page_url"], "parts", "pos", "part")
+    first = F.min(F.struct("route", "pos", "page_url", "part.sentence", "part.n")).alias("first")
+    return rows.groupBy("seed", "part.own").agg(first).select("seed", "first.*")
+
+
 def site_chunks(sentences: DataFrame, chunk_size: int, block_rows: int = chunking.BLOCK_ROWS) -> DataFrame:
     """Chunks of each site's cleaned sentences: (seed, chunk_no, n_sentences, n_tokens, sentences).
 
+    ``sentences`` are those of :func:`cleaned_site_sentences`, or of :func:`site_sentences`, which are cleaned
+    here (once for each site that holds them).
     Sentences stay rows: each is cleaned on its own, what is left is numbered without gaps in visiting
     order, and the sentence table is packed, so chunks run on across pages and chunk numbers are unique.
     A site is never one row, nor one task's group: its sentences are numbered page by page, from
     the exact counts of the pages before, and long sites are packed in blocks.
     """
-    cleaned = sentences.withColumn("sentence", tx.clean_text(F.col("sentence"))).filter(F.col("sentence") != "")
-    cleaned = checkpointed(cleaned)  # counted and read
-    pages = cleaned.groupBy("seed", "route", "page_url").agg(F.count("*").alias("n"))
+    if "n" not in sentences.columns:
+        cleaned = sentences.withColumn("sentence", tx.clean_text(F.col("sentence"))).filter(F.col("sentence") != "")
+        sentences = cleaned.withColumn("n", tx.token_count(F.col("sentence")))
+    cleaned = checkpointed(sentences)  # counted and read
+    pages = cleaned.groupBy("seed", "route", "page_url").agg(F.count("*").alias("n_before"))
     before = Window.partitionBy("seed").orderBy("route", "page_url").rowsBetween(Window.unboundedPreceding, -1)
-    starts = pages.select("seed", "route", "page_url", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = pages.select("seed", "route", "page_url", F.coalesce(F.sum("n_before").over(before), F.lit(0)).alias("start"))
     place = F.row_number().over(Window.partitionBy("seed", "route", "page_url").orderBy("pos"))
     numbered = cleaned.withColumn("place", place).join(starts, ["seed", "route", "page_url"]).select(
-        "seed", (F.col("start") + F.col("place") - 1).alias("ord"), "sentence", tx.token_count(F.col("sentence")).alias("n")
+        "seed", (F.col("start") + F.col("place") - 1).alias("ord"), "sentence", "n"
     )
     packed = chunking.chunk_sentence_rows(numbered, chunk_size, "seed", "ord", "n", block_rows)
     said = F.array_sort(F.collect_list(F.struct("ord", "sentence")))

@@ -183,7 +183,7 @@ def result_array_ranges(spark, sf):
     rows = rows.withColumn("file", F.pmod(F.monotonically_increasing_id(), F.lit(files)))  # copies of a question spread as well
     arrays = rows.groupBy("chunk_size", "file").agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
     arrays.drop("file").write.option("maxRecordsPerFile", 1).partitionBy("chunk_size").text(path)
-    back = results.read_large_arrays(spark, path, range_bytes=16 << 10)
+    back = results.read_large_arrays(spark, path, range_bytes=256 << 10)
     return back.select("question", "eval_score", F.regexp_extract("settings", "chunk_size=([^/]*)", 1).alias("chunk_size"))
 
 
@@ -573,7 +573,7 @@ def site_texts(spark, sf):
 def site_chunks(spark, sf):
     """Every page as a seed: its site chunked from sentence rows, without a text per site."""
     pages, reached = _tree(spark, sf)
-    rows = crawl.site_chunks(crawl.site_sentences(reached, pages), CHUNK_SIZE, block_rows=300)
+    rows = crawl.site_chunks(crawl.cleaned_site_sentences(reached, pages), CHUNK_SIZE, block_rows=300)
     return rows.select("seed", "chunk_no", "n_sentences", "n_tokens", chunking.chunk_text().alias("content"))
 
 

@@ -201,3 +201,20 @@ def test_site_chunks_are_those_of_one_pass(spark):
             assert joined == [" ".join(s.replace(" .", ".").split()) for s in said] or len(joined) == len(said)
             assert all(r["n_tokens"] + 2 <= 20 or r["n_sentences"] == 1 for r in own)
     assert chunking and tx
+
+
+def test_cleaned_site_sentences_are_the_site_sentences_cleaned(spark):
+    from pageloom.functions import text as tx
+    from pageloom.operators import crawl
+
+    html = "<p>Same here [1]. Same here [2]. Only [3].</p><p>[4]</p><p>{} own text. Same here [1].</p>"
+    pages = spark.createDataFrame([(f"p{i}", html.format(i)) for i in range(3)] + [("p3", None), ("p4", "")], "page_url string, html string")
+    reached = spark.createDataFrame([(s, f"p{i}", [i]) for s in ("a", "b") for i in range(5)] + [("c", "p1", [])], "seed string, page_url string, route array<int>")
+    raw = crawl.site_sentences(reached, pages)
+    plain = raw.withColumn("sentence", tx.clean_text(F.col("sentence"))).filter("sentence != ''")
+    columns = ["seed", "route", "page_url", "sentence"]
+    got = crawl.cleaned_site_sentences(reached, pages)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, plain.select(*columns).collect()))
+    assert all(r["n"] == len(r["sentence"].split()) for r in got.collect())
+    chunks = [sorted(map(tuple, crawl.site_chunks(x, 9).collect())) for x in (got, raw)]
+    assert chunks[0] == chunks[1] and chunks[0]
