@@ -375,6 +375,7 @@ SELECT w.page_id AS want_id, w.page_url, p.page_id, length(p.html) AS n_chars FR
     q["joined_conversations"] = "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id"
     q["chunks"] = f"WITH RECURSIVE {DOC_CHUNKS} SELECT doc_id, chunk_no, n_sentences, n_tokens, content FROM chunk"
     q["chunk_numbers"] = f"""WITH RECURSIVE raw AS ({q['sentences']}), {packed(200, 'raw')} SELECT doc_id, pos, n, chunk_no FROM walk"""
+    q["sql_clean_text"], q["sql_chunk_numbers"] = q["clean_text"], q["chunk_numbers"]
     q["chunk_summaries"] = f"WITH RECURSIVE {DOC_CHUNKS}, {summarised(f'(SELECT {POINT_ID} AS id, * FROM chunk)')} SELECT id, summary FROM summed"
     q["pooled_vectors"] = f"""SELECT label, d AS pos, round(total / greatest(weight, 1e-9), 6) + 0 AS value FROM (
   SELECT label, d, sum(x::DOUBLE * mask) AS total, sum(mask) AS weight FROM (

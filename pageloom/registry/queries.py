@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import html as hx
 from pageloom.functions import parsing as px
 from pageloom.functions import prompts
+from pageloom.functions import sql
 from pageloom.functions import text as tx
 from pageloom.functions import urls
 from pageloom.functions import vectors as vx
@@ -285,6 +286,25 @@ def chunk_numbers(spark, sf):
     return chunking.chunk_sentence_rows(counted, CHUNK_SIZE, "doc_id", "pos", "n", block_rows=300)
 
 
+@query
+def sql_clean_text(spark, sf):
+    """Cleaning as a user of SQL asks for it."""
+    sql.register(spark)
+    docs = table(spark, sf, "documents").select("doc_id", data.marked_text().alias("text"))
+    return spark.sql("SELECT doc_id, clean_text(text) AS cleaned FROM {docs}", docs=docs)
+
+
+@query
+def sql_chunk_numbers(spark, sf):
+    """Chunk numbers of the raw sentences by a table function in SQL."""
+    sql.register(spark)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return spark.sql(
+        "SELECT doc_id, p.* FROM (SELECT doc_id, sentence_tokens(text) AS counts FROM {docs}), LATERAL packed_chunks(counts, {size}) p",
+        docs=docs, size=CHUNK_SIZE,
+    )
+
+
 @query
 def chunk_summaries(spark, sf):
     rows = data.document_chunks(spark, sf)
