@@ -8,7 +8,7 @@ that DuckDB's regular expressions lack.
 from __future__ import annotations
 
 from pageloom.functions.prompts import ANSWER_ROLE
-from pageloom.operators.scores import DEFAULT_CHUNK_SIZE, DEFAULT_MODEL
+from pageloom.operators.scores import DEFAULT_CHUNK_SIZE, DEFAULT_MODEL, POISSON_STEPS
 from pageloom.schemas import METADATA_FIELDS
 
 DIM = 64
@@ -456,6 +456,16 @@ SELECT conv_id, turn, {SCORE.replace('completion', 'g.completion')} AS eval_scor
     q["judge_prompts"] = """SELECT conv_id, turn, 'Question: ' || role || chr(10) || 'Response: ' || text || chr(10) || 'Reference answer: none' || chr(10) AS content FROM conversations"""
     q["resumed_run"] = f"""WITH {RUN} SELECT chunk_size, props AS question, coalesce(min(eval_score) FILTER (eval_score > 2), min(eval_score)) AS eval_score FROM run GROUP BY ALL"""
     q["score_report"] = f"""WITH {RUN} SELECT chunk_size || ',' || replace(embedding_model, '/', '-') AS settings_name, round(avg({NORMAL}), 9) AS avg_score FROM run GROUP BY ALL"""
+    draw = "('0x' || substr(sha256('0#' || (r // 8) || '#' || unit), 8 * (r % 8) + 1, 8))::BIGINT"
+    weight = " + ".join(f"({draw} >= {step})::INT" for step in POISSON_STEPS)
+    q["score_intervals"] = f"""WITH {RUN}, graded AS (SELECT 'out/rag_chunk_size:' || chunk_size || '_embeddings:' || replace(embedding_model, '/', '-') || '.json' AS settings,
+    split_part(question, ' ', 2)::BIGINT // 20 AS unit, {NORMAL} AS score FROM run),
+  weight AS MATERIALIZED (SELECT unit, r, {weight} AS w FROM (SELECT DISTINCT unit FROM graded WHERE score IS NOT NULL), range(200) t(r)),
+  mean AS (SELECT settings, r, sum(w * score) / sum(w) AS m FROM graded JOIN weight USING (unit) WHERE score IS NOT NULL AND w > 0 GROUP BY ALL),
+  won AS (SELECT settings, count(*) AS n FROM (SELECT settings, row_number() OVER (PARTITION BY r ORDER BY round(m, 12) DESC, settings) AS place FROM mean) WHERE place = 1 GROUP BY ALL),
+  bound AS (SELECT settings, quantile_cont(m, 0.05) AS low, quantile_cont(m, 0.95) AS high FROM mean GROUP BY ALL)
+SELECT settings, count(score) AS n_scored, round(avg(score), 9) AS avg_score, round(any_value(low), 9) AS low, round(any_value(high), 9) AS high,
+  round(coalesce(any_value(n), 0) / 200, 9) AS win_share FROM graded LEFT JOIN bound USING (settings) LEFT JOIN won USING (settings) GROUP BY ALL"""
     best = f"""SELECT 'data/table' AS dataset, chunk_size, embedding_model AS embedding_model_name, round(avg({NORMAL}), 9) AS best_score
   FROM run GROUP BY chunk_size, embedding_model ORDER BY avg({NORMAL}) DESC NULLS LAST, 'out/rag_chunk_size:' || chunk_size || '_embeddings:' || replace(embedding_model, '/', '-') LIMIT 1"""
     q["best_configuration"] = f"WITH {RUN} {best}"

@@ -814,6 +814,14 @@ def chosen_configuration(spark, sf):
     return report.choose_configuration(rows).unionByName(report.choose_configuration(ungraded))
 
 
+@query
+def score_intervals(spark, sf):
+    """Bounds of every configuration's mean score, and how often it wins, over resampled questions."""
+    asked = F.floor(F.split_part("question", F.lit(" "), F.lit(2)).cast("long") / 20)  # twenty events grade one question
+    made = scores.score_intervals(_scored(spark, sf).withColumn("question", asked))
+    return made.select("settings", "n_scored", *[F.round(c, 9).alias(c) for c in ("avg_score", "low", "high", "win_share")])
+
+
 # --- index --------------------------------------------------------------------------------------
 
 

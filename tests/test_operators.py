@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures."""
 
 import collections
+import hashlib
 import math
 import os
 import random
@@ -437,6 +438,47 @@ def test_no_configuration_gives_the_default(spark):
         assert tuple(chosen) == (250, "sentence-transformers/all-MiniLM-L6-v2", True)
 
 
+def test_score_intervals(spark):
+    rng = random.Random(5)
+    rows = [(f"s{k}", f"q{i}", rng.choice([None, 0, 1, 2, 3, 4, 5])) for k in range(3) for i in range(30) for _ in range(rng.randint(0, 2))]
+    rows += [("s0", None, 4), ("none", "q1", 0), ("none", "q2", None)]
+    n = 37
+
+    def weight(unit, r):
+        draw = int(hashlib.sha256(f"7#{r // 8}#{unit or ''}".encode()).hexdigest()[r % 8 * 8:][:8], 16)
+        total, term, k = 0.0, math.exp(-1), 0  # the Poisson(1) quantile of the draw
+        while draw / 16**8 >= (total := total + term):
+            k += 1
+            term /= k
+        return k
+
+    means, wins = {}, collections.Counter()
+    for r in range(n):
+        for name in ("s0", "s1", "s2"):
+            scored = [(weight(u, r), (s - 1) / 4) for k, u, s in rows if k == name and s and u is not None]
+            scored += [(weight(None, r), (s - 1) / 4) for k, u, s in rows if k == name and s and u is None]
+            means.setdefault(name, []).append(sum(w * s for w, s in scored) / sum(w for w, _ in scored))
+        wins[max(means, key=lambda k: (means[k][r], [-ord(c) for c in k]))] += 1
+    frame = spark.createDataFrame(rows, "settings string, question string, eval_score int").withColumns({"weight": F.lit("clash"), "replicate": F.lit(1)})
+    done = {r["settings"]: r for r in scores.score_intervals(frame, n_replicates=n, seed=7, level=0.8).collect()}
+    assert set(done) == {"s0", "s1", "s2", "none"}
+    assert (done["none"]["n_scored"], done["none"]["low"], done["none"]["win_share"]) == (0, None, 0.0)
+    for k, m in means.items():
+        assert np.allclose([done[k]["low"], done[k]["high"]], np.quantile(m, [0.1, 0.9]))
+        assert done[k]["win_share"] == wins[k] / n and done[k]["low"] <= done[k]["avg_score"] <= done[k]["high"]
+    again = {r["settings"]: r for r in scores.score_intervals(frame.repartition(3, "question"), n_replicates=n, seed=7, level=0.8).collect()}
+    assert again == done
+    assert scores.score_intervals(frame.limit(0)).count() == 0
+
+
+def test_poisson_steps():
+    total, term = 0.0, math.exp(-1)
+    for k, step in enumerate(scores.POISSON_STEPS):
+        total += term
+        term /= k + 1
+        assert step == math.ceil(total * 16**8)
+
+
 def test_retrieval_quality(spark):
     rows = [("c", "x", ["x", "y"]), ("c", "y", ["x", "y"]), ("c", "z", ["x", "y"]), ("c", "w", None)]
     frame = spark.createDataFrame(rows, "config string, qa_context string, retrieved_texts array<string>")
