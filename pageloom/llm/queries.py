@@ -117,11 +117,10 @@ def op8_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(text, F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
     texts = docs.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
-    printed = syncmers.with_fingerprints(texts, {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"})
+    near = {"near_edited": ("text", "edited"), "near_next": ("text", "next_text")}
+    printed = syncmers.with_fingerprints(texts, {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": ""}, near)
     return printed.select(
-        "doc_id", "n_chars", digest(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        syncmers.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        syncmers.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "doc_id", "n_chars", digest(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
     )
 
 

@@ -1,32 +1,40 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer of code points is an anchor if its least inner s-mer, by hash, is its first or its last one. That
-depends on the k-mer alone, so the same passage gives the same anchors in any context, and their
-positions can be matched. A document's fingerprint is the bottom sketch of its anchors: the least
-``SKETCH`` distinct anchor hashes, in hexadecimal. The likeness of two fingerprints is the share of the
-least hashes of both together that both have, an estimate of the Jaccard likeness of their anchors.
-
-Cases: a NULL or empty text has no anchors and an empty fingerprint; a text shorter than a k-mer is one
-anchor; two empty fingerprints are alike (1.0), an empty one is unlike any other (0.0); equal texts have
-equal fingerprints; an empty table gives no rows. Other columns pass through, and columns this module
-adds replace theirs.
+depends on the k-mer alone, so the same passage gives the same anchors in any context, and one stands at
+least every ``K - S`` positions. A document's fingerprint keeps every anchor in order of position: three
+bytes each, four bits for the distance from the anchor before and twenty of its hash, in base64.
+
+Likeness matches positions. A link is an anchor with the distance to, and the hash of, the one before it,
+44 bits in all. The n-th occurrence of a link in one fingerprint meets the n-th in the other, and of these
+meetings the longest chain that goes forward in both is kept. With a and b links and c in the chain the
+likeness is c / (a + b - c): moved passages, repeated ones and added text all lower it.
+
+Cases: a NULL or empty text has an empty fingerprint; a text without an anchor (shorter than a k-mer, or
+little longer) has two units of a digest of the whole text in their place; two empty fingerprints are alike (1.0), an empty
+one is unlike any other (0.0); equal texts have equal fingerprints; an empty table gives no rows. Other columns
+pass through, and columns this module adds replace theirs.
 """
 
 from __future__ import annotations
 
+import base64
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions.binding import let
 from pageloom.llm import batches as bt
 from pageloom.llm.keys import SIGN, rank_among
 
-K, S, SKETCH = 16, 8, 64
-_DIGITS = 8
+K, S = 16, 8
+# A unit of a fingerprint: four bits of distance, the rest of hash. The mark stands before a digest of a whole text.
+_UNIT_BYTES, _HASH_BITS, _WHOLE = 3, 20, 15
 # Code points handled at once.
 _CHUNK = 1 << 19
 # An odd multiplier without short patterns in its bits.
@@ -110,9 +118,60 @@ def anchors(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield from flush()
 
 
-def sketch(hashes: np.ndarray) -> str:
-    """The least distinct hashes, cut to 32 bits, in order."""
-    return np.unique(hashes >> np.uint64(32)).astype(">u4")[:SKETCH].tobytes().hex()
+def fingerprint(text: str | None, at: np.ndarray, hashes: np.ndarray) -> str:
+    """The fingerprint of a text from its anchors."""
+    if not text:
+        return ""
+    if len(text) < K or not len(at):
+        whole = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+        at, hashes = np.full(2, _WHOLE), np.array([whole, whole << _HASH_BITS & (1 << 64) - 1], np.uint64)
+    units = np.diff(at, prepend=0).astype(np.uint32) << np.uint32(_HASH_BITS) | (hashes >> np.uint64(64 - _HASH_BITS)).astype(np.uint32)
+    return base64.b64encode(units.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - _UNIT_BYTES :].tobytes()).decode()
+
+
+def links(print_: str) -> np.ndarray:
+    """The links of a fingerprint: its units with the hash of the unit before (zero for the first)."""
+    units = np.frombuffer(base64.b64decode(print_), np.uint8).reshape(-1, _UNIT_BYTES).astype(np.int64) @ (1 << np.arange(8 * _UNIT_BYTES - 8, -1, -8))
+    before = np.concatenate([np.zeros(1, np.int64), units[:-1] & (1 << _HASH_BITS) - 1])[: len(units)]
+    return units << _HASH_BITS | before
+
+
+def _occurrences(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted values, the how-manieth of its kind each is, where it stood)."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]]))
+    return ordered, np.arange(len(ordered)) - np.repeat(starts, np.diff(starts, append=len(ordered))), order
+
+
+def _longest_chain(places: np.ndarray) -> int:
+    """Length of the longest increasing subsequence of distinct numbers, in n log n; rising slices are taken whole."""
+    ends, step = array("q"), 1 << 12
+    for b in range(0, len(places), step):
+        piece = places[b : b + step]
+        if (not ends or piece[0] > ends[-1]) and (piece[1:] > piece[:-1]).all():
+            ends.frombytes(piece.astype(np.int64).tobytes())
+            continue
+        for p in piece.tolist():
+            if not ends or p > ends[-1]:
+                ends.append(p)
+            else:
+                ends[bisect_left(ends, p)] = p
+    return len(ends)
+
+
+def matched(a: np.ndarray, b: np.ndarray) -> float:
+    """The likeness of two lists of links."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    (a_values, a_nth, a_at), (b_values, b_nth, b_at) = _occurrences(a), _occurrences(b)
+    meets = np.searchsorted(b_values, a_values) + a_nth
+    same = meets < len(b)
+    same[same] = b_values[meets[same]] == a_values[same]
+    partner = np.full(len(a), -1, np.int64)
+    partner[a_at[same]] = b_at[meets[same]]
+    chain = _longest_chain(partner[partner >= 0])
+    return chain / (len(a) + len(b) - chain)
 
 
 def with_anchors(docs: DataFrame, text: str = "text", into: str = "anchors") -> DataFrame:
@@ -125,36 +184,42 @@ def with_anchors(docs: DataFrame, text: str = "text", into: str = "anchors") ->
     return bt.add_columns(docs, text, {into: "array<struct<position:int,hash:bigint>>"}, work, rows=64)
 
 
-def with_fingerprints(docs: DataFrame, of: dict[str, str]) -> DataFrame:
-    """``docs`` with a fingerprint for each text column: ``of`` maps the column to the new name.
+def with_fingerprints(docs: DataFrame, of: dict[str, str], near: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """``docs`` with a fingerprint for each text column, and likenesses of such fingerprints.
 
-    A text that stands in several columns or rows of a batch is hashed once.
+    ``of`` maps a text column to the new column; ``near`` maps a new column to the two text columns whose fingerprints
+    it compares. A column mapped to an empty name is compared only. A text that stands in several columns or rows of a
+    batch is hashed once.
     """
-    kept = [c for c in docs.columns if c not in of.values()]
-    places = [kept.index(c) for c in of]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema] + [f"`{n}` string" for n in of.values()])
+    near = near or {}
+    shown = {c: n for c, n in of.items() if n}
+    added = [*shown.values(), *near]
+    kept = [c for c in docs.columns if c not in added]
+    places = {c: kept.index(c) for c in of}
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
+    schema = ", ".join([*fields, *[f"`{n}` string" for n in shown.values()], *[f"`{n}` double" for n in near]])
 
     def run(batches):
-        for batch in bt.by_rows(batches, 256):
-            columns = [batch.column(p).to_pylist() for p in places]
-            distinct = list(dict.fromkeys(t for c in columns for t in c))
-            prints = dict(zip(distinct, (sketch(h) for _, h in anchors(distinct))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([prints[t] for t in c], pa.string()) for c in columns)], names=[*kept, *of.values()])
+        for batch in bt.by_rows(batches, 64):
+            columns = {c: batch.column(p).to_pylist() for c, p in places.items()}
+            distinct = list(dict.fromkeys(t for c in columns.values() for t in c))
+            prints = dict(zip(distinct, (fingerprint(t, *found) for t, found in zip(distinct, anchors(distinct)))))
+            alike = [[1.0 if prints[x] == prints[y] else matched(links(prints[x]), links(prints[y])) for x, y in zip(columns[a], columns[b])] for a, b in near.values()]
+            made = [pa.array([prints[t] for t in columns[c]], pa.string()) for c in shown]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made, *(pa.array(x, pa.float64()) for x in alike)], names=[*kept, *added])
 
     return bt.bounded(docs.select(*kept)).mapInArrow(run, schema)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1, from two fingerprints."""
-    def hashes(x: Column) -> Column:
-        return F.regexp_extract_all(x, F.lit("[0-9a-f]{%d}" % _DIGITS), F.lit(0))
+    """0 to 1, from two stored fingerprints; a NULL one counts as empty."""
 
-    def judged(x: Column) -> Column:
-        least = F.slice(F.array_sort(F.array_union(x["a"], x["b"])), 1, SKETCH)
-        both = F.array_intersect(x["a"], x["b"])
-        return let(least, lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(u, both)) / F.size(u)))
+    @F.arrow_udf("double")
+    def compared(x: pa.Array, y: pa.Array) -> pa.Array:
+        pairs = zip(x.to_pylist(), y.to_pylist())
+        return pa.array([1.0 if p == q else matched(links(p), links(q)) for p, q in pairs], pa.float64())
 
-    return F.when(a == b, F.lit(1.0)).otherwise(let(F.struct(hashes(a).alias("a"), hashes(b).alias("b")), judged))
+    return compared(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
 
 
 def with_next_text(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", part_bytes: int = 24 << 20) -> DataFrame:

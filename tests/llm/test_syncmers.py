@@ -58,10 +58,86 @@ def test_anchors_are_context_free():
     assert len(own) > 50
 
 
-def like(a, b):
-    a, b = ({x[i : i + 8] for i in range(0, len(x), 8)} for x in (a, b))
-    least = sorted(a | b)[: syncmers.SKETCH]
-    return sum(h in a and h in b for h in least) / len(least) if least else 1.0
+def prints(texts):
+    return [syncmers.fingerprint(t, *found) for t, found in zip(texts, syncmers.anchors(texts))]
+
+
+def plain_links(text):
+    """(distance, hash, hash before) of every anchor of the definition."""
+    found = brute([ord(c) for c in text])
+    cut = [(p - q, h >> 44) for (p, h), (q, _) in zip(found, [(0, 0), *found])]
+    return [(d, h, before) for (d, h), (_, before) in zip(cut, [(0, 0), *cut])]
+
+
+def plain_like(a, b):
+    """The chain by quadratic dynamic programming over the n-th occurrences."""
+    def numbered(text):
+        seen, out = {}, []
+        for x in plain_links(text):
+            seen[x] = seen.get(x, 0) + 1
+            out.append((x, seen[x]))
+        return out
+
+    one, other = numbered(a), {x: i for i, x in enumerate(numbered(b))}
+    places, best = [other[x] for x in one if x in other], []
+    for i, p in enumerate(places):
+        best.append(1 + max((n for n, q in zip(best, places) if q < p), default=0))
+    chain = max(best, default=0)
+    return chain / (len(one) + len(other) - chain)
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh é😀"])
+def test_likeness_equals_the_plain_chain(alphabet):
+    rng = random.Random(alphabet + "x")
+    word = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    for _ in range(12):
+        a, b, c = word(90), word(70), word(60)
+        for x, y in ((a + b + c, c + a + b), (a + b, a + a + b), (a + b, b), (a + b, a + c), (a + b + a + b, b + a), (a + c + b, a + b[:40] + c)):
+            p, q = prints([x, y])
+            assert syncmers.matched(syncmers.links(p), syncmers.links(q)) == pytest.approx(plain_like(x, y))
+            assert syncmers.links(p).tolist() == [(d << 20 | h) << 20 | before for d, h, before in plain_links(x)]
+
+
+@pytest.mark.parametrize("alphabet", ["a", "ab", "abc", "abcdefgh é😀"])
+def test_distances_fit(alphabet):
+    rng = random.Random(alphabet)
+    for at, _ in syncmers.anchors(["".join(rng.choice(alphabet) for _ in range(3000)) for _ in range(5)]):
+        assert np.diff(at, prepend=0).max() <= K - S and len(at) >= 300
+
+
+def test_order_repetition_and_shared_passages_show():
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    a, b, passage, long_one, long_other = word(3000), word(3000), word(200), word(40000), word(40000)
+    like = lambda x, y: syncmers.matched(*map(syncmers.links, prints([x, y])))
+    assert 0.3 < like(a + b, b + a) < 0.36 and 0.48 < like(a, a + a) < 0.52
+    assert like(long_one, long_other) == 0 < like(long_one + passage, passage + long_other)
+    assert like(a, a) == 1 and like(a, b) == 0
+    assert like(a * 300, a * 300 + b) > 0.99  # 900,000 code points, every link 300 times
+
+
+def test_longest_chain():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 9000):
+        for p in (rng.permutation(n), np.arange(n), np.arange(n)[::-1], np.roll(np.arange(n), n // 3)):
+            ends = []
+            for x in p.tolist():
+                i = int(np.searchsorted(ends, x))
+                ends[i : i + 1] = [x]
+            assert syncmers._longest_chain(p) == len(ends)
+
+
+def test_short_and_empty_texts(spark, documents):
+    texts = ["", "a", "b", "short", "x" * K, "y" * (K + 3), None]
+    found = prints(texts)
+    assert found[0] == found[-1] == "" and len(set(found[:-1])) == len(texts) - 1
+    rows = documents([(i, t) for i, t in enumerate(texts)] + [(1, "a")], "fingerprint", "near")
+    got = syncmers.with_fingerprints(rows, {"text": "fingerprint"}, {"near": ("text", "text")})
+    assert sorted((r["doc_id"], r["fingerprint"], r["near"]) for r in got.collect()) == sorted([*((i, p, 1.0) for i, p in enumerate(found)), (1, found[1], 1.0)])
+    pairs = got.alias("a").join(got.alias("b"), F.col("a.doc_id") < F.col("b.doc_id")).select(
+        F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), syncmers.likeness(F.col("a.fingerprint"), F.col("b.fingerprint")).alias("like"))
+    assert all(r["like"] == ((r["a"], r["b"]) == (0, 6)) for r in pairs.collect())
+    assert syncmers.with_fingerprints(documents([]), {"text": "fingerprint"}, {"near": ("text", "text")}).count() == 0
 
 
 ROWS = [(5, "first text, " * 20), (3, None), (9, ""), (3, "short"), (3, "short"), (None, "no id é😀" * 9), (7, "x" * 3000)]
@@ -90,12 +166,12 @@ def test_query(spark, sf):
     ids = sorted(texts, reverse=True)
     rows = {r["doc_id"]: r for r in queries.op8_closed_syncmers(spark, sf).collect()}
     assert set(rows) == set(ids)
-    prints = {t: syncmers.sketch(h) for t, (_, h) in zip(texts.values(), syncmers.anchors(list(texts.values())))}
+    own = dict(zip(texts.values(), prints(list(texts.values()))))
     for i, after in zip(ids, ids[1:] + ids[:1]):
         t, m, r = texts[i], len(texts[i]) // 3, rows[i]
         edited = t[: len(t) - m] + texts[after][:m]
-        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), prints[t])
-        assert r["edited_fingerprint"] == syncmers.sketch(next(syncmers.anchors([edited]))[1])
-        assert np.isclose(r["near_edited"], like(r["fingerprint"], r["edited_fingerprint"]))
-        assert np.isclose(r["near_next"], like(r["fingerprint"], prints[texts[after]]))
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), own[t])
+        assert r["edited_fingerprint"] == prints([edited])[0]
+        like = lambda x: 1.0 if own[t] == x else syncmers.matched(*map(syncmers.links, (own[t], x)))
+        assert (r["near_edited"], r["near_next"]) == (like(r["edited_fingerprint"]), like(own[texts[after]]))
     assert np.mean([r["near_edited"] for r in rows.values()]) > np.mean([r["near_next"] for r in rows.values()]) + 0.3
