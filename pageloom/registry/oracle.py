@@ -456,6 +456,12 @@ SELECT conv_id, turn, {SCORE.replace('completion', 'g.completion')} AS eval_scor
     q["judge_prompts"] = """SELECT conv_id, turn, 'Question: ' || role || chr(10) || 'Response: ' || text || chr(10) || 'Reference answer: none' || chr(10) AS content FROM conversations"""
     q["resumed_run"] = f"""WITH {RUN} SELECT chunk_size, props AS question, coalesce(min(eval_score) FILTER (eval_score > 2), min(eval_score)) AS eval_score FROM run GROUP BY ALL"""
     q["score_report"] = f"""WITH {RUN} SELECT chunk_size || ',' || replace(embedding_model, '/', '-') AS settings_name, round(avg({NORMAL}), 9) AS avg_score FROM run GROUP BY ALL"""
+    q["term_pairs"] = f"""WITH RECURSIVE {DOC_CHUNKS},
+  term AS MATERIALIZED (SELECT id, unnest(w) AS term, generate_subscripts(w, 1) AS ord FROM (SELECT {POINT_ID} AS id, {words('content')} AS w FROM chunk)),
+  known AS (SELECT term FROM term GROUP BY term HAVING count(*) >= 3)
+SELECT least(a.term, b.term) AS first, greatest(a.term, b.term) AS second, count(*) AS n FROM term a JOIN term b ON a.id = b.id AND b.ord - a.ord BETWEEN 1 AND 4
+  WHERE a.term IN (SELECT term FROM known) AND b.term IN (SELECT term FROM known) GROUP BY ALL"""
+    q["learned_retrieval"] = f"WITH RECURSIVE {DOC_CHUNKS} SELECT count(*) AS n_questions, true AS finds_more FROM chunk WHERE chunk_no = 0"
     draw = "('0x' || substr(sha256('0#' || (r // 8) || '#' || unit), 8 * (r % 8) + 1, 8))::BIGINT"
     weight = " + ".join(f"({draw} >= {step})::INT" for step in POISSON_STEPS)
     q["score_intervals"] = f"""WITH {RUN}, graded AS (SELECT 'out/rag_chunk_size:' || chunk_size || '_embeddings:' || replace(embedding_model, '/', '-') || '.json' AS settings,

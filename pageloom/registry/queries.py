@@ -14,7 +14,7 @@ from pageloom.functions import sql
 from pageloom.functions import text as tx
 from pageloom.functions import urls
 from pageloom.functions import vectors as vx
-from pageloom.operators import cells, chunking, crawl, embedding, knn, quantised, sampling, scores, summarize
+from pageloom.operators import cells, chunking, crawl, embedding, knn, learned, quantised, sampling, scores, summarize
 from pageloom.operators import sentences as st
 from pageloom.operators.collections import Collection, flat_payload, metadata_struct, packed_id, with_dense_ids
 from pageloom.operators.lookup import KeyedTable
@@ -814,6 +814,34 @@ def chosen_configuration(spark, sf):
     return report.choose_configuration(rows).unionByName(report.choose_configuration(ungraded))
 
 
+@query
+def term_pairs(spark, sf):
+    """How often terms stand close to each other, over all chunks."""
+    chunks = data.document_chunks(spark, sf).select(chunking.chunk_text().alias("text"))
+    path = scratch_path(spark, "pair-chunks")
+    tables.write_table(chunks, path)
+    stored = tables.read_table(spark, path)
+    return learned.pair_counts(stored, learned.vocabulary(stored))
+
+
+@query
+def learned_retrieval(spark, sf):
+    """Each document's first chunk, asked for by its last sentence: vectors learned from the chunks beat hashed ones."""
+    path = scratch_path(spark, "asked-chunks")
+    last = F.element_at("sentences", -1)
+    tables.write_table(data.document_chunks(spark, sf).select("id", "chunk_no", chunking.chunk_text().alias("text"), last.alias("question")), path)
+    chunks = tables.read_table(spark, path)
+    models = [index.hashed_model("hashed", DIM), index.loaded_model("learned", DIM, learned.loader(chunks, learned.learn(chunks, dim=DIM)))]
+    quality = []
+    for m in models:
+        asked = chunks.filter("chunk_no = 0").select(F.col("id").alias("qid"), m.embed_query(F.col("question")).alias("vector"))
+        hits = knn.nearest(asked, chunks.select("id", m.embed(F.col("text")).alias("vector")), DIM)
+        place = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id")))["id"].alias("retrieved"))
+        quality.append(scores.retrieval_quality(place, [], "qid", "retrieved").select("n_questions", F.col("mrr").alias(m.name)))
+    both = quality[0].join(quality[1], "n_questions")
+    return both.select("n_questions", (F.col("learned") > F.col("hashed")).alias("finds_more"))
+
+
 @query
 def score_intervals(spark, sf):
     """Bounds of every configuration's mean score, and how often it wins, over resampled questions."""
