@@ -95,7 +95,7 @@ def product(entries: DataFrame, tall: np.ndarray) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([v.tobytes() for v in found.values()], pa.binary())], names=["i", "row"])
 
     out = np.zeros((n, width))
-    for r in entries.mapInArrow(run, "i int, row binary").toLocalIterator():  # at most a row per term
+    for r in entries.mapInArrow(run, "i int, row binary").collect():  # at most a row per term
         out[r["i"]] = np.frombuffer(bytes(r["row"]))
     shared.unpersist()
     return out
