@@ -15,6 +15,7 @@ from pageloom.functions import urls
 from pageloom.operators import cells, chunking, crawl, embedding, knn, sampling, scores, summarize
 from pageloom.operators import sentences as st
 from pageloom.operators.collections import Collection, packed_id, with_dense_ids
+from pageloom.operators.lookup import KeyedTable
 from pageloom.registry import queries as registered
 from pageloom.sources import results, tables
 
@@ -541,3 +542,37 @@ def test_copies_of_a_page_are_one(spark):
     rows = [(1, "https://s.org/a", "one"), (1, "http://www.s.org/a/", "one"), (1, "https://s.org/a", "other"), (2, "https://s.org/a", "two"), (3, "https://s.org/b", "b"), (3, "https://s.org/b", "b")]
     got = keyed_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted((r["page_url"], r["page_id"]) for r in got) == [("https://s.org/a", 1), ("https://s.org/b", 3)]
+
+
+def test_topk_equals_double_precision():
+    """Copies, ties, vectors without direction and near ties, in several batches, as a plain search in double precision ranks them."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(700, 16))
+    base[::50] = 0
+    near = np.concatenate([base, np.repeat(base[:40], 60, axis=0), base[:300] * 3 + rng.normal(size=(300, 16)) * 1e-8, np.ones((2500, 16))])
+    ids, queries = rng.permutation(len(near)), near[rng.permutation(len(near))[:1100]]
+    best = knn.TopK(np.arange(len(queries)), queries, 10)
+    for part in np.array_split(np.arange(len(near)), 3):
+        best.add(ids[part], near[part])
+    found = best.hits(None).to_pydict()
+    got = collections.defaultdict(list)
+    for q, i, s in zip(found["qid"], found["id"], found["score"]):
+        got[q].append((-2.0 if s is None else s, i))
+    a, none = knn.unit_rows(queries)
+    b, zero = knn.unit_rows(near)
+    scores = np.round(a @ b.T, 9) + 0.0
+    scores[:, zero], scores[none] = -2, -2
+    for q in range(len(queries)):
+        order = np.lexsort((ids, -scores[q]))[:10]
+        listed = sorted(got[q], key=lambda r: (-r[0], r[1]))
+        assert [i for _, i in listed] == ids[order].tolist() and np.allclose([s for s, _ in listed], scores[q, order], atol=2e-9)
+
+
+def test_blocks_follow_the_counts(spark, monkeypatch):
+    """A part of two thousand on either side is more than one pair of blocks, and what makes either side runs once in the search."""
+    monkeypatch.setattr(knn, "MIN_BLOCK_ROWS", 100)
+    rows = frame_of(spark, np.random.default_rng(0).random((2000, 4)), "id")
+    label = F.lit(None).cast("string").alias("part")
+    queries = rows.select(label, F.col("id").alias("qid"), "vector")
+    found = knn._blocks(queries, rows.select(label, "id", "vector"), 3, knn.block_rows(4))
+    assert found.count() == 2000 * 3 * math.ceil(2000 / math.ceil(2000 / 16))
