@@ -576,3 +576,16 @@ def test_blocks_follow_the_counts(spark, monkeypatch):
     queries = rows.select(label, F.col("id").alias("qid"), "vector")
     found = knn._blocks(queries, rows.select(label, "id", "vector"), 3, knn.block_rows(4))
     assert found.count() == 2000 * 3 * math.ceil(2000 / math.ceil(2000 / 16))
+
+
+def test_attach_searches_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    hits = spark.range(20).select("id", F.col("id").alias("qid")).coalesce(1).mapInArrow(note, "id bigint, qid bigint")
+    stored = KeyedTable(spark, str(tmp_path / "t")).write(spark.range(10).withColumn("text", F.lit("x")))
+    assert stored.attach(hits, ["text"], max_listed=0, max_broadcast=0).count() == 10 and seen.value == 20
