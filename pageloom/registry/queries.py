@@ -14,6 +14,7 @@ from pageloom.functions import sql
 from pageloom.functions import text as tx
 from pageloom.functions import urls
 from pageloom.functions import vectors as vx
+from pageloom.functions.binding import let
 from pageloom.operators import cells, chunking, crawl, embedding, knn, learned, quantised, sampling, scores, summarize
 from pageloom.operators import sentences as st
 from pageloom.operators.collections import Collection, flat_payload, metadata_struct, packed_id, with_dense_ids
@@ -55,14 +56,19 @@ def clean_text(spark, sf):
 @query
 def cleaning_steps(spark, sf):
     """The text after each rule in turn."""
-    text, stages = data.marked_text(), []
-    for step in range(len(tx.CLEANING_RULES)):
-        text = tx.cleaning_step(text, step)
-        stages.append(F.struct(F.lit(step).alias("step"), F.md5(text.cast("binary")).alias("digest")))
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(F.array(*stages)).alias("s"))
+    # never empty; the outer form, since the inner one computes the array twice
+    rows = table(spark, sf, "documents").select("doc_id", F.explode_outer(_step_digests(data.marked_text())).alias("s"))
     return rows.select("doc_id", "s.step", "s.digest")
 
 
+def _step_digests(text: Column, step: int = 0) -> Column:
+    """(step, digest) of the text after each rule; each rule is applied once, to the text that the one before left."""
+    if step == len(tx.CLEANING_RULES):
+        return F.array().cast("array<struct<step: int, digest: string>>")
+    own = lambda t: F.array(F.struct(F.lit(step).alias("step"), F.md5(t.cast("binary")).alias("digest")))
+    return let(tx.cleaning_step(text, step), lambda t: F.concat(own(t), _step_digests(t, step + 1)))
+
+
 @query
 def sentences(spark, sf):
     rows = table(spark, sf, "documents")

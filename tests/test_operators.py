@@ -589,3 +589,10 @@ def test_attach_searches_once(spark, tmp_path):
     hits = spark.range(20).select("id", F.col("id").alias("qid")).coalesce(1).mapInArrow(note, "id bigint, qid bigint")
     stored = KeyedTable(spark, str(tmp_path / "t")).write(spark.range(10).withColumn("text", F.lit("x")))
     assert stored.attach(hits, ["text"], max_listed=0, max_broadcast=0).count() == 10 and seen.value == 20
+
+
+def test_cleaning_steps_apply_each_rule_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a 2.5 mg b"), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    steps = registered.cleaning_steps(spark, str(tmp_path))
+    assert steps._jdf.queryExecution().optimizedPlan().toString().count(r"\s*mg\b") == 1
+    assert steps.filter("digest IS NULL").count() == steps.count() / 2 == len(registered.tx.CLEANING_RULES)
