@@ -596,3 +596,12 @@ def test_cleaning_steps_apply_each_rule_once(spark, tmp_path):
     steps = registered.cleaning_steps(spark, str(tmp_path))
     assert steps._jdf.queryExecution().optimizedPlan().toString().count(r"\s*mg\b") == 1
     assert steps.filter("digest IS NULL").count() == steps.count() / 2 == len(registered.tx.CLEANING_RULES)
+
+
+def test_evaluation_stores_no_metadata(spark, tmp_path):
+    """Chunks and points name their rows of the dataset; an abstract is not stored with every chunk."""
+    rows = [(i % 3, "lang", "source", " ".join(f"Sentence {i} {j} says some words." for j in range(200)), 9) for i in range(6)]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    _, points, _, dataset = registered._grid(spark, str(tmp_path))
+    assert points.schema["payload"].dataType.names == ["Wiki_content", "row"]
+    assert dataset.count() == 6 and points.select("payload.row").distinct().count() == 6
