@@ -29,6 +29,8 @@ def pooled_vectors(tokens: DataFrame, keys: list[str], vec: str, mask: str, dim:
 
 # digits of a term's MD5 that place it: eight for the bucket, one for the sign
 _DIGITS = 9
+# terms weighed at a time
+POOLED_TERMS = 1 << 17
 _HEX = np.zeros(256, dtype=np.int64)
 _HEX[np.frombuffer(b"0123456789abcdef", dtype=np.uint8)] = np.arange(16)
 
@@ -39,6 +41,30 @@ def term_digests(terms: Column) -> Column:
     return F.coalesce(F.array_join(digits, ""), F.lit(""))
 
 
+def _pooled(text: np.ndarray, sizes: np.ndarray, dim: int) -> np.ndarray:
+    """Means of rows of ``sizes`` terms, whose digits follow each other."""
+    digits = _HEX[text].reshape(-1, _DIGITS)
+    bucket = digits[:, :8] @ (16 ** np.arange(7, -1, -1)) % dim
+    sign = np.where(digits[:, 8] < 8, 1.0, -1.0)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    sums = np.bincount(rows * dim + bucket, weights=sign, minlength=len(sizes) * dim)
+    return sums.reshape(len(sizes), dim) / np.maximum(sizes, 1)[:, None]
+
+
+def _pooled_batch(batch: pa.Array, dim: int) -> pa.Array:
+    """Vectors of a batch; rows of a bounded number of terms, and one row at least, are weighed at a time."""
+    _, ends, text = batch.buffers()
+    ends = np.frombuffer(ends, dtype=np.int32)[batch.offset:batch.offset + len(batch) + 1].astype(np.int64)
+    text = np.frombuffer(text, dtype=np.uint8) if text else np.empty(0, dtype=np.uint8)
+    means, at = np.empty((len(batch), dim), dtype=np.float32), 0
+    while at < len(batch):
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + POOLED_TERMS * _DIGITS, side="right")) - 1)
+        means[at:upto] = _pooled(text[ends[at]:ends[upto]], np.diff(ends[at:upto + 1]) // _DIGITS, dim)
+        at = upto
+    offsets = pa.array(np.arange(len(batch) + 1) * dim, type=pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(means.ravel(), type=pa.float32()))
+
+
 def pool_digests(digests: Column, dim: int) -> Column:
     """Mean over the terms of the signed unit vectors their digests stand for; zeros for no terms.
 
@@ -47,18 +73,7 @@ def pool_digests(digests: Column, dim: int) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def pool(batch: pa.Array) -> pa.Array:
-        _, ends, text = batch.buffers()
-        ends = np.frombuffer(ends, dtype=np.int32)[batch.offset:batch.offset + len(batch) + 1]
-        text = np.frombuffer(text, dtype=np.uint8)[ends[0]:ends[-1]] if text else np.empty(0, dtype=np.uint8)
-        digits = _HEX[text].reshape(-1, _DIGITS)
-        bucket = digits[:, :8] @ (16 ** np.arange(7, -1, -1)) % dim
-        sign = np.where(digits[:, 8] < 8, 1.0, -1.0)
-        sizes = np.diff(ends) // _DIGITS
-        rows = np.repeat(np.arange(len(sizes)), sizes)
-        sums = np.bincount(rows * dim + bucket, weights=sign, minlength=len(sizes) * dim)
-        means = sums.reshape(len(sizes), dim) / np.maximum(sizes, 1)[:, None]
-        offsets = pa.array(np.arange(len(sizes) + 1) * dim, type=pa.int32())
-        return pa.ListArray.from_arrays(offsets, pa.array(means.ravel(), type=pa.float32()))
+        return _pooled_batch(batch, dim)
 
     return pool(digests)
 

@@ -7,6 +7,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -605,3 +606,14 @@ def test_evaluation_stores_no_metadata(spark, tmp_path):
     _, points, _, dataset = registered._grid(spark, str(tmp_path))
     assert points.schema["payload"].dataType.names == ["Wiki_content", "row"]
     assert dataset.count() == 6 and points.select("payload.row").distinct().count() == 6
+
+
+def test_pooling_is_bounded(monkeypatch):
+    digests = ["0123456789abcdef01"[:9 * (i % 3)] for i in range(10)] + ["89abcdef0" * 40, "", "00000001f"]
+    batch = pa.array(digests).slice(1)
+    whole = embedding._pooled_batch(batch, 8).to_pylist()
+    seen, pooled = [], embedding._pooled
+    monkeypatch.setattr(embedding, "POOLED_TERMS", 4)
+    monkeypatch.setattr(embedding, "_pooled", lambda text, sizes, dim: seen.append(sizes.tolist()) or pooled(text, sizes, dim))
+    assert embedding._pooled_batch(batch, 8).to_pylist() == whole and len(whole) == 12
+    assert all(sum(sizes) <= 4 or len(sizes) == 1 for sizes in seen) and sum(map(len, seen)) == 12
