@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -905,6 +906,14 @@ def production_run(spark, sf):
 # --- streaming ----------------------------------------------------------------------------------
 
 
+ROWS_PER_FILE = 100_000
+
+
+def _files_per_batch(df: DataFrame, batches: int) -> int:
+    """Files of bounded size that make up each of some batches."""
+    return max(1, math.ceil(df.count() / (batches * ROWS_PER_FILE)))
+
+
 def _as_files(spark, df: DataFrame, name: str, files: int = 3, *by: str) -> str:
     path = scratch_path(spark, name)
     df.repartition(files, *by).write.parquet(path)
@@ -917,7 +926,8 @@ def stream_ingest(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", F.lit(1).alias("edition"))
     earlier = docs.filter("doc_id % 5 = 0").withColumn("text", F.reverse("text")).withColumn("edition", F.lit(0))
     both = docs.unionByName(earlier)  # every fifth document comes in two editions, in one batch
-    stream = jobs.read_files(spark, _as_files(spark, both, "docs", 3, "doc_id"), both.schema, files_per_batch=1)
+    share = _files_per_batch(both, 3)
+    stream = jobs.read_files(spark, _as_files(spark, both, "docs", 3 * share, "doc_id"), both.schema, files_per_batch=share)
 
     def to_points(batch: DataFrame) -> DataFrame:
         newest = batch.groupBy("doc_id").agg(F.max_by("text", "edition").alias("text"), F.max("edition").alias("edition"))

@@ -617,3 +617,14 @@ def test_pooling_is_bounded(monkeypatch):
     monkeypatch.setattr(embedding, "_pooled", lambda text, sizes, dim: seen.append(sizes.tolist()) or pooled(text, sizes, dim))
     assert embedding._pooled_batch(batch, 8).to_pylist() == whole and len(whole) == 12
     assert all(sum(sizes) <= 4 or len(sizes) == 1 for sizes in seen) and sum(map(len, seen)) == 12
+
+
+def test_stream_files_are_bounded(spark, tmp_path, monkeypatch):
+    """Whatever the number of documents, a file of the stream is bounded, and three batches take them all."""
+    rows = [(i, "en", "s", f"Some words of document {i}. And more.", 9) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(registered, "ROWS_PER_FILE", 6)
+    read, wanted = registered.jobs.read_files, []
+    monkeypatch.setattr(registered.jobs, "read_files", lambda *a, **k: wanted.append((a[1], k["files_per_batch"])) or read(*a, **k))
+    assert registered.stream_ingest(spark, str(tmp_path)).count() == 60
+    assert wanted[0][1] == 4 and len([f for f in os.listdir(wanted[0][0]) if f.endswith(".parquet")]) == 12
