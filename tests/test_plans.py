@@ -218,3 +218,97 @@ def test_cleaned_site_sentences_are_the_site_sentences_cleaned(spark):
     assert all(r["n"] == len(r["sentence"].split()) for r in got.collect())
     chunks = [sorted(map(tuple, crawl.site_chunks(x, 9).collect())) for x in (got, raw)]
     assert chunks[0] == chunks[1] and chunks[0]
+
+
+def _sites(spark):
+    """Pages whose ends and beginnings reach into each other, and seeds that reach them in several orders."""
+    import random
+
+    deal = random.Random(4)
+    said = ["Smith J. Doe 2019 pages", "End 7.", "Les.", "Seen by the sea.", "2.5", "mg left.", "see [1,", "2] and so on.", "Doe K.", "20[1,", "2]19 x 5", ", and then ?",
+            "http://a.org/b.", "\n12 and", "Ünd é.", "J.", "One Two Three Four.", "1999 was", "x@y.z .", "é", "4,", "no digits\nhere ok?", "Common one.", "[J].", "\x1c, a", "Q 2001 to"]
+    pages = [(f"p{i}", " ".join(f"<p>{deal.choice(said)}</p>" for _ in range(deal.randint(0, 5)))) for i in range(40)] + [("p40", None), ("p41", "")]
+    reached = [(None if s == 5 else s, f"p{p}", [place]) for s in range(30) for place, p in enumerate(deal.sample(range(45), deal.randint(1, 30)))]
+    frame = spark.createDataFrame(pages, "page_url string, html string")
+    return spark.createDataFrame(reached, "seed long, page_url string, route array<int>"), frame, dict(pages), reached
+
+
+def _first_said(spark, reached, pages):
+    """By brute force: each site's sentences as (route, pos, page_url, sentence), first copies only."""
+    from pageloom.functions import html as hx
+    from pageloom.functions import text as tx
+
+    said = {r["page_url"]: r["s"] for r in pages.select("page_url", tx.split_sentences(hx.html_text(F.col("html"))).alias("s")).collect()}
+    sites, seen = {}, set()
+    for seed, url, route in sorted(reached, key=lambda r: (str(r[0]), r[2])):
+        for pos, s in enumerate(said.get(url, [])):
+            if (seed, s) not in seen:
+                seen.add((seed, s))
+                sites.setdefault(seed, []).append((route, pos, url, s))
+    return sites
+
+
+def test_sites_cleaned_page_by_page_are_cleaned_whole(spark):
+    from pageloom.functions import text as tx
+    from pageloom.operators import crawl
+
+    reached, pages, _, rows = _sites(spark)
+    sites = _first_said(spark, rows, pages)
+    whole = spark.createDataFrame([(seed, " ".join(s[3] for s in said)) for seed, said in sites.items()], "seed long, raw string")
+    wanted = {r["seed"]: r["text"] for r in whole.select("seed", tx.clean_text(F.col("raw")).alias("text")).collect()}
+    places = crawl.site_places(reached, pages)
+    got = crawl.site_text(places).collect()
+    assert len(got) == len(wanted) and {r["seed"]: r["text"] for r in got} == wanted
+    kept = crawl.site_sentences(reached, pages).collect()
+    assert sorted((str(r["seed"]), r["route"], r["pos"], r["page_url"], r["sentence"]) for r in kept) == sorted((str(k), *s) for k, v in sites.items() for s in v)
+
+
+def test_texts_are_told_apart_where_no_rule_reaches_over(spark):
+    """Pairs of ends and beginnings, joined by all texts that edges() lets be cleaned apart."""
+    import random
+
+    from pageloom.functions import text as tx
+
+    deal = random.Random(1)
+    bits = ["Doe", "2019", "the", "sea.", "mg.", "mg", "2.5", "[1,", "2]", "J.", "Les.", "?", ",", "http://a.b", "x@y", "\n", "é.", "7", "A", "ok?", "\x1c", "[J].", "20", "!", "So on."]
+    texts = list({t for t in (" ".join(deal.choices(bits, k=deal.randint(1, 5))).strip() for _ in range(260)) if t})
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.clean_text(F.col("t")).alias("own"), tx.edges(F.col("t")).alias("e"))
+    a, b = frame.select(*[F.col(c).alias(f"{c}_a") for c in frame.columns]), frame.select(*[F.col(c).alias(f"{c}_b") for c in frame.columns])
+    apart = ((F.col("e_a.ends") == tx.CLOSED) | ((F.col("e_a.ends") == tx.NAMED) & ~F.col("e_b.continues"))) & ~F.col("e_a.begins")
+    pairs = a.crossJoin(b).filter(apart).select(
+        "t_a", "t_b", tx.clean_text(F.concat_ws(" ", "t_a", "t_b")).alias("whole"), F.concat_ws(" ", "own_a", F.expr("nullif(own_b, '')")).alias("joined")
+    )
+    assert pairs.count() > 1000
+    assert pairs.filter("whole <> joined").limit(3).collect() == []
+
+
+def test_site_chunks_of_places_send_numbers(spark):
+    from pageloom.operators import crawl
+
+    reached, pages, _, _ = _sites(spark)
+    for block_rows in (4, 20_000):
+        plain = sorted(map(str, crawl.site_chunks(crawl.cleaned_site_sentences(reached.filter("seed IS NOT NULL"), pages), 9, block_rows).collect()))
+        assert sorted(map(str, crawl.site_chunks(crawl.cleaned_site_places(reached.filter("seed IS NOT NULL"), pages), 9, block_rows).collect())) == plain and plain
+
+
+def test_texts_of_pages_are_made_once_for_all_sites_that_hold_them(spark):
+    from pageloom.operators import crawl
+
+    reached, pages, _, rows = _sites(spark)
+    sites = crawl.site_places(reached, pages)
+    texts = crawl.page_texts(sites)
+    assert texts.count() == sites.places.join(texts, ["page", "kept"]).select("page", "kept").distinct().count() < crawl.site_pages(sites).count()
+    got = sorted((str(r["seed"]), r["page_url"], r["text"]) for r in sites.places.join(texts, ["page", "kept"]).collect())
+    wanted = {}
+    for seed, said in _first_said(spark, rows, pages).items():
+        for _, _, url, s in said:
+            wanted.setdefault((str(seed), url), []).append(s)
+    assert got == sorted((*k, " ".join(v)) for k, v in wanted.items())
+
+
+def test_links_to_pages_not_stored_change_no_site(spark):
+    from pageloom.operators import crawl
+
+    links = spark.createDataFrame([("a", "b", 0), ("a", "gone", 1), ("b", "c", 0), ("gone", "c", 0)], "src_url string, dst_url string, pos int")
+    pages = spark.createDataFrame([("a", "A."), ("b", "B."), ("c", "C.")], "page_url string, html string")
+    assert sorted(tuple(r) for r in crawl.stored_links(links, pages).collect()) == [("a", "b", 0), ("b", "c", 0), ("gone", "c", 0)]
