@@ -291,6 +291,18 @@ def test_site_chunks_of_places_send_numbers(spark):
         assert sorted(map(str, crawl.site_chunks(crawl.cleaned_site_places(reached.filter("seed IS NOT NULL"), pages), 9, block_rows).collect())) == plain and plain
 
 
+def test_documents_are_dealt_out_anew_after_the_join_with_the_long_ones(spark):
+    """Adaptive execution may read the join's own shuffle map by map or split it, and so tear a document apart."""
+    from pageloom.operators import chunking
+
+    rows = spark.range(0, 6_000, 1, 8).selectExpr("id % 30 AS doc", "int(id / 30) AS ord", "int(id % 7 + 1) AS n")
+    rows = rows.unionByName(spark.range(500).selectExpr("300L AS doc", "int(id) AS ord", "int(id % 7 + 1) AS n"))
+    packed = chunking.chunk_sentence_rows(rows, 40, "doc", "ord", "n", 450)
+    plan = packed._jdf.queryExecution().sparkPlan().toString() + packed._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(xxhash64(doc" in plan
+    assert packed.groupBy("doc", "chunk_no").agg(F.sum("n").alias("n")).filter("n > 38").count() == 0
+
+
 def test_texts_of_pages_are_made_once_for_all_sites_that_hold_them(spark):
     from pageloom.operators import crawl
 
