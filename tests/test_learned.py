@@ -100,3 +100,34 @@ def test_nothing_to_learn(spark):
         model = learned.learn(frame(spark, texts), dim=4)
         assert model.matrix.shape == (len(model.terms), 4) and np.isfinite(model.matrix).all()
         assert model.encoder()(["a b", ""]).shape == (2, 4)
+
+
+def test_pairs_are_counted_in_pieces(spark, monkeypatch):
+    texts = corpus(4, 90) * 3
+    known = sorted({w for t in texts for w in (t or "").split()})
+    terms = spark.createDataFrame([(t,) for t in [*known, None, known[0]]], "term string")
+    for name, bound in (("PIECE_TERMS", 30), ("HELD_PAIRS", 20), ("SENT_PAIRS", 3)):
+        monkeypatch.setattr(learned, name, bound)
+    got = learned.pair_counts(frame(spark, texts).repartition(2), terms).collect()
+    assert {(r["first"], r["second"]): r["n"] for r in got} == dict(plain_pairs(texts, set(known), learned.WINDOW))
+    assert len({(r["first"], r["second"]) for r in got}) == len(got)
+
+
+def test_entries_are_read_in_pieces_of_rows(spark):
+    matrix = np.random.default_rng(5).standard_normal((40, 40))
+    rows = [(i, j, float(matrix[i, j])) for i in range(40) for j in range(40) if i % 7]
+    entries = spark.createDataFrame(rows, "i int, j int, value double").repartition(3, "i").sortWithinPartitions("i", "j")
+    packed = learned._packed(entries)
+    assert packed.count() < len(rows) / 20  # a piece holds a run of one row's entries
+    tall = np.random.default_rng(6).standard_normal((40, 3))
+    expected = np.where(np.arange(40)[:, None] % 7 > 0, matrix, 0) @ tall
+    assert np.allclose(learned._packed_product(packed, tall), expected) and np.allclose(learned.product(entries, tall), expected)
+
+
+def test_vectors_are_loaded_where_the_package_is_not(spark):
+    import pickletools
+
+    docs = frame(spark, ["a b"])
+    shared = learned.loader(docs, learned.TermVectors(["a"], np.ones((1, 2), np.float32), np.ones(1, np.float32))).__closure__[0].cell_contents
+    with open(shared._path, "rb") as f:
+        assert not any("pageloom" in str(arg) for _, arg, _ in pickletools.genops(f.read()))
