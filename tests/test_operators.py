@@ -628,3 +628,22 @@ def test_stream_files_are_bounded(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(registered.jobs, "read_files", lambda *a, **k: wanted.append((a[1], k["files_per_batch"])) or read(*a, **k))
     assert registered.stream_ingest(spark, str(tmp_path)).count() == 60
     assert wanted[0][1] == 4 and len([f for f in os.listdir(wanted[0][0]) if f.endswith(".parquet")]) == 12
+
+
+def test_spread_points_are_the_same(spark):
+    from pageloom.plans import index
+    from pageloom.schemas import METADATA_FIELDS
+
+    long = " ".join(f"Sentence {i} says words {i % 7} and more." for i in range(300))
+    row = lambda i, text: {c: f"{c}{i}" for c in METADATA_FIELDS} | {"pid": i, "Wiki_content": text}
+    rows = [row(0, long), row(1, "One. Two."), row(1, "One. Two."), row(2, None), row(3, "")]
+    frame = spark.createDataFrame(rows, ", ".join([*[f"{c} string" for c in METADATA_FIELDS], "pid long", "Wiki_content string"]))
+    made = [index.build_points(frame, "pid", 30, index.hashed_model(dim=8), packed_id, spread=s) for s in (False, True)]
+    assert sorted(made[0].collect()) == sorted(made[1].collect())
+    # a long text's chunks are in several tasks
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        places = made[1].withColumn("p", F.spark_partition_id()).agg(F.countDistinct("p")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert places > 1
