@@ -324,3 +324,60 @@ def test_links_to_pages_not_stored_change_no_site(spark):
     links = spark.createDataFrame([("a", "b", 0), ("a", "gone", 1), ("b", "c", 0), ("gone", "c", 0)], "src_url string, dst_url string, pos int")
     pages = spark.createDataFrame([("a", "A."), ("b", "B."), ("c", "C.")], "page_url string, html string")
     assert sorted(tuple(r) for r in crawl.stored_links(links, pages).collect()) == [("a", "b", 0), ("b", "c", 0), ("gone", "c", 0)]
+
+
+def _random_texts(deal, bits, n):
+    """(page, parts) with sentences of up to four bits; the last page has every sentence of its own."""
+    pages = []
+    for page in range(n):
+        said = [" ".join(deal.choices(bits, k=deal.randint(1, 4))).strip() for _ in range(deal.randint(0, 9))]
+        pages.append((page, f"p{page}", [(s, deal.random() < 0.6) for s in dict.fromkeys(said) if s]))
+    return pages
+
+
+def test_sentences_cleaned_apart_are_those_of_the_whole_text(spark):
+    """Each text's sentences against cleaning, splitting and measuring it whole; those that reach into each other are joined."""
+    import random
+
+    from pageloom.functions import text as tx
+    from pageloom.operators import crawl
+
+    deal = random.Random(7)
+    bits = ["Doe", "2019", "the", "sea.", "mg.", "mg", "2.5", "[1,", "2]", "J.", "Les.", "?", ",", "http://a.b", "x@y", "\n", "é.", "7", "A", "a.", "ok?", "\x1c", "[J].",
+            "20", "!", "So on.", "20[1,", "2]19", "Dr.", "and so.", "by it.", "x.y.", "Smith"]
+    pages = _random_texts(deal, bits, 400)
+    places = [(seed, seed, page, [], sorted(deal.sample(some, deal.randint(0, len(some)))))
+              for page, _, parts in pages for seed in range(4) for some in [[i for i, p in enumerate(parts) if not p[1]]]]
+    sites = crawl.SitePlaces(
+        spark.createDataFrame(places, "seed long, at int, page long, route array<int>, kept array<int>"),
+        spark.createDataFrame(pages, "page long, page_url string, parts array<struct<sentence string, lone boolean>>"),
+    )
+    whole = tx.split_sentences(tx.clean_text(F.col("text")))
+    wanted = crawl.page_texts(sites).select("page", "kept", "page_url", F.transform(whole, lambda s: F.struct(s.alias("sentence"), tx.token_count(s).alias("n"))).alias("said"))
+    got, wanted = sorted(map(str, crawl.page_sentences(sites).collect())), sorted(map(str, wanted.collect()))
+    assert len(got) > 800
+    assert got == wanted
+
+
+def test_most_sentences_are_cleaned_once_for_all_texts_that_hold_them(spark, monkeypatch):
+    from pageloom.operators import crawl
+
+    cleaned = []
+    texts = crawl.page_texts
+    monkeypatch.setattr(crawl, "page_texts", lambda sites: cleaned.append(texts(sites)) or cleaned[-1])
+    parts = [(f"Sentence {word} is here.", False) for word in ("one", "two", "three")] + [("Seen by Doe.", True), ("2019 pages", False)]
+    sites = crawl.SitePlaces(
+        spark.createDataFrame([(s, 0, 1, [], kept) for s, kept in enumerate([[], [0], [0, 1], [0, 1, 2], [0, 1, 2, 4]])], "seed long, at int, page long, route array<int>, kept array<int>"),
+        spark.createDataFrame([(1, "p", parts)], "page long, page_url string, parts array<struct<sentence string, lone boolean>>"),
+    )
+    assert crawl.page_sentences(sites).count() == 5
+    assert [r["text"] for r in cleaned[0].collect()] == ["Seen by Doe. 2019 pages"]
+
+
+def test_pages_are_read_once_for_links_and_texts(spark, tmp_path):
+    from pageloom.registry import queries
+
+    pages = [(i, f"http://h.example.org/{i}", f"<p>Page {i} is here.</p>") for i in range(6)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    stored, _ = queries._tree(spark, str(tmp_path))
+    assert "Scan parquet" not in stored._jdf.queryExecution().executedPlan().toString()
