@@ -182,3 +182,23 @@ def test_rooted_and_empty_references(column):
     got = column(urls.resolve_url, [base] * len(hrefs), hrefs)
     for href, value in zip(hrefs, got):
         assert value == urljoin(base, href), href
+
+
+def test_urls_by_chance_are_those_of_the_plain_rules(column):
+    """Against the rules without their guards, and links of a page resolved together against each on its own."""
+    from pyspark.sql import functions as F
+
+    deal = random.Random(3)
+    bits = ["http:", "//", "www.", "h.org", "/", "a", "..", ".", ";p", "?q=1", "#f", "b;c", " ", "Model", "www.x", " "]
+    made = ["".join(deal.choices(bits, k=deal.randint(0, 7))) for _ in range(600)]
+
+    def plain(url):
+        for pattern, kept in [(urls._WWW, "$1$2"), (urls._PARAMS, "$1"), (urls._END_SLASHES, "$1")]:
+            url = F.regexp_replace(url, F.lit(pattern), F.lit(kept))
+        return url
+
+    assert column(urls._settle, made) == column(plain, made)
+    bases = ["http://www.h.org" + deal.choice(["", "/", "/a/b", "/a/b/", "/a;p/c;q", "/a/../b?x#y"]) for _ in made]
+    one = column(urls.resolve_url, bases, made)
+    several = column(lambda b, h: F.array_join(urls.resolve_urls(b, F.array(h, F.lit("c"))), "\n"), bases, made)
+    assert [s.rpartition("\n")[0] for s in several] == one
