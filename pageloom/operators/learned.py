@@ -3,8 +3,9 @@
 Terms that stand close to each other are counted over all texts; the counts become positive pointwise mutual
 information, and a blocked randomised decomposition of that symmetric matrix gives each term a vector. Only the
 counting grows with the corpus, and its shuffle carries about one row per pair of vocabulary terms and map
-task. The vocabulary is bounded by ``max_terms``; the matrix stays in Spark, partitioned by rows, and what passes
-the driver are tall matrices of ``max_terms`` × (``dim`` + ``EXTRA``) numbers, 40 MB at the defaults.
+task. :func:`vocabulary` and :func:`pair_counts` take any number of terms. What :func:`learn` learns from is bounded by
+``max_terms``; its matrix stays in Spark, partitioned by rows, and what passes the driver are tall matrices of
+``max_terms`` × (``dim`` + ``EXTRA``) numbers, 40 MB at the defaults.
 
 Cases: a NULL or empty text has no terms and a zero vector, as has a text without a known term; a corpus
 without a pair gives terms zero vectors; of equally frequent terms the first by name are kept; repeated
@@ -28,6 +29,8 @@ from pageloom.operators.embedding import Encoder
 from pageloom.session import checkpointed
 
 MAX_TERMS = 65_536
+# terms that pairs are counted of by number; the others go by name
+SHARED_TERMS = 65_536
 WINDOW = 4
 # columns of the random start beyond ``dim``, and products with the matrix between start and result
 EXTRA, ROUNDS = 16, 3
@@ -37,23 +40,72 @@ HALF_WEIGHT = 1e-3
 PIECE_TERMS, HELD_PAIRS, SENT_PAIRS = 1 << 18, 1 << 22, 1 << 17
 
 
-def vocabulary(texts: DataFrame, text: str = "text", min_count: int = 3, max_terms: int = MAX_TERMS) -> DataFrame:
-    """(term, n): the ``max_terms`` commonest terms that stand ``min_count`` times or more."""
+def vocabulary(texts: DataFrame, text: str = "text", min_count: int = 3, max_terms: int | None = None) -> DataFrame:
+    """(term, n): the terms that stand ``min_count`` times or more, commonest first; with ``max_terms`` that many at most."""
     terms = texts.select(F.explode_outer(tx.words(F.col(text))).alias("term")).filter("term IS NOT NULL")
-    counts = terms.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
-    return counts.orderBy(F.desc("n"), "term").limit(max_terms)
+    counts = terms.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count).orderBy(F.desc("n"), "term")
+    return counts if max_terms is None else counts.limit(max_terms)
 
 
 def pair_counts(texts: DataFrame, terms: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """(first, second, n): how often two vocabulary terms stand at most ``window`` places apart, first <= second.
 
-    ``terms`` is (term, …) of bounded size; it is broadcast, so that pairs are numbered and summed on the map side.
+    ``terms`` is (term, …) of any size. ``SHARED_TERMS`` of them, the commonest if there is a count ``n``, are broadcast, so that their
+    pairs are numbered and summed on the map side. Pairs with another term, which is a rare one then, are summed by name and
+    meet the vocabulary in joins by that term alone.
     """
-    known = sorted({r["term"] for r in terms.select("term").collect()} - {None})  # words are ASCII, so this is Spark's order as well
+    every = terms.filter("term IS NOT NULL").groupBy("term").agg(F.max("n" if "n" in terms.columns else F.lit(0)).alias("n"))
+    every = checkpointed(every)  # taken from and joined
+    # words are ASCII, so this is Spark's order as well
+    known = sorted(r["term"] for r in every.orderBy(F.desc("n"), "term").limit(SHARED_TERMS).collect())
     named = texts.sparkSession.createDataFrame(list(enumerate(known)), "number int, term string")
     side = lambda number, name: F.broadcast(named.select(F.col("number").alias(number), F.col("term").alias(name)))
     pairs = _numbered_pairs(texts, known, text, window)
-    return pairs.join(side("i", "first"), "i").join(side("j", "second"), "j").select("first", "second", "n")
+    shared = pairs.join(side("i", "first"), "i").join(side("j", "second"), "j").select("first", "second", "n")
+    if len(known) < SHARED_TERMS or every.count() == len(known):
+        return shared
+    met = _named_pairs(texts, known, text, window)
+    for rare in ("rare", "other"):
+        met = met.join(every.select(F.col("term").alias(rare)), rare, "left_semi")
+    return shared.unionByName(met.select("first", "second", "n"))
+
+
+def _named_pairs(texts: DataFrame, shared: list[str], text: str, window: int) -> DataFrame:
+    """(first, second, n, rare, other): pairs that are not of two ``shared`` terms, known or not.
+
+    ``rare`` is the first of its terms that is not shared and ``other`` the last, so neither is a common term.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = set(held.value)
+        for batch in batches:
+            for words in _pieces(batch.column(0)):
+                codes = words.flatten().dictionary_encode()
+                # numbers in the order of the names, so that the lesser number is the first term
+                found = np.array(codes.dictionary.to_pylist(), dtype=object)
+                names, place = np.unique(found, return_inverse=True) if len(found) else (found, np.zeros(0, np.int64))
+                numbers = place[np.asarray(codes.indices)]
+                is_rare = np.array([t not in common for t in names], dtype=bool)
+                row = np.repeat(np.arange(len(words)), np.asarray(words.value_lengths().fill_null(0)))
+                keys = []
+                for d in range(1, window + 1):
+                    a, b = numbers[:-d], numbers[d:]
+                    both = row[:-d] == row[d:]
+                    a, b = a[both], b[both]
+                    wanted = is_rare[a] | is_rare[b]
+                    keys.append(np.minimum(a, b)[wanted] * len(names) + np.maximum(a, b)[wanted])
+                keys, counts = np.unique(np.concatenate(keys), return_counts=True)
+                terms = pa.array(names.tolist(), pa.string())
+                for at in range(0, len(keys), SENT_PAIRS):
+                    first, second = np.divmod(keys[at:at + SENT_PAIRS], len(names))
+                    columns = [first, second, np.where(is_rare[first], first, second), np.where(is_rare[second], second, first)]
+                    columns = [terms.take(pa.array(c)) for c in columns]
+                    columns.insert(2, pa.array(counts[at:at + SENT_PAIRS], pa.int64()))
+                    yield pa.RecordBatch.from_arrays(columns, names=["first", "second", "n", "rare", "other"])
+
+    found = texts.select(tx.words(F.col(text)).alias("w")).mapInArrow(run, "first string, second string, n long, rare string, other string")
+    return found.groupBy("first", "second").agg(F.sum("n").alias("n"), F.first("rare").alias("rare"), F.first("other").alias("other"))
 
 
 def _numbered_pairs(texts: DataFrame, terms: list[str], text: str, window: int) -> DataFrame:

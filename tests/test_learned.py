@@ -113,6 +113,28 @@ def test_pairs_are_counted_in_pieces(spark, monkeypatch):
     assert len({(r["first"], r["second"]) for r in got}) == len(got)
 
 
+def test_no_term_is_cut_off(spark):
+    texts = [" ".join(f"w{i + k}" for i in range(1000)) for k in range(0, 70_000, 1000)] * 3
+    docs = frame(spark, [*texts, "once and again"])
+    terms = learned.vocabulary(docs)
+    assert terms.count() == 70_000
+    got = {(r["first"], r["second"]): r["n"] for r in learned.pair_counts(docs, terms).collect()}
+    assert got == dict(plain_pairs(texts, {f"w{i}" for i in range(70_000)}, learned.WINDOW))
+
+
+def test_terms_that_are_not_shared_are_counted_by_name(spark, monkeypatch):
+    texts = corpus(6, 90)
+    docs = frame(spark, texts).repartition(3)
+    counts = collections.Counter(w for t in texts for w in learned.re.findall("[a-z0-9]+", (t or "").lower()))
+    known = {t for t in counts if counts[t] >= 3}
+    for shared, piece in ((1, 1 << 18), (5, 30), (len(known), 30)):
+        monkeypatch.setattr(learned, "SHARED_TERMS", shared)
+        monkeypatch.setattr(learned, "PIECE_TERMS", piece)
+        got = learned.pair_counts(docs, learned.vocabulary(docs)).collect()
+        assert {(r["first"], r["second"]): r["n"] for r in got} == dict(plain_pairs(texts, known, learned.WINDOW))
+        assert len({(r["first"], r["second"]) for r in got}) == len(got)
+
+
 def test_entries_are_read_in_pieces_of_rows(spark):
     matrix = np.random.default_rng(5).standard_normal((40, 40))
     rows = [(i, j, float(matrix[i, j])) for i in range(40) for j in range(40) if i % 7]
