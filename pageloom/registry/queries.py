@@ -562,14 +562,13 @@ def fallback_prompts(spark, sf):
 def batch_answers(spark, sf):
     """Questions to answers through a completions table that lacks every seventh question."""
     asked, hits = data.questions(spark, sf), _retrieved(spark, sf)
-    prompted = answer.with_prompts(asked, hits).persist()
+    teams = F.array_join(F.transform("retrieved", lambda p: p["Team_Name"]), ",").alias("teams")
+    # read twice, and so written: without the hits' texts, which the prompts' ids stand for
+    prompted = checkpointed(answer.with_prompts(asked, hits).select("qid", "question", "prompt_id", teams))
     known = prompted.filter(F.col("qid") % 7 != 0).select("prompt_id", "question").groupBy("prompt_id").agg(
         F.concat(F.lit("On: "), F.max("question")).alias("text")
     )
-    done = answer.with_completions(prompted, known, "answer")
-    return done.select("qid", "question", "answer", F.transform("retrieved", lambda p: p["Team_Name"]).alias("teams")).select(
-        "qid", "question", "answer", F.array_join("teams", ",").alias("teams")
-    )
+    return answer.with_completions(prompted, known, "answer").select("qid", "question", "answer", "teams")
 
 
 # --- traversal ----------------------------------------------------------------------------------
