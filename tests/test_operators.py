@@ -569,6 +569,35 @@ def test_topk_equals_double_precision():
         assert [i for _, i in listed] == ids[order].tolist() and np.allclose([s for s, _ in listed], scores[q, order], atol=2e-9)
 
 
+def test_a_bound_changes_no_hit(spark, monkeypatch):
+    """Copies, ties, vectors without direction, queries that come twice, and parts too small for a bound."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(500, 6)).round(1)
+    base[::40] = 0
+    near = np.concatenate([base, np.repeat(base[:6], 40, axis=0)])
+    vectors = spark.createDataFrame([(i, v.tolist(), ["a", "b", None][i % 3] if i % 97 else "c") for i, v in enumerate(near)], "id long, vector array<double>, part string")
+    queries = vectors.limit(150).select(F.col("id").alias("qid"), "vector", "part")
+    queries = queries.unionByName(queries.filter("qid % 9 = 0").withColumn("vector", F.reverse("vector")))
+    monkeypatch.setattr(knn, "MIN_BLOCK_ROWS", 20)
+    plain = lambda: [sorted((str(r) for r in knn.nearest(queries, vectors, 6, 7, part, 10).collect())) for part in (None, "part")]
+    expected = plain()
+    monkeypatch.setattr(knn, "BOUNDED_PAIRS", 1)
+    for share in (4, 30):
+        monkeypatch.setattr(knn, "BOUND_SHARE", share)
+        assert plain() == expected
+
+
+def test_a_bound_keeps_what_is_below_it_out_of_the_blocks(spark, monkeypatch):
+    rows = frame_of(spark, np.random.default_rng(2).normal(size=(3000, 8)), "id")
+    label = F.lit(None).cast("string").alias("part")
+    monkeypatch.setattr(knn, "MIN_BLOCK_ROWS", 100)
+    sent = lambda: knn._blocks(rows.limit(400).select(label, F.col("id").alias("qid"), "vector"), rows.select(label, "id", "vector"), 10, 100).count()
+    whole = sent()
+    monkeypatch.setattr(knn, "BOUNDED_PAIRS", 1)
+    monkeypatch.setattr(knn, "BOUND_SHARE", 4)
+    assert whole == 400 * 10 * 30 and sent() < whole / 5
+
+
 def test_blocks_follow_the_counts(spark, monkeypatch):
     """A part of two thousand on either side is more than one pair of blocks, and what makes either side runs once in the search."""
     monkeypatch.setattr(knn, "MIN_BLOCK_ROWS", 100)
